@@ -4,26 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from .plans import companies, pages, runs, texts
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def host_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^www\.", "")
-    return (
-        table(spark, sf_dir, "pages").select(host.alias("host"), F.length("html").cast("long").alias("n"))
-        .groupBy("host").agg(F.count("*").alias("pages"), F.sum("n").alias("html_chars"))
-    )
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"host_page_counts": host_page_counts}
-
-SQL: dict[str, str] = {
-    "host_page_counts": r"""
-        select regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\.', '') as host,
-               count(*) as pages, cast(sum(length(html)) as bigint) as html_chars
-        from pages group by 1""",
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = pages.QUERIES | texts.QUERIES | companies.QUERIES | runs.QUERIES
+SQL: dict[str, str] = pages.SQL | texts.SQL | companies.SQL | runs.SQL
