@@ -39,6 +39,10 @@ def is_plausible_name(name: Column) -> Column:
     return F.size(own).between(2, 4) & ~F.exists(own, lambda w: w.isin(NAME_STOP_WORDS)) & ~is_no_person(name) & ~F.try_element_at(own, F.lit(-1)).rlike(f"^(?:{PARTICLES})$")
 
 
+def _statement(pattern: int):
+    return lambda name, title: F.struct(F.lit(pattern).alias("pattern"), collapse(name).alias("name"), collapse(title).alias("title"))
+
+
 def people(text: Column) -> Column:
     """array<struct<pattern, name, title>> of the persons whose office a text states, by pattern and then in order."""
     body = F.coalesce(text, F.lit(""))
@@ -46,7 +50,7 @@ def people(text: Column) -> Column:
     for i, (pattern, name, title, default) in enumerate(PATTERNS):
         names = F.regexp_extract_all(body, F.lit(pattern), name)
         titles = F.regexp_extract_all(body, F.lit(pattern), title) if title else F.transform(names, lambda _: F.lit(default))
-        found.append(F.transform(F.arrays_zip(names.alias("n"), titles.alias("t")), lambda m, i=i: F.struct(F.lit(i).alias("pattern"), collapse(m["n"]).alias("name"), collapse(m["t"]).alias("title"))))
+        found.append(F.zip_with(names, titles, _statement(i)))
     return F.filter(F.concat(*found), lambda p: is_plausible_name(p["name"]))
 
 

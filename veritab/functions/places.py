@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from ..vocab import DEMONYM_COUNTRY, TLD_COUNTRY, US_CITIES, US_NAMES, US_STATES
+from ..vocab import CITY_COUNTRY, COUNTRIES, DEMONYM_COUNTRY, TLD_COUNTRY, US_CITIES, US_NAMES, US_STATES
 from .money import lookup
 from .text import labels_of, strings
 
@@ -41,6 +41,12 @@ def is_united_states(name: Column) -> Column:
     return F.coalesce(F.lower(F.trim(name)).isin([*US_NAMES, *US_STATES, *US_CITIES]), F.lit(False))
 
 
+def country_named(place: Column) -> Column:
+    """Country of a place given by name: the United States first, then countries and cities; null for anything else."""
+    names = {c.lower(): c for c in COUNTRIES} | CITY_COUNTRY
+    return F.when(is_united_states(place), "United States").otherwise(lookup(names, F.lower(F.trim(place))))
+
+
 def country_from_domain(domain: Column) -> Column:
     """Country of a domain's ending where it has one alone."""
     return lookup(TLD_COUNTRY, F.try_element_at(labels_of(domain), F.lit(-1)))

@@ -37,7 +37,8 @@ def mailto_of(html: Column) -> Column:
 
 def text_of(html: Column) -> Column:
     """Description, text with a line for each run between tags, and linked addresses."""
-    body = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
+    html = F.coalesce(html, F.lit(""))
+    body = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     for tag in [*DROPPED, "title"]:
         body = F.regexp_replace(body, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
     lines = F.split(decode(F.regexp_replace(body, r"(?s)<[^>]*>", "\n")), "\n")

@@ -12,7 +12,7 @@ from ..operators.extract import description, emails, presence
 from ..operators.ground import find_quotes
 from ..operators.report import audit
 from ..shared import table
-from ..vocab import DISPOSABLE_DOMAINS, FREEMAIL_DOMAINS, HARD_US_SIGNALS, PLACE_CURRENCY, ROLE_LOCAL_PARTS, SECOND_LEVEL, TLDS, US_CITIES
+from ..vocab import CITY_COUNTRY, COUNTRIES, DISPOSABLE_DOMAINS, FREEMAIL_DOMAINS, HARD_US_SIGNALS, ROLE_LOCAL_PARTS, SECOND_LEVEL, TLDS, US_CITIES
 
 
 def emails_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ _RUNS = f"""
                from runs r join dn using (doc_id) join bn using (item_id)),
     grounded as (select * from judged where mode is not null and run >= 6)"""
 _SENTENCES = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
-_PLACES = [p.replace(" ", "") for p in [*PLACE_CURRENCY, *US_CITIES]]
+_PLACES = [p.lower().replace(" ", "") for p in [*CITY_COUNTRY, *COUNTRIES, *US_CITIES]]
 
 SQL = {
     "emails_in_documents": f"with {_EMAILS} select doc_id, seq, address from found",

@@ -284,6 +284,35 @@ DEMONYM_COUNTRY = pairs("""
     indonesian=Indonesia, malaysian=Malaysia, thai=Thailand, filipino=Philippines, philippine=Philippines,
     vietnamese=Vietnam, cambodian=Cambodia, burmese=Myanmar, new zealand=New Zealand, american=United States""")
 
+# Cities by country.
+CITIES = {
+    "India": "bengaluru|bangalore|mumbai|delhi|new delhi|gurugram|gurgaon|noida|hyderabad|pune|chennai|kolkata|ahmedabad|jaipur|kochi|indore",
+    "United Kingdom": "london|manchester|edinburgh|bristol|cambridge|oxford|leeds|glasgow|birmingham",
+    "France": "paris|lyon|toulouse|marseille|bordeaux|nantes|lille",
+    "Germany": "berlin|munich|münchen|hamburg|cologne|frankfurt|stuttgart",
+    "Netherlands": "amsterdam|rotterdam|utrecht|eindhoven|the hague|delft",
+    "Spain": "madrid|barcelona|valencia|seville", "Italy": "milan|rome|turin|bologna", "Portugal": "lisbon|porto", "Ireland": "dublin|cork",
+    "Switzerland": "zurich|geneva|lausanne|basel", "Austria": "vienna|graz", "Belgium": "brussels|ghent|antwerp|leuven",
+    "Sweden": "stockholm|gothenburg|malmo|malmö", "Denmark": "copenhagen|aarhus", "Norway": "oslo|bergen", "Finland": "helsinki|espoo|tampere",
+    "Poland": "warsaw|krakow|kraków|wroclaw|gdansk", "Czech Republic": "prague|brno", "Hungary": "budapest", "Romania": "bucharest|cluj",
+    "Bulgaria": "sofia", "Estonia": "tallinn", "Latvia": "riga", "Lithuania": "vilnius", "Slovenia": "ljubljana", "Croatia": "zagreb",
+    "Serbia": "belgrade", "Greece": "athens|thessaloniki", "Turkey": "istanbul|ankara|izmir", "Ukraine": "kyiv|kiev|lviv",
+    "United Arab Emirates": "dubai|abu dhabi|sharjah", "Saudi Arabia": "riyadh|jeddah", "Qatar": "doha", "Kuwait": "kuwait city", "Bahrain": "manama",
+    "Oman": "muscat", "Jordan": "amman", "Lebanon": "beirut", "Israel": "tel aviv|jerusalem|haifa|herzliya", "Egypt": "cairo|alexandria",
+    "Morocco": "casablanca|rabat", "Tunisia": "tunis", "Nigeria": "lagos|abuja", "Kenya": "nairobi",
+    "South Africa": "cape town|johannesburg|pretoria|durban", "Ghana": "accra", "Uganda": "kampala", "Rwanda": "kigali", "Tanzania": "dar es salaam",
+    "Pakistan": "karachi|lahore|islamabad", "Bangladesh": "dhaka", "Sri Lanka": "colombo", "Nepal": "kathmandu", "Singapore": "singapore",
+    "Malaysia": "kuala lumpur|penang", "Indonesia": "jakarta|bandung|surabaya", "Thailand": "bangkok|chiang mai",
+    "Vietnam": "hanoi|ho chi minh city|saigon|da nang", "Philippines": "manila|cebu", "Hong Kong": "hong kong", "Taiwan": "taipei",
+    "Japan": "tokyo|osaka", "South Korea": "seoul|busan", "China": "shanghai|beijing|shenzhen|hangzhou",
+    "Australia": "sydney|melbourne|brisbane|perth|adelaide|canberra", "New Zealand": "auckland|wellington|christchurch",
+    "Canada": "toronto|vancouver|montreal|ottawa|calgary|waterloo", "Brazil": "sao paulo|são paulo|rio de janeiro|belo horizonte|florianopolis|curitiba",
+    "Mexico": "mexico city|guadalajara|monterrey", "Colombia": "bogota|bogotá|medellin|medellín", "Chile": "santiago", "Argentina": "buenos aires",
+    "Peru": "lima", "Uruguay": "montevideo", "Ecuador": "quito", "Costa Rica": "san jose costa rica", "Panama": "panama city",
+}
+CITY_COUNTRY = {city: country for country, cities in CITIES.items() for city in cities.split("|")}
+COUNTRIES = sorted({*TLD_COUNTRY.values(), *DEMONYM_COUNTRY.values(), *CITIES})
+
 # ---- companies -----------------------------------------------------------------------------------------------------
 # Phrases of companies that are no operating company: one decides, the supporting ones add up.
 DECISIVE_PHRASES = {
