@@ -163,14 +163,21 @@ class Page:
         return out
 
     def votes(self) -> list[tuple[str, float]]:
-        """(path, share of the best score) of the containers that vote; each path once."""
+        """(path, share of the best score) of the containers that vote; each path once.
+
+        Containers around the best one don't vote: they are on every page of a host whatever its layouts, so they would
+        win wherever a host has several."""
         scores = self.scores()
         best = max(scores)
         if best <= 0:
             return []
+        around, box = set(), self.containers[max(range(len(scores)), key=lambda i: (scores[i], -i))][1]
+        while box >= 0:
+            around.add(box)
+            box = self.containers[box][1]
         out: dict[str, float] = {}
-        for (path, _), s in zip(self.containers, scores):
-            if s >= VOTES_FROM * best:
+        for i, ((path, _), s) in enumerate(zip(self.containers, scores)):
+            if s >= VOTES_FROM * best and i not in around:
                 out[path] = max(out.get(path, 0.0), s / best)
         return sorted(out.items())
 
