@@ -2,48 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.email import find_emails
-from ..functions.money import CONTEXT, FIGURE, classify_amount, factor, guess_currency, is_cumulative, lookup, resolve_currency, to_decimal
+from ..functions.money import CONTEXT, FIGURE, classify_amount, factor, guess_currency, is_cumulative, is_plain, lookup, resolve_currency, to_decimal
 from ..functions.people import company_from_headline, people
 from ..functions.places import us_signals
 from ..functions.text import alternation, collapse, normalise_domain, normalise_name, sentences
+from ..session import ship
+from ..shared import cut
 from ..vocab import FX, FX_DATE, PLATFORM_TERMS
 
 _NAMED = lambda x: F.coalesce(x, F.lit(""))
 
 
+def _figures(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, raw, before, sign, number, multiplier, after, context, start, end, doc_guess of every figure with a currency.
+
+    No built-in gives the places of all matches, so a small helper reads them, batch by batch, from the texts that have
+    a digit."""
+    kind = texts.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), *(T.StructField(c, T.StringType()) for c in ("raw", "before", "sign", "number", "multiplier", "after", "context", "body")), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    ship(texts.sparkSession)
+    pattern, around = FIGURE, CONTEXT
+
+    def read(batches):
+        figure = re.compile(pattern)
+        for batch in batches:
+            rows = {f.name: [] for f in schema}
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                first = True
+                for m in figure.finditer(body):
+                    before, sign, number, multiplier, after = m.groups()
+                    if before or sign or after:
+                        # the whole text goes with its first figure only
+                        one = (batch.column(0)[i].as_py(), m[0], before, sign, number, multiplier, after, body[max(0, m.start() - around) : m.end() + around], body if first else None, m.start(), m.end())
+                        first = False
+                        for values, v in zip(rows.values(), one):
+                            values.append(v)
+            fields = [batch.column(0).type, *[pa.string()] * 8, pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), fields)], names=list(rows))
+
+    likely = F.col(text).rlike(r"\d")
+    return texts.where(likely).select(key, text).mapInArrow(read, schema)
+
+
 def amounts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a money figure of (key, text): raw, amount_original, currency, amount_usd, fx_rate, fx_date, amount_type,
     is_cumulative, context, start, end. Figures without a currency, or below 1000 without a multiplier, are no rows.
 
-    What stands between two figures and the figures themselves give every offset, so no text is scanned by Python."""
-    body = _NAMED(F.col(text))
-    groups = {n: F.regexp_extract_all(body, F.lit(FIGURE), i) for i, n in enumerate(["raw", "before", "sign", "number", "multiplier", "after"])}
-    gaps = F.transform(F.split(body, FIGURE, -1), lambda g: F.length(g))
-    found = texts.select(F.col(key), body.alias("_body"), gaps.alias("_gaps"), F.arrays_zip(*[c.alias(n) for n, c in groups.items()]).alias("_m"))
-    # a running sum of gaps and figures: where each figure starts
-    step = F.aggregate(
-        F.sequence(F.lit(0), F.size("_m") - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, i: F.struct((a["at"] + F.get("_gaps", i) + F.length(F.get("_m", i)["raw"])).alias("at"), F.array_append(a["all"], a["at"] + F.get("_gaps", i)).alias("all")),
-        lambda a: a["all"],
-    )
-    kept = found.where(F.size("_m") > 0).withColumn("_starts", step)
-    # only figures with a currency go on: they are few
-    money = F.filter(F.transform("_m", lambda m, i: m.withField("start", F.get("_starts", i))), lambda m: (m["before"] != "") | (m["sign"] != "") | (m["after"] != ""))
-    rows = kept.withColumn("_money", money).where(F.size("_money") > 0).select(key, "_body", F.explode("_money").alias("m"))
-    start, length = F.col("m.start"), F.length("m.raw")
-    context = F.substring(F.col("_body"), F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)) + length + CONTEXT)
-    value = to_decimal(F.col("m.number"))
-    scaled = F.when(F.col("m.multiplier") != "", (value * factor(F.col("m.multiplier"))).cast("decimal(38,6)")).when(value >= 1000, value.cast("decimal(38,6)"))
-    typed = rows.select(key, F.trim("m.raw").alias("raw"), scaled.alias("amount_original"), F.col("m.sign").alias("_s"), F.col("m.before").alias("_b"), F.col("m.after").alias("_a"), context.alias("context"), start.alias("start"), (start + length).alias("end"), "_body")
-    typed = typed.where(F.col("amount_original") > 0)
-    guessed = F.coalesce(guess_currency(F.col("context")), guess_currency(F.col("_body")))
-    priced = typed.withColumn("currency", resolve_currency(F.col("_s"), F.col("_b"), F.col("_a"), guessed)).withColumn("fx_rate", lookup(FX, F.col("currency")).cast("decimal(20,8)")).where(F.col("fx_rate").isNotNull())
+    A bare dollar or a word that several countries share is read by the places named around it, else in the whole text."""
+    value = to_decimal(F.col("number"))
+    scaled = F.when(F.col("multiplier").isNotNull(), (value * factor(F.col("multiplier"))).cast("decimal(38,6)")).when(value >= 1000, value.cast("decimal(38,6)"))
+    found = cut(_figures(texts, key, text), "figures")
+    whole = found.where("body is not null").select(key, guess_currency(F.col("body")).alias("_of_text")).where("_of_text is not null").groupBy(key).agg(F.first("_of_text").alias("_of_text"))
+    typed = found.drop("body").withColumn("amount_original", scaled).where(F.col("amount_original") > 0).withColumn("_near", F.when(~is_plain(F.col("sign"), F.col("before"), F.col("after")), guess_currency(F.col("context")))).join(whole, key, "left")
+    placed = typed.withColumn("_guess", F.coalesce("_near", "_of_text"))
+    priced = placed.withColumn("currency", resolve_currency(F.col("sign"), F.col("before"), F.col("after"), F.col("_guess"))).withColumn("fx_rate", lookup(FX, F.col("currency")).cast("decimal(20,8)")).where(F.col("fx_rate").isNotNull())
     once = priced.withColumn("_slot", F.floor(F.col("start") / 40)).groupBy(key, "currency", "amount_original", "_slot").agg(F.min_by(F.struct("raw", "fx_rate", "context", "start", "end"), "start").alias("r"))
     return once.select(
-        key, "r.raw", "amount_original", "currency", (F.col("amount_original") * F.col("r.fx_rate")).cast("decimal(38,6)").alias("amount_usd"), "r.fx_rate", F.lit(FX_DATE).cast("date").alias("fx_date"),
+        key, F.trim("r.raw").alias("raw"), "amount_original", "currency", (F.col("amount_original") * F.col("r.fx_rate")).cast("decimal(38,6)").alias("amount_usd"), "r.fx_rate", F.lit(FX_DATE).cast("date").alias("fx_date"),
         classify_amount(F.col("r.context")).alias("amount_type"), is_cumulative(F.col("r.context")).alias("is_cumulative"), collapse(F.col("r.context")).alias("context"), "r.start", "r.end",
     )
 

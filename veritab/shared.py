@@ -21,3 +21,10 @@ def new_path(spark: SparkSession, name: str) -> str:
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, _own.get(app) or tempfile.mkdtemp(prefix="veritab-"))
     return f"{base}/veritab/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again, so that what is read twice is made once and outlives executors."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
