@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.email import find_emails
 from ..functions.money import CONTEXT, FIGURE, classify_amount, factor, guess_currency, is_cumulative, is_plain, lookup, resolve_currency, to_decimal
 from ..functions.people import company_from_headline, people
-from ..functions.places import us_signals
+from ..functions.places import country_from_demonym, is_united_states, us_signals
 from ..functions.text import alternation, collapse, normalise_domain, normalise_name, sentences
 from ..session import ship
 from ..shared import cut
-from ..vocab import FX, FX_DATE, PLATFORM_TERMS
+from ..vocab import FX, FX_DATE, PLATFORM_TERMS, QUALIFYING_TYPES, SECTOR_KEYWORDS
 
 _NAMED = lambda x: F.coalesce(x, F.lit(""))
 
@@ -115,3 +115,37 @@ def candidates(results: DataFrame) -> DataFrame:
 def keys_of(rows: DataFrame, name: str = "name", domain: str = "domain") -> DataFrame:
     """rows with dedup_key: the domain where there is one, else the name."""
     return rows.withColumn("dedup_key", F.coalesce(normalise_domain(F.col(domain)), normalise_name(F.col(name))))
+
+
+def sector(text: Column) -> Column:
+    """struct<sector, hits> with the most different keywords in a text; of equal ones the first listed; null without any."""
+    low = F.lower(_NAMED(text))
+    scored = []
+    for i, (name, words) in enumerate(SECTOR_KEYWORDS.items()):
+        hits = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(rf"({alternation(words.split('|'))})"), 1)))
+        scored.append(F.struct(hits.alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("sector")))
+    best = F.array_max(F.array(*scored))
+    return F.when(best["hits"] > 0, F.struct(best["sector"].alias("sector"), best["hits"].alias("hits")))
+
+
+def promise(candidates: DataFrame, lo: float, hi: float) -> DataFrame:
+    """candidates (seq, snippet, domain, source_kind) with promise and hopeless: what the snippet that found a company shows.
+
+    3 for a figure in the band (a figure outside is hopeless, and so is a company in the United States), 1.5 for a named
+    founder or 0.4 for the word, 1 for another country, 0.5 each for a platform's words, a domain and a headline."""
+    found = amounts(candidates, "seq", "snippet").where(F.col("amount_type").isin(QUALIFYING_TYPES))
+    usd = F.col("amount_usd").cast("double")
+    band = found.groupBy("seq").agg(F.max(usd.between(lo, hi)).alias("_in"))
+    text = _NAMED(F.col("snippet"))
+    named = text.rlike(r"[A-Z][a-z]+ [A-Z][a-z]+[^.]{0,40}?(?i:co-?founder|founder|ceo)|(?i:co-?founder|founder|ceo)[^.]{0,40}?[A-Z][a-z]+ [A-Z][a-z]+")
+    role = text.rlike(r"(?i)\b(?:co-?founder|founder|chief executive|ceo|managing director)\b")
+    country = country_from_demonym(text)
+    met = candidates.join(band, "seq", "left").withColumn("_country", country)
+    hopeless = F.when(F.col("_in") == False, "its figure is outside the band").when(is_united_states(F.col("_country")), "a company of the United States")  # noqa: E712
+    worth = lambda test, points: F.when(F.coalesce(test, F.lit(False)), points).otherwise(0.0)
+    total = (
+        worth(F.col("_in"), 3.0) + F.when(named, 1.5).when(role, 0.4).otherwise(0.0) + worth(F.col("_country").isNotNull(), 1.0)
+        + worth(text.rlike(r"(?i)\b(?:platform|software|app|saas|marketplace|api|technology|tech|startup|solution|tool|system)\b"), 0.5)
+        + worth(F.col("domain").isNotNull(), 0.5) + worth(F.col("source_kind") == "headline", 0.5)
+    )
+    return met.withColumn("hopeless", F.when(text != "", hopeless)).withColumn("promise", F.when((text == "") | F.col("hopeless").isNotNull(), 0.0).otherwise(total)).drop("_in", "_country")

@@ -329,6 +329,25 @@ SUPPORTING_PHRASES = {
 PRODUCT_SIGNALS = listed("start free trial|start your free trial|free trial|book a demo|request a demo|get a demo|our platform|the platform|api documentation|developer docs|integrations|pricing plans|per month|sign up free|create an account|our product|product tour|customer support|uptime|sdk|dashboard", "|")
 PLATFORM_TERMS = listed("platform|software|saas|web app|mobile app|api|apis|dashboard|marketplace|machine learning|artificial intelligence|algorithm|algorithms|automation|cloud-based|our app|the app|our product|our platform|integrations|sdk|open source|self-serve|no-code|low-code|data platform|analytics platform|software platform|technology platform|operating system|infrastructure for|built on", "|")
 SERVICES_TERMS = listed("consultancy|consulting firm|staffing agency|recruitment agency|law firm|advisory firm|marketing agency|design agency|outsourcing services|bespoke development services|it services company|system integrator", "|")
+# Keywords of sectors, in the order that settles ties.
+SECTOR_KEYWORDS = {
+    "Healthtech / Digital health": "digital health|healthcare|health tech|patient|clinic|telemedicine|care coordination|medical|ehr|hospital",
+    "Edtech": "edtech|learning platform|students|curriculum|upskilling|workforce development|courses|training platform",
+    "Cybersecurity": "cybersecurity|threat detection|vulnerability|security posture|penetration testing|soc |zero trust|endpoint security",
+    "Fintech / Payments": "fintech|payments|wallet|lending|credit|banking|embedded finance|payouts|remittance|settlement",
+    "Insurtech": "insurtech|insurance|underwriting|claims processing",
+    "Digital twin / Industrial": "digital twin|simulation|industrial iot|factory|manufacturing|predictive maintenance",
+    "Traveltech": "travel|booking platform|itinerary|airline|hotel|tourism",
+    "Logistics / Supply chain": "logistics|supply chain|freight|shipment|warehouse|last mile|fleet",
+    "Agritech": "agritech|agriculture|farmers|crop|farm management",
+    "HR tech": "recruitment|hiring platform|hr platform|payroll|talent platform|applicant tracking",
+    "Proptech / Construction": "proptech|real estate|construction|property management",
+    "Climate / Energy": "climate|carbon|renewable|energy management|sustainability|emissions",
+    "Legaltech": "legaltech|contract management|compliance automation|legal teams",
+    "Retail / Commerce": "ecommerce|e-commerce|retail|merchants|storefront|point of sale|commerce platform",
+    "AI / Machine learning": "artificial intelligence|machine learning|ai platform|ai agents|llm|computer vision|nlp",
+    "B2B SaaS": "b2b saas|saas platform|enterprise software|business software|workflow automation|api platform",
+}
 PRODUCT_PATHS = listed("/product /platform /features /pricing /solutions /docs /api /how-it-works /technology")
 INVESTOR_TLDS = listed(".vc .fund .capital .ventures")
 INVESTOR_WORDS = listed("ventures venturepartners capitalpartners seedfund venturefund growthfund angelfund")
