@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.extract import amounts
-from ..operators.fuse import best_amount
+from ..functions.people import company_from_headline, title_score
+from ..operators.extract import amounts, persons, promise
+from ..operators.fuse import best_amount, email
 from ..operators.qualify import Band, confidence, qualify, recheck
 from ..operators.report import failed_only_on, gate_failures, kpis, near_misses
 from ..operators.resolve import find, known_keys, merge, unknown
@@ -140,7 +141,41 @@ def find_company_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_candidates(spark, sf_dir).withColumnRenamed("seq", "ask_id"), companies, aliases)
 
 
-QUERIES = {f.__name__: f for f in (money_parse, money_by_type, money_best_per_company, fx_convert_by_nation, gate_verdicts, gate_failure_histogram, near_miss_reasons, verdict_kpis, confidence_scores, lead_recheck, candidate_merge, known_key_antijoin, find_company_precedence)}
+def _wording(rows: DataFrame, *texts) -> DataFrame:
+    """c_custkey and text: one of the wordings for each customer, in which {n} is its key."""
+    n = F.col("c_custkey")
+    text = F.coalesce(*[F.when(n % len(texts) == i, F.replace(F.lit(t), F.lit("{n}"), n.cast("string"))) for i, t in enumerate(texts)])
+    return rows.select("c_custkey", text.alias("text"))
+
+
+def headline_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _wording(table(spark, sf_dir, "customer"), "Indian fintech Firm{n} raises $2M", "Lagos-based Firm{n} Robotics secures seed", "Exclusive: Firm{n} closes round - Daily", "no verb beside Firm{n}")
+    return said.select("c_custkey", company_from_headline(F.col("text")).alias("name"))
+
+
+def people_in_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _wording(table(spark, sf_dir, "customer"), "Lena Brandt, co-founder and CEO of Firm{n}", "Geschäftsführer: Jan Weber, Nr {n}", "nobody at all at Firm{n}")
+    return persons(said, "c_custkey").select("c_custkey", "name", "title", title_score(F.col("title")).cast("long").alias("title_score"))
+
+
+def candidate_promise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _wording(table(spark, sf_dir, "customer"), "Kenyan fintech startup raises $2 million", "Firm{n} raised $45 million in a Series B", "a CEO speaks")
+    rows = said.select(F.col("c_custkey").alias("seq"), F.col("text").alias("snippet"), F.lit(None).cast("string").alias("domain"), F.lit("headline").alias("source_kind"))
+    return promise(rows, BAND.least, BAND.most).select("seq", F.round("promise", 3).alias("promise"), F.col("hopeless").isNotNull().alias("is_hopeless"))
+
+
+def email_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight states of a founder's address, one customer each."""
+    n = F.col("c_custkey")
+    domain = F.concat(F.lit("firm"), n, F.lit(".io"))
+    rows = table(spark, sf_dir, "customer").select(n, domain.alias("domain"), (n % 8).alias("k"), F.when(n % 8 == 1, F.concat(F.lit("info@"), domain)).otherwise(F.concat(F.lit("lena.brandt@"), domain)).alias("address"))
+    companies = rows.select(F.col("c_custkey").alias("company_id"), "domain", F.when(F.col("k") != 4, "Lena Brandt").alias("founder"))
+    found = rows.where("k <> 0").select(F.col("c_custkey").alias("company_id"), F.lit(0).cast("long").alias("seq"), F.lit("email").alias("field"), F.col("address").alias("value"), F.concat(F.lit("https://"), "domain").alias("url"), F.lit("").alias("quote"), F.when(F.col("k") == 3, "unknown").otherwise("company_owned").alias("authority"))
+    checks = rows.select("address", (F.col("k") != 5).alias("has_mx"), F.when(F.col("k") == 7, "risky").otherwise("deliverable").alias("deliverability"), (F.col("k") == 6).alias("catch_all"))
+    return email(found, companies, checks).select("company_id", "address", "status")
+
+
+QUERIES = {f.__name__: f for f in (headline_companies, people_in_sentences, candidate_promise, email_ladder, money_parse, money_by_type, money_best_per_company, fx_convert_by_nation, gate_verdicts, gate_failure_histogram, near_miss_reasons, verdict_kpis, confidence_scores, lead_recheck, candidate_merge, known_key_antijoin, find_company_precedence)}
 
 _MONEY = f"""
     v as (select o_orderkey, o_custkey, o_orderkey % 8 as w, cast(round(round(o_totalprice / 100000, 2) + 0.01, 2) as decimal(18,2)) as x, cast(floor(o_totalprice) as decimal(18,2)) as whole from orders),
@@ -171,6 +206,12 @@ _CANDIDATES = """
                  case when c_custkey % 3 = 0 then 'firm' || (c_custkey % 200) || '.com' end as dn, c_mktsegment as snippet, c_custkey % 5 as kind from customer)"""
 
 SQL = {
+    "headline_companies": "select c_custkey, case c_custkey % 4 when 1 then 'Firm' || c_custkey || ' Robotics' when 3 then null else 'Firm' || c_custkey end as name from customer",
+    "people_in_sentences": "select c_custkey, case c_custkey % 3 when 0 then 'Lena Brandt' else 'Jan Weber' end as name, case c_custkey % 3 when 0 then 'co-founder and CEO' else 'Managing Director' end as title, cast(case c_custkey % 3 when 0 then 7 else 3 end as bigint) as title_score from customer where c_custkey % 3 < 2",
+    "candidate_promise": "select c_custkey as seq, cast(case c_custkey % 3 when 0 then 5.0 when 1 then 0.0 else 0.9 end as double) as promise, c_custkey % 3 = 1 as is_hopeless from customer",
+    "email_ladder": """
+        select c_custkey as company_id, case when c_custkey % 8 > 1 then 'lena.brandt@firm' || c_custkey || '.io' end as address,
+               (['not_found', 'role_only', 'verified', 'found_unverified', 'found_unverified', 'invalid', 'source_verified', 'source_verified'])[c_custkey % 8 + 1] as status from customer""",
     "money_parse": f"with {_MONEY} select o_orderkey, currency, round(cast(amount as double), 2) as amount_original, round(cast(usd as double), 2) as amount_usd, amount_type, is_cumulative from figures",
     "money_by_type": f"with {_MONEY} select amount_type, currency, count(*) as n, round(cast(sum(cast(usd as decimal(38,2))) as double), 0) as usd from figures group by 1, 2",
     "money_best_per_company": f"""
