@@ -66,3 +66,14 @@ def test_groups_of_copies_and_empty_tables(spark, rng):
     assert {got[i] for i in range(360)} == {0} and got[500] == 500
     assert order_minhash.classes(docs(spark, [])).count() == 0
     assert order_minhash.keep_one(docs(spark, [])).count() == 0
+
+
+def test_repeated_lines_count_each_time(spark, rng):
+    """Texts whose likeness is a line said 92 times, with 80 words of their own at the end: a Jaccard similarity of 0.85 over labelled shingles."""
+    line = words(rng, 10)
+    own = [" ".join(f"own{i}x{j}" for j in range(80)) for i in range(2)]
+    texts = [" ".join([line] * 92 + [x]) for x in own]
+    *_, keys = order_minhash.sketches([t.encode() for t in texts])
+    assert (keys[0] == keys[1]).sum() >= 10
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: 0, 1: 0}
