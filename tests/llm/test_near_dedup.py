@@ -77,3 +77,12 @@ def test_repeated_lines_count_each_time(spark, rng):
     assert (keys[0] == keys[1]).sum() >= 10
     got = {r.doc_id: r.class_id for r in order_minhash.classes(docs(spark, list(enumerate(texts)))).collect()}
     assert got == {0: 0, 1: 0}
+
+
+def test_a_member_that_is_no_leader_is_met(spark, rng):
+    """Text 57 is within 20 % of text 56 only; in nearly all their buckets longer texts lead, and 56 is of their class."""
+    base = words(rng, 400).split(" ")
+    lengths = [*range(399, 343, -1), 343, 275]
+    rows = [(i, " ".join(base[:n])) for i, n in enumerate(lengths)]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(docs(spark, rows)).collect()}
+    assert set(got.values()) == {0} and len(got) == 58

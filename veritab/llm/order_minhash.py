@@ -8,10 +8,12 @@ Documents under l shingles have one key, of all their words.
 
 Copies (equal words) collapse first, onto their least doc_id. In each bucket the members are aligned with the least
 one, the leader: first with the least leader of all their buckets, then with those that are not yet of their class.
-Members that don't come to their leader's class go on with eight times as many leaders a bucket in each round, until
-none is left; there, pairs are aligned if they agree on `agree` of m keys (documents with a Jaccard similarity of 0.8
-over shingles agree on 13 of 32 on average). No bucket is capped, and near copies of one text cost about one alignment
-each. A link needs a word alignment within the band |i - j| <= d with d = (1 - similarity) *
+Then all pairs of different classes that agree on `agree` of m keys are aligned (documents with a Jaccard similarity of
+0.8 over shingles agree on 13 of 32 on average), whoever led their buckets: of two classes the pair that agrees most
+first, then eight times as many in each round, until the classes are one or all their pairs are done. Pairs whose
+lengths or counts of words differ by more than the limit need no alignment. No bucket is capped; near copies of one text
+cost about one alignment each, but n documents that agree on `agree` keys without being alike cost n * n / 2.
+A link needs a word alignment within the band |i - j| <= d with d = (1 - similarity) *
 longer length edits. Classes are the components of the links, by minimum labels with pointer jumping; every step
 is a table in the shared folder.
 
@@ -32,6 +34,8 @@ from .common import cut, map_arrow, runs
 from .textstats import Chunk, U, mix, powers, prefix_hash, utf8
 
 K, L, M, SIMILARITY = 5, 4, 32, 0.8
+#: Residues of word hashes that a bag counts.
+BAG = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _SEEDS = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
@@ -188,6 +192,34 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return edit_distance_within(a, b, int((1 - similarity) * longer + 1e-9)) is not None
 
 
+def _bags(texts: DataFrame) -> DataFrame:
+    """id, n_words and bag of each text: counts of its words by BAG residues of their hashes, 16 bits each, larger ones clipped."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        docs = utf8(batch.column(1))
+        for lo, hi in runs([len(t) for t in docs]):
+            c = Chunk(lowered(docs[lo:hi]))
+            counts = np.bincount(c.w_doc * BAG + (mix(c.w_hash + U(7)) % U(BAG)).astype(np.int64), minlength=c.n * BAG).reshape(c.n, BAG)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(c.count_words().astype(np.int64)), pa.array([x.tobytes() for x in np.minimum(counts, 65535).astype("<u2")], pa.binary())], names=["id", "n_words", "bag"])
+
+    return map_arrow(texts, run, "id long, n_words long, bag binary")
+
+
+def _possible(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose numbers of words and bags allow a link: bags that differ by more than the limit differ by more edits than that."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BAG).astype(np.int64) for i in (5, 6))
+        limit = ((1 - similarity) * np.maximum(batch.column(3).to_numpy(), batch.column(4).to_numpy()) + 1e-9).astype(np.int64)
+        apart = np.maximum(np.maximum(a - b, 0).sum(1), np.maximum(b - a, 0).sum(1))
+        return batch.select([0, 1, 2]).filter(pa.array(apart <= limit))
+
+    one = bags.select("id", F.col("n_words").alias("n_a"), F.col("bag").alias("bag_a"))
+    two = bags.select(F.col("id").alias("leader"), F.col("n_words").alias("n_b"), F.col("bag").alias("bag_b"))
+    both = pairs.join(one, "id").join(two, "leader").where(F.abs(F.col("n_a") - F.col("n_b")) <= F.lit(1 - similarity) * F.greatest("n_a", "n_b") + 1e-9)
+    return map_arrow(both.select("id", "leader", "agreed", "n_a", "n_b", "bag_a", "bag_b"), run, "id long, leader long, agreed long")
+
+
 def _sign(docs: DataFrame, k: int, l: int, m: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch.column(1))
@@ -245,41 +277,22 @@ def classes(docs: DataFrame, *, k: int = K, l: int = L, m: int = M, similarity:
     firsts = signed.join(copies.select(F.col("copy_of").alias("doc_id"), F.col("d1").alias("e1"), F.col("d2").alias("e2")), "doc_id").where((F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     rows = cut(firsts.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).distinct(), "keys")
 
-    links = labels = texts = None
-    slots = 1
-    while True:
-        # the least member of each slot of a bucket leads; all members meet all leaders of their bucket
-        slot = F.pmod(F.xxhash64("id"), F.lit(slots))
-        heads = rows.groupBy("key", slot.alias("slot")).agg(F.min("id").alias("leader"), F.count("*").alias("n"))
-        leaders = cut(heads.where(F.col("n") > (1 if slots == 1 else 0)).select("key", "leader"), "leaders")
-        met = cut(rows.join(leaders, "key"), "met")
-        pairs = cut(met.where("id != leader").select("id", "leader").distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        if texts is None:
-            # of the candidates only; they are the documents met in any later round too
-            wanted = cut(pairs.select("id").union(pairs.select("leader")).distinct(), "wanted")
-            own = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-            texts = cut(own.join(wanted, "id", "left_semi"), "texts")
-            sketch = cut(signed.select(F.col("doc_id").alias("id"), "keys").join(wanted, "id", "left_semi"), "sketch")
-            # a member's least leader first: most of a class meets there, and need not meet again elsewhere
-            links, labels = _link(cut(pairs.groupBy("id").agg(F.min("leader").alias("leader")), "first"), texts, similarity, links)
-        apart = _named(pairs, labels).where("id_class != leader_class").select("id", "leader")
-        if slots > 1:
-            mine, its = sketch.withColumnRenamed("keys", "mine"), sketch.select(F.col("id").alias("leader"), F.col("keys").alias("its"))
-            apart = apart.join(mine, "id").join(its, "leader").where(F.size(F.array_intersect("mine", "its")) >= agree).select("id", "leader")
-        apart = cut(apart, "apart")
-        links, labels = _link(apart, texts, similarity, links, labels)
-        # a member leaves a bucket where it is in the class of a leader
-        joined = cut(_named(pairs, labels).where("id_class = leader_class").select("id", "leader", F.lit(True).alias("out")), "joined")
-        done = met.join(joined, ["id", "leader"], "left").select("id", "key", (F.coalesce("out", F.lit(False)) | (F.col("id") == F.col("leader"))).alias("out"))
-        rest = done.groupBy("id", "key").agg(F.max("out").alias("out")).where("not out").select("id", "key")
-        # all keys that it shares with a partner still to be found are among these, so fewer than agree are too few
-        rest = cut(rest, "rest")
-        enough = cut(rest.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("id"), "enough")
-        rows, slots = cut(rest.join(enough, "id", "left_semi"), "left"), slots * 8
-    if labels is None:
+    # the least member of a bucket leads; all members meet all leaders of their buckets
+    heads = rows.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n"))
+    leaders = cut(heads.where("n > 1").select("key", "leader"), "leaders")
+    pairs = cut(rows.join(leaders, "key").where("id != leader").select("id", "leader").distinct(), "pairs")
+    if pairs.isEmpty():
         return named.select("doc_id", F.col("copy_of").alias("class_id"), "copy_of")
+    # of the candidates only; they are the documents met in any later round too
+    wanted = cut(pairs.select("id").union(pairs.select("leader")).distinct(), "wanted")
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = cut(own.join(wanted, "id", "left_semi"), "texts")
+    # a member's least leader first: most of a class meets there, and need not meet again elsewhere
+    first = cut(pairs.groupBy("id").agg(F.min("leader").alias("leader")), "first")
+    links, labels = _link(first, texts, similarity, None)
+    apart = cut(_named(pairs, labels).where("id_class != leader_class").select("id", "leader"), "apart")
+    links, labels = _link(apart, texts, similarity, links, labels)
+    links, labels = _outside(rows, links, labels, first.union(apart), texts, similarity, agree)
     named = cut(named, "named")
     return named.join(labels.withColumnRenamed("id", "copy_of"), "copy_of", "left").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of")
 
@@ -294,6 +307,37 @@ def _link(pairs: DataFrame, texts: DataFrame, similarity: float, links: DataFram
     return links, components(links)
 
 
+def _outside(rows: DataFrame, links: DataFrame, labels: DataFrame, tried: DataFrame, texts: DataFrame, similarity: float, agree: int) -> tuple[DataFrame, DataFrame]:
+    """Links and labels after all pairs of two classes that agree on at least `agree` keys are aligned, but those tried."""
+    known = labels.withColumnRenamed("class_id", "known")
+    rows = rows.join(known, "id", "left").select("id", "key", F.coalesce("known", "id").alias("class_id"))
+    # a partner in another class shares keys whose buckets hold several classes
+    mixed = rows.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").select("key")
+    rows = cut(rows.join(cut(mixed, "mixed"), "key", "left_semi"), "mixed_rows")
+    able = cut(rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("id"), "able")
+    rows = cut(rows.join(able, "id", "left_semi"), "able_rows")
+    # keys are counted by class first: no member of a class shares more of them than the class
+    held = cut(rows.select("key", F.col("class_id").alias("other")).distinct(), "held")
+    near = cut(rows.join(held, "key").where("class_id != other").groupBy("id", "other").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("id", "other"), "near")
+    sides = cut(rows.join(near, "id"), "sides")
+    its = sides.select("key", F.col("id").alias("leader"), F.col("class_id").alias("other"), F.col("other").alias("class_id"))
+    both = sides.join(its, ["key", "class_id", "other"]).where("id > leader").groupBy("id", "leader").agg(F.count("*").alias("agreed")).where(F.col("agreed") >= agree)
+    both = _possible(cut(both, "agreeing"), cut(_bags(texts), "bags"), similarity)
+    done = tried.select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader")).distinct()
+    both, slots = cut(both.join(cut(done, "tried"), ["id", "leader"], "left_anti"), "outside"), 1
+    while True:
+        # of two classes the pair that agrees most, in eight times as many slots each round
+        apart = cut(_named(both.select("id", "leader"), labels).where("id_class != leader_class"), "of_two")
+        if apart.isEmpty():
+            return links, labels
+        both = cut(both.join(apart, ["id", "leader"]), "outside")
+        slot = F.pmod(F.xxhash64("id", "leader"), F.lit(slots))
+        best = both.groupBy(F.least("id_class", "leader_class").alias("one"), F.greatest("id_class", "leader_class").alias("two"), slot.alias("slot")).agg(F.max(F.struct("agreed", "id", "leader")).alias("best"))
+        best = cut(best.select("best.id", "best.leader"), "best")
+        links, labels = _link(best, texts, similarity, links, labels)
+        both, slots = cut(both.join(best, ["id", "leader"], "left_anti").select("id", "leader", "agreed"), "outside"), slots * 8
+
+
 def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """pairs (id, leader) with the classes of both; a document without links is its own."""
     one = labels.select("id", F.col("class_id").alias("id_class"))
