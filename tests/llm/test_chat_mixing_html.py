@@ -89,3 +89,12 @@ def test_pages(spark):
 def test_page_query_drops_what_is_around(spark, sf_dir):
     for r in queries.QUERIES["op10_host_paths"](spark, sf_dir).collect():
         assert "©" not in r.text and "track(" not in r.text and not r.text.startswith("<")
+
+
+def test_long_nested_articles_keep_heading_and_lead():
+    page = "<body><div class=post><h1>Title</h1><p>The lead of it.</p><div class=body>{}</div></div></body>"
+    for n in (1, 200):
+        p = host_paths.Page(page.format("<p>A paragraph of the body.</p>" * n))
+        assert [path for path, _ in p.votes()] == [">body>div.post"]
+        for path in (">body>div.post>div.body", ">body>div.post", None):
+            assert p.text(path).startswith("Title\nThe lead of it.\nA paragraph")

@@ -2,8 +2,8 @@
 
 A page is read into containers (elements that hold blocks of text), each with the generalised path of tags and
 classes that leads to it (digits in classes become #). A container scores the text of its blocks outside links and
-boilerplate, plus nearly all of what its inner containers score. Pages vote for the paths of their best containers;
-votes are summed per host in Spark, and every page of a host is extracted again at the winning path. A page without
+boilerplate, plus nearly all of what its inner containers score. The best is the one that scores most, or the outermost
+around it with a heading or paragraph outside the one before. Pages vote for the paths of their best containers; votes are summed per host in Spark, and every page of a host is extracted again at the winning path. A page without
 that path, or without text there, keeps its own best container.
 
 Boilerplate (menus, headers and footers of the page, sidebars, notices, adverts, forms, reader comments, scripts and
@@ -40,6 +40,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body center blockquote".split())
+ARTICLE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())  # blocks of these are article text
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BOILER_TAGS = frozenset("nav aside footer form button select dialog menu template svg object canvas audio video head script style title textarea xmp iframe noembed noframes noscript".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -67,11 +68,11 @@ def _boiler(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 
 class Page:
-    """containers: (path, parent container or -1); blocks: (container, text, characters in links) outside boilerplate."""
+    """containers: (path, parent container or -1); blocks: (container, text, characters in links, whether in a heading or paragraph) outside boilerplate."""
 
     def __init__(self, source: str):
         self.containers: list[tuple[str, int]] = [("", -1)]
-        self.blocks: list[tuple[int, str, int]] = []
+        self.blocks: list[tuple[int, str, int, bool]] = []
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -85,7 +86,8 @@ class Page:
             if parts:
                 text = " ".join(html_lib.unescape("".join(parts)).split())
                 if text:
-                    self.blocks.append((stack[-1][1], text, min(linked, len(text))))
+                    block = next((t for t, *_ in reversed(stack) if t in BLOCK), "")
+                    self.blocks.append((stack[-1][1], text, min(linked, len(text)), block in ARTICLE))
                 parts.clear()
             linked = 0
 
@@ -156,45 +158,65 @@ class Page:
 
     def scores(self) -> list[float]:
         out = [0.0] * len(self.containers)
-        for box, text, linked in self.blocks:
+        for box, text, linked, _ in self.blocks:
             out[box] += max(0, len(text) - 2 * linked)
         for i in range(len(out) - 1, 0, -1):  # inner containers come after outer ones
             out[self.containers[i][1]] += INHERIT * out[i]
         return out
 
+    def best(self, scores: list[float]) -> int:
+        """The container with the best score, or the outermost around it that has a heading or paragraph outside the one before."""
+        box = max(range(len(scores)), key=lambda i: (scores[i], -i))
+        own = [0] * len(scores)
+        for at, text, linked, article in self.blocks:
+            own[at] += max(0, len(text) - 2 * linked) if article else 0
+        for i in range(len(own) - 1, 0, -1):
+            own[self.containers[i][1]] += own[i]
+        around = box
+        while (around := self.containers[around][1]) >= 0:
+            if own[around] > own[box]:
+                box = around
+        return box
+
     def votes(self) -> list[tuple[str, float]]:
         """(path, share of the best score) of the containers that vote; each path once.
 
         Containers around the best one don't vote: they are on every page of a host whatever its layouts, so they would
-        win wherever a host has several."""
+        win wherever a host has several. Those inside it don't either: they lack a part of the article."""
         scores = self.scores()
-        best = max(scores)
-        if best <= 0:
+        top = max(scores)
+        if top <= 0:
             return []
-        around, box = set(), self.containers[max(range(len(scores)), key=lambda i: (scores[i], -i))][1]
+        best = self.best(scores)
+        around, box = set(), self.containers[best][1]
         while box >= 0:
             around.add(box)
             box = self.containers[box][1]
-        out: dict[str, float] = {}
+        inside = self._within({best})
+        out: dict[str, float] = {self.containers[best][0]: 1.0}
         for i, ((path, _), s) in enumerate(zip(self.containers, scores)):
-            if s >= VOTES_FROM * best and i not in around:
-                out[path] = max(out.get(path, 0.0), s / best)
+            if s >= VOTES_FROM * top and i not in around and not inside[i]:
+                out[path] = max(out.get(path, 0.0), s / top)
         return sorted(out.items())
 
     def text(self, path: str | None) -> str:
-        """The blocks in containers of that path; failing that, in the page's best container."""
-        chosen = {i for i, (p, _) in enumerate(self.containers) if p == path}
-        lines = self._inside(chosen)
-        if not lines:
-            scores = self.scores()
-            lines = self._inside({max(range(len(scores)), key=lambda i: (scores[i], -i))})
-        return "\n".join(lines)
-
-    def _inside(self, chosen: set[int]) -> list[str]:
+        """The blocks in containers of that path; failing that, or if these lack a part of the page's best container around them, those of the best."""
+        chosen = self._within({i for i, (p, _) in enumerate(self.containers) if p == path})
+        best = self._within({self.best(self.scores())})
+        if any(c and not b for c, b in zip(chosen, best)):
+            lost = False  # the path leads elsewhere, or around the best
+        else:
+            lost = any(article and len(text) > 2 * linked and best[box] and not chosen[box] for box, text, linked, article in self.blocks)
+        return "\n".join(([] if lost else self._inside(chosen)) or self._inside(best))
+
+    def _within(self, chosen: set[int]) -> list[bool]:
         inside = [False] * len(self.containers)
         for i, (_, parent) in enumerate(self.containers):
             inside[i] = i in chosen or parent >= 0 and inside[parent]
-        return [text for box, text, _ in self.blocks if inside[box]]
+        return inside
+
+    def _inside(self, inside: list[bool]) -> list[str]:
+        return [text for box, text, *_ in self.blocks if inside[box]]
 
 
 def host(url=None):
