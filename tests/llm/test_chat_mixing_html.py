@@ -98,3 +98,10 @@ def test_long_nested_articles_keep_heading_and_lead():
         assert [path for path, _ in p.votes()] == [">body>div.post"]
         for path in (">body>div.post>div.body", ">body>div.post", None):
             assert p.text(path).startswith("Title\nThe lead of it.\nA paragraph")
+
+
+def test_a_page_of_another_layout_keeps_its_article():
+    article = "<div class=story>" + "<p>A paragraph of the story.</p>" * 9 + "</div>"
+    page = host_paths.Page(f"<body>{article}<div class=content>By a writer</div></body>")
+    assert page.text(">body>div.content") == page.text(None) == "\n".join(["A paragraph of the story."] * 9)
+    assert host_paths.Page("<body><div class=content><p>By a writer</div></body>").text(">body>div.content") == "By a writer"

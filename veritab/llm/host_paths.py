@@ -3,8 +3,8 @@
 A page is read into containers (elements that hold blocks of text), each with the generalised path of tags and
 classes that leads to it (digits in classes become #). A container scores the text of its blocks outside links and
 boilerplate, plus nearly all of what its inner containers score. The best is the one that scores most, or the outermost
-around it with a heading or paragraph outside the one before. Pages vote for the paths of their best containers; votes are summed per host in Spark, and every page of a host is extracted again at the winning path. A page without
-that path, or without text there, keeps its own best container.
+around it with a heading or paragraph outside the one before. Pages vote for the paths of their best containers; votes are summed per host in Spark, and every page of a host is extracted again at the winning path. A page
+without that path, or with much less text there than in its own best container, keeps its own.
 
 Boilerplate (menus, headers and footers of the page, sidebars, notices, adverts, forms, reader comments, scripts and
 styles) is told by tag, role and the words of class and id, and never scores nor is extracted.
@@ -30,6 +30,8 @@ BROADCAST_HOSTS = 20_000
 INHERIT = 0.95
 #: A container votes if it scores this share of the page's best.
 VOTES_FROM = 0.6
+#: The host's path is used on a page if it holds this share of the text outside links of the page's best container.
+USED_FROM = 0.6
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -200,14 +202,15 @@ class Page:
         return sorted(out.items())
 
     def text(self, path: str | None) -> str:
-        """The blocks in containers of that path; failing that, or if these lack a part of the page's best container around them, those of the best."""
+        """The blocks in containers of that path; if these hold too little, or lack a part of the page's best container around them, those of the best."""
         chosen = self._within({i for i, (p, _) in enumerate(self.containers) if p == path})
         best = self._within({self.best(self.scores())})
         if any(c and not b for c, b in zip(chosen, best)):
             lost = False  # the path leads elsewhere, or around the best
         else:
             lost = any(article and len(text) > 2 * linked and best[box] and not chosen[box] for box, text, linked, article in self.blocks)
-        return "\n".join(([] if lost else self._inside(chosen)) or self._inside(best))
+        own, its = (sum(max(0, len(text) - 2 * linked) for box, text, linked, _ in self.blocks if inside[box]) for inside in (best, chosen))
+        return "\n".join(([] if lost or its < USED_FROM * own else self._inside(chosen)) or self._inside(best))
 
     def _within(self, chosen: set[int]) -> list[bool]:
         inside = [False] * len(self.containers)
