@@ -105,3 +105,15 @@ def test_a_page_of_another_layout_keeps_its_article():
     page = host_paths.Page(f"<body>{article}<div class=content>By a writer</div></body>")
     assert page.text(">body>div.content") == page.text(None) == "\n".join(["A paragraph of the story."] * 9)
     assert host_paths.Page("<body><div class=content><p>By a writer</div></body>").text(">body>div.content") == "By a writer"
+
+
+def test_class_words_of_wrappers_keep_the_article():
+    story = "".join(f"<p>Paragraph {i} of the story.</p>" for i in range(4))
+    text = "\n".join(f"Paragraph {i} of the story." for i in range(4))
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-comments", "main social"):
+        for inner in (f"<article>{story}</article>", f"<main>{story}</main>", f"<div>{story}</div>"):
+            page = f"<body><div class='{name}'>{inner}<div class=sidebar><p>side</p></div></div><footer>foot</footer></body>"
+            assert host_paths.Page(page).text(None) == (text if name != "no-comments" or "<div>" not in inner else text + "\nside"), (name, inner)
+    comments = "<div class=comments>" + "<p>A reader says a lot of words.</p>" * 40 + "</div>"
+    assert host_paths.Page(f"<body><div>{story}</div>{comments}</body>").text(None) == text
+    assert host_paths.Page("<body><div class=notice>All there is</div></body>").text(None) == "All there is"

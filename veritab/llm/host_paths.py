@@ -7,7 +7,9 @@ around it with a heading or paragraph outside the one before. Pages vote for the
 without that path, or with much less text there than in its own best container, keeps its own.
 
 Boilerplate (menus, headers and footers of the page, sidebars, notices, adverts, forms, reader comments, scripts and
-styles) is told by tag, role and the words of class and id, and never scores nor is extracted.
+styles) is told by tag, role and the words of class and id, and never scores nor is extracted. A class word doesn't hold
+for an element with a main element, the page's only article, or most of the page's text (unless it tells comments or
+related pages), nor on a page that would be empty by it.
 
 Nulls: null html is empty and gives an empty text; a null url is the host ''. Broken markup is read as far as it
 goes. Repeated rows vote and are extracted each. Other columns are not read. An empty table gives an empty result.
@@ -51,6 +53,7 @@ BOILER_WORDS = frozenset(
     " notification alert popup modal overlay sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs footer social share sharing related recommended recommendations"
     " comment comments commentlist disqus respond reply replies discussion newsletter subscribe subscription signup login widget widgets toolbar pagination pager".split()
 )
+OTHERS_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion related recommended recommendations".split())  # may hold more text than the article
 PAGE_ONLY = frozenset(["header", "masthead", "topbar"])  # boilerplate outside the article only
 
 
@@ -59,14 +62,20 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _boiler(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """By tag, role or style."""
     if tag in BOILER_TAGS or (tag == "header" and not in_article):
         return True
     if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs.get("class", "").lower():
         return False
-    if attrs.get("role", "").lower() in BOILER_ROLES or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
+    return attrs.get("role", "").lower() in BOILER_ROLES or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def _named_boiler(tag: str, attrs: dict[str, str], in_article: bool) -> frozenset[str]:
+    """The words of class and id that tell boilerplate."""
+    if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs.get("class", "").lower():
+        return frozenset()
     words = {w.lower() for w in _WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
-    return bool(words & BOILER_WORDS or not in_article and words & PAGE_ONLY)
+    return frozenset(words & (BOILER_WORDS if in_article else BOILER_WORDS | PAGE_ONLY))
 
 
 class Page:
@@ -75,30 +84,49 @@ class Page:
     def __init__(self, source: str):
         self.containers: list[tuple[str, int]] = [("", -1)]
         self.blocks: list[tuple[int, str, int, bool]] = []
+        # an element that a class word tells: whether by OTHERS_WORDS, whether it holds main, and whether article
+        self._told: list[list[bool]] = []
+        # text as read: container, whether in a heading or paragraph, and of each part the text, whether linked, and the told elements around it
+        self._raw: list[tuple[int, bool, list[tuple[str, bool, tuple[int, ...]]]]] = []
+        self._outer_article = False
         self._read(source)
+        self._settle()
+
+    def _settle(self) -> None:
+        """Blocks from the text as read. A told element stays if it holds main, the page's only article, or most text of headings
+        and paragraphs (comments and related pages may hold more than the article); all stay on a page that would be empty."""
+        whole, held = 0, [0] * len(self._told)
+        for _, article, parts in self._raw:
+            for text, link, told in parts if article else ():
+                if not link:
+                    whole += len(text.strip())
+                    for i in told:
+                        held[i] += len(text.strip())
+        spared = {i for i, (others, main, article) in enumerate(self._told) if main or article and not self._outer_article or not others and 2 * held[i] > whole}
+        for kept in (spared, set(range(len(self._told)))):
+            for box, article, parts in self._raw:
+                parts = [(text, link) for text, link, told in parts if kept.issuperset(told)]
+                text = " ".join(html_lib.unescape("".join(t for t, _ in parts)).split())
+                if text:
+                    self.blocks.append((box, text, min(sum(len(t.strip()) for t, link in parts if link), len(text)), article))
+            if self.blocks:
+                break
 
     def _read(self, source: str) -> None:
-        # an open element: tag, its container, boilerplate, in article, in link
-        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
-        parts: list[str] = []
-        linked = at = 0
+        # an open element: tag, its container, boilerplate, in article, in link, told elements around
+        stack: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]] = [("", 0, False, False, False, ())]
+        parts: list[tuple[str, bool, tuple[int, ...]]] = []
+        at = 0
 
         def flush() -> None:
-            nonlocal linked
             if parts:
-                text = " ".join(html_lib.unescape("".join(parts)).split())
-                if text:
-                    block = next((t for t, *_ in reversed(stack) if t in BLOCK), "")
-                    self.blocks.append((stack[-1][1], text, min(linked, len(text)), block in ARTICLE))
+                block = next((t for t, *_ in reversed(stack) if t in BLOCK), "")
+                self._raw.append((stack[-1][1], block in ARTICLE, parts.copy()))
                 parts.clear()
-            linked = 0
 
         def take(text: str) -> None:
-            nonlocal linked
             if text and not stack[-1][2]:
-                parts.append(text)
-                if stack[-1][4]:
-                    linked += len(text.strip())
+                parts.append((text, stack[-1][4], stack[-1][5]))
 
         while True:
             m = _TOKEN.search(source, at)
@@ -139,14 +167,23 @@ class Page:
                         break
                 elif stack[i][0] in ("ul", "ol", "dl", "table", "tbody", "select", *CONTAINER):
                     break
-        _, box, boiler, in_article, in_link = stack[-1]
+        _, box, boiler, in_article, in_link, told = stack[-1]
         attrs = _attributes(raw)
         boiler = boiler or _boiler(tag, attrs, in_article)
+        if not boiler:
+            words = _named_boiler(tag, attrs, in_article)
+            if words:
+                told = (*told, len(self._told))
+                self._told.append([bool(words & OTHERS_WORDS), False, False])
+            elif tag in ("article", "main"):
+                self._outer_article |= not told
+                for i in told:
+                    self._told[i][1 if tag == "main" else 2] = True
         if tag in CONTAINER and not boiler:
             classes = sorted(re.sub(r"\d+", "#", c) for c in attrs.get("class", "").split())
             self.containers.append((self.containers[box][0] + ">" + ".".join([tag, *classes]), box))
             box = len(self.containers) - 1
-        stack.append((tag, box, boiler, in_article or tag in ("article", "main"), in_link or tag == "a"))
+        stack.append((tag, box, boiler, in_article or tag in ("article", "main"), in_link or tag == "a", told))
 
     def _close(self, tag: str, stack: list, flush) -> None:
         for i in range(len(stack) - 1, 0, -1):
