@@ -10,6 +10,17 @@ def rng():
     return random.Random(5)
 
 
+@pytest.fixture
+def thue_morse():
+    """Two different strings of n letters that no polynomial modulo 2**64 tells apart."""
+
+    def pair(n):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+    return pair
+
+
 def words(rng, n):
     return " ".join(rng.choice(WORDS) for _ in range(n))
 

@@ -1,43 +1,49 @@
-"""Near-duplicate documents by order MinHash, verified by banded alignment.
-
-Words are runs of non-space characters, ASCII-lower-cased. Shingles are `k` = 5 words, labelled by their occurrence
-number in the document. Each of `m` hash functions picks the `l` labelled shingles with the smallest hashes, and keeps
-them in text order; their digest is one bucket key. Two documents share a key with about the chance that they agree on
-those shingles and their order, so the sketch follows edit similarity rather than the bag of shingles alone.
-Documents under l shingles have one key, of all their words.
-
-Copies (equal words) collapse first, onto their least doc_id. In each bucket the members are aligned with the least
-one, the leader: first with the least leader of all their buckets, then with those that are not yet of their class.
-Then all pairs of different classes that agree on `agree` of m keys are aligned (documents with a Jaccard similarity of
-0.8 over shingles agree on 13 of 32 on average), whoever led their buckets: of two classes the pair that agrees most
-first, then eight times as many in each round, until the classes are one or all their pairs are done. Pairs whose
-lengths or counts of words differ by more than the limit need no alignment. No bucket is capped; near copies of one text
-cost about one alignment each, but n documents that agree on `agree` keys without being alike cost n * n / 2.
-A link needs a word alignment within the band |i - j| <= d with d = (1 - similarity) *
-longer length edits. Classes are the components of the links, by minimum labels with pointer jumping; every step
-is a table in the shared folder.
+"""Order MinHash: near-duplicate documents, verified by banded alignment.
+
+Words are runs of non-space characters, ASCII-lower-cased. Two documents are linked if at most (1 - similarity) of the
+longer one's words must be edited to turn one into the other; `similarity` is 0.95, so that one word in twenty may
+differ. Classes are the components of the links.
+
+Sketch: shingles are `k` = 5 words, labelled by their occurrence number in the document. Each of `m` = 32 hash functions
+picks the `l` = 4 labelled shingles with the smallest hashes and keeps them in text order; their digest is one bucket key.
+Documents within the limit have at least 0.6 of their shingles in common, so that they agree on a key with chance
+0.6 ** 4 = 0.13 at the least and share one of 32 keys in 98 of 100 cases (in 83 of 100 for texts of 20 words, the
+shortest that one edit may link). Documents with fewer than l shingles link to their copies only.
+
+Copies (equal words) collapse first, by sha256, onto their least doc_id. Then the members of each bucket are aligned with
+its leaders, the least document of each class of lengths. What is left are buckets that still hold several classes: their
+members meet in blocks of bounded size, all pairs of different classes within neighbouring lengths are compared by
+counts of words in `CELLS` cells (an edit takes one from a cell and adds one to another, so a larger difference rules a
+link out), and the pairs that remain are aligned, of two classes the likeliest first and then 64 times as many in each round, until the
+classes are one or all their pairs are done. No bucket, pair or class is capped or sampled.
 
 Nulls: a null text is an empty one; rows with a null doc_id form no links and have a null class. Documents without a
 word are copies of each other. Rows that share a doc_id count as one document with several texts. Repeated rows give
-one result row. Other columns are not read. An empty table gives an empty result.
+one result row (rows with a null doc_id one each). Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import ship
 from .common import cut, map_arrow, runs
-from .textstats import Chunk, U, mix, powers, prefix_hash, utf8
-
-K, L, M, SIMILARITY = 5, 4, 32, 0.8
-#: Residues of word hashes that a bag counts.
-BAG = 64
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+from .textstats import Chunk, U, mix, rows_numbered, utf8
+
+K, L, M, SIMILARITY = 5, 4, 32, 0.95
+#: Cells in which the words of a document are counted, one byte each.
+CELLS = 256
+#: Members of a bucket that meet in one task at once.
+BLOCK = 512
+#: Pairs whose cells are compared at once.
+STEP = 20_000
 _SEEDS = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
 
 
@@ -45,6 +51,16 @@ def lowered(texts: list[bytes]) -> list[bytes]:
     return [t.lower() for t in texts]  # ASCII letters only: bytes
 
 
+@functools.lru_cache(1 << 18)
+def _digest(word: bytes) -> bytes:
+    return hashlib.blake2b(word, digest_size=8).digest()
+
+
+def word_hashes(c: Chunk) -> np.ndarray:
+    """64 bits of BLAKE2 for each word of the chunk: the same in every task."""
+    return np.frombuffer(b"".join(map(_digest, c.vocabulary)), U)[c.w_id]
+
+
 def _combine(parts: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(parts[0]), U)
     for p in parts:
@@ -52,61 +68,57 @@ def _combine(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketches(texts: list[bytes], k: int = K, l: int = L, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each text's words, its number of words, and its keys (texts x m; 0 beyond the only key of a short text)."""
-    c = Chunk(lowered(texts))
-    h = mix(c.w_hash + U(1))
-    n_words = c.count_words()
-    first = np.cumsum(n_words) - n_words
-    pos = np.arange(len(h)) - first[c.w_doc]
-    weight = powers(len(h) + 1)[0][pos]
-    digest = [np.zeros(c.n, U), np.zeros(c.n, U)]
-    some = np.flatnonzero(n_words > 0)
-    if len(h):
-        digest[0][some] = np.add.reduceat(h * weight, first[some])
-        digest[1][some] = np.add.reduceat(mix(h ^ U(0x5851F42D4C957F2D)) * weight, first[some])
-    digest = [mix(d + n_words.astype(U)) for d in digest]
-    keys = np.zeros((c.n, m), U)
-    # shingles: those that lie within one text
+def shingles(c: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each shingle that lies within one text, and its text."""
+    h = word_hashes(c)
     at = np.flatnonzero(c.w_doc[k - 1 :] == c.w_doc[: len(h) - k + 1]) if len(h) >= k else np.zeros(0, np.int64)
-    n_sh = np.zeros(c.n, np.int64)
-    if len(at):
-        s = _combine([h[at + j] for j in range(k)])
-        doc = c.w_doc[at]
-        # occurrence numbers: rank among equal shingles of the same text
-        salted = mix(s + mix(doc.astype(U) + U(3)))
-        order = np.argsort(salted, kind="stable")
-        new = np.ones(len(order), bool)
-        new[1:] = salted[order][1:] != salted[order][:-1]
-        run = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        occurrence = np.empty(len(order), np.int64)
-        occurrence[order] = np.arange(len(order)) - run
-        label = mix(s + occurrence.astype(U) * U(0xD6E8FEB86659FD93))
-        n_sh = np.bincount(doc, minlength=c.n)
-    short = n_sh < l
-    keys[short, 0] = mix(digest[0][short] ^ U(0x1234567))
-    if len(at):
-        long_doc = ~short[doc]
-        label, doc = label[long_doc], doc[long_doc]
-        docs = np.flatnonzero(~short)
-        if len(docs):
-            begin = np.concatenate([[0], np.cumsum(n_sh[docs])[:-1]])
-            of = np.repeat(np.arange(len(docs)), n_sh[docs])
-            top = np.iinfo(np.uint64).max
-            for r in range(m):
-                v = mix(label ^ _SEEDS[r])
-                picked = np.empty((l, len(docs)), np.int64)
-                for j in range(l):
-                    least = np.minimum.reduceat(v, begin)
-                    where = np.flatnonzero(v == least[of])
-                    if len(where) > len(docs):  # equal hashes: the first of each text
-                        _, one = np.unique(of[where], return_index=True)
-                        where = where[one]
-                    picked[j] = where
-                    v[where] = top
-                picked.sort(axis=0)
-                keys[docs, r] = _combine([label[p] for p in picked] + [np.full(len(docs), r, U)])
-    return digest[0], digest[1], n_words, keys
+    return _combine([h[at + j] for j in range(k)]), c.w_doc[at]
+
+
+def labelled(s: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles with their occurrence numbers in their texts."""
+    salted = mix(s + mix(doc.astype(U) + U(3)))
+    order = np.argsort(salted, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = salted[order][1:] != salted[order][:-1]
+    run = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    occurrence = np.empty(len(order), np.int64)
+    occurrence[order] = np.arange(len(order)) - run
+    return mix(s + occurrence.astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def _smallest(v: np.ndarray, below: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray, l: int) -> np.ndarray:
+    """Positions of the l smallest values of each text (texts x l), in text order. below: bounds under which they probably are."""
+    at = np.flatnonzero(v <= below)
+    short = np.flatnonzero(np.bincount(doc[at], minlength=len(size)) < l)
+    if len(short):  # the bound was too low for these
+        at = np.sort(np.concatenate([at, *(first[d] + np.flatnonzero(v[first[d] : first[d] + size[d]] > below[first[d]]) for d in short)]))
+    of = doc[at]
+    order = np.lexsort((v[at], of))
+    rank = np.arange(len(order)) - np.searchsorted(of, of)
+    return np.sort(at[order[rank < l]].reshape(len(size), l), axis=1)
+
+
+def sketches(texts: list[bytes], k: int = K, l: int = L, m: int = M) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The digest of each text's words, its number of words, and its keys (texts x m; 0 throughout for fewer than l shingles)."""
+    texts = lowered(texts)
+    c = Chunk(texts)
+    digests = [hashlib.sha256(b" ".join(t.split())).digest() for t in texts]
+    keys = np.zeros((c.n, m), U)
+    s, doc = shingles(c, k)
+    label = labelled(s, doc)
+    count = np.bincount(doc, minlength=c.n)
+    able = np.flatnonzero(count >= l)
+    if len(able):
+        mine = count[doc] >= l
+        label, size = label[mine], count[able]
+        of, first = np.repeat(np.arange(len(able)), size), np.cumsum(size) - size
+        below = np.repeat((np.minimum(1.0, (l + 5 * math.sqrt(l)) / size) * float(2**64 - 2**12)).astype(U), size)
+        for r in range(m):
+            v = (label ^ _SEEDS[r]) * (_SEEDS[r] | U(1))
+            picked = _smallest(v, below, of, first, size, l)
+            keys[able, r] = _combine([label[p] for p in picked.T] + [np.full(len(able), r, U)])
+    return digests, c.count_words(), keys
 
 
 def _run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
@@ -122,25 +134,30 @@ def _run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
     return n
 
 
-def _lce(ha: np.ndarray, hb: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The same for many starts at once, by binary lifting over prefix hashes."""
-    inv = powers(max(len(ha), len(hb)))[1]
-    room = np.minimum(len(ha) - 1 - i, len(hb) - 1 - j)
+def _ranks(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """For 1, 2, 4, ... the numbers of the stretches of that length in a and then b; equal for equal stretches only."""
+    out = [np.unique(np.concatenate([a, b]), return_inverse=True)[1]]
+    both, step = len(a) + len(b), 1
+    while 2 * step <= min(len(a), len(b)):
+        out.append(np.unique(rows_numbered(out[-1][: both - 2 * step + 1], out[-1][step : both - step + 1]), return_inverse=True)[1])
+        step *= 2
+    return out
+
+
+def _runs(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """_run for many starts at once."""
     out = np.zeros(len(i), np.int64)
-    top = int(room.max(initial=0))
-    step = 1 << max(0, top.bit_length() - 1) if top > 0 else 0
-    while step:
-        fits = out + step <= room
-        ia, jb = i + out, j + out
-        ea, eb = np.minimum(ia + step, len(ha) - 1), np.minimum(jb + step, len(hb) - 1)
-        same = (ha[ea] - ha[ia]) * inv[ia] == (hb[eb] - hb[jb]) * inv[jb]
-        out += np.where(fits & same, step, 0)
-        step >>= 1
+    for power in range(len(ranks) - 1, -1, -1):
+        step = 1 << power
+        for _ in range(2 if power == len(ranks) - 1 else 1):
+            fits = np.flatnonzero((i + out + step <= len(a)) & (j + out + step <= len(b)))
+            same = ranks[power][i[fits] + out[fits]] == ranks[power][len(a) + j[fits] + out[fits]]
+            out[fits[same]] += step
     return out
 
 
 def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
-    """Edit distance of two sequences of hashes if it is at most limit: furthest-reaching points on the diagonals of the band."""
+    """Edit distance of two sequences of numbers if it is at most limit: furthest-reaching points on the diagonals of the band."""
     if abs(len(a) - len(b)) > limit:
         return None
     n = min(len(a), len(b))
@@ -159,7 +176,7 @@ def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None
     ca, cb = np.bincount(where[: len(a)], minlength=len(both)), np.bincount(where[len(a) :], minlength=len(both))
     if max(np.maximum(ca - cb, 0).sum(), np.maximum(cb - ca, 0).sum()) > limit:
         return None
-    hashes: list[np.ndarray] = []
+    ranks: list[np.ndarray] = []
     goal = len(a) - len(b)  # diagonal i - j of the end
     reach = np.zeros(1, np.int64)  # nothing in common at the start, after trimming
     e = 0
@@ -178,176 +195,217 @@ def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None
         on = np.flatnonzero((reach >= 0) & (reach < len(a)) & (reach - k < len(b)))
         on = on[a[reach[on]] == b[reach[on] - k[on]]]
         if len(on) > 12:
-            hashes = hashes or [prefix_hash(a), prefix_hash(b)]
-            reach[on] += _lce(*hashes, reach[on], reach[on] - k[on])
+            ranks = ranks or _ranks(a, b)
+            reach[on] += _runs(ranks, a, b, reach[on], reach[on] - k[on])
         else:
             for x in on:
                 reach[x] += _run(a, b, int(reach[x]), int(reach[x] - k[x]))
 
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    longer = max(len(a), len(b))
-    if not longer:
-        return True
-    return edit_distance_within(a, b, int((1 - similarity) * longer + 1e-9)) is not None
-
+def edits_allowed(longer, similarity: float):
+    return ((1 - similarity) * longer + 1e-9).astype(np.int64) if isinstance(longer, np.ndarray) else int((1 - similarity) * longer + 1e-9)
 
-def _bags(texts: DataFrame) -> DataFrame:
-    """id, n_words and bag of each text: counts of its words by BAG residues of their hashes, 16 bits each, larger ones clipped."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        docs = utf8(batch.column(1))
-        for lo, hi in runs([len(t) for t in docs]):
-            c = Chunk(lowered(docs[lo:hi]))
-            counts = np.bincount(c.w_doc * BAG + (mix(c.w_hash + U(7)) % U(BAG)).astype(np.int64), minlength=c.n * BAG).reshape(c.n, BAG)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(c.count_words().astype(np.int64)), pa.array([x.tobytes() for x in np.minimum(counts, 65535).astype("<u2")], pa.binary())], names=["id", "n_words", "bag"])
 
-    return map_arrow(texts, run, "id long, n_words long, bag binary")
-
-
-def _possible(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose numbers of words and bags allow a link: bags that differ by more than the limit differ by more edits than that."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BAG).astype(np.int64) for i in (5, 6))
-        limit = ((1 - similarity) * np.maximum(batch.column(3).to_numpy(), batch.column(4).to_numpy()) + 1e-9).astype(np.int64)
-        apart = np.maximum(np.maximum(a - b, 0).sum(1), np.maximum(b - a, 0).sum(1))
-        return batch.select([0, 1, 2]).filter(pa.array(apart <= limit))
-
-    one = bags.select("id", F.col("n_words").alias("n_a"), F.col("bag").alias("bag_a"))
-    two = bags.select(F.col("id").alias("leader"), F.col("n_words").alias("n_b"), F.col("bag").alias("bag_b"))
-    both = pairs.join(one, "id").join(two, "leader").where(F.abs(F.col("n_a") - F.col("n_b")) <= F.lit(1 - similarity) * F.greatest("n_a", "n_b") + 1e-9)
-    return map_arrow(both.select("id", "leader", "agreed", "n_a", "n_b", "bag_a", "bag_b"), run, "id long, leader long, agreed long")
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    return edit_distance_within(a, b, edits_allowed(max(len(a), len(b)), similarity)) is not None
 
 
 def _sign(docs: DataFrame, k: int, l: int, m: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch.column(1))
-        d1, d2, keys = [], [], []
+        digests, n_words, keys = [], [np.zeros(0, np.int64)], []
         for lo, hi in runs([len(t) for t in texts]):
-            a, b, _, x = sketches(texts[lo:hi], k, l, m)
-            d1.append(a.view(np.int64))
-            d2.append(b.view(np.int64))
+            d, n, x = sketches(texts[lo:hi], k, l, m)
+            digests += d
+            n_words.append(n)
             x = x.view(np.int64)
-            keys += [row[row != 0] for row in x]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*d1, np.zeros(0, np.int64)])), pa.array(np.concatenate([*d2, np.zeros(0, np.int64)])), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "d1", "d2", "keys"])
+            keys += [row if row.any() else row[:0] for row in x]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(np.concatenate(n_words).astype(np.int32)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_words", "keys"])
 
-    return map_arrow(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, d1 long, d2 long, keys array<bigint>")
+    return map_arrow(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, digest binary, n_words int, keys array<bigint>")
+
+
+def _cells(texts: DataFrame) -> DataFrame:
+    """id and cells of each text: how many of its words are in each of CELLS classes of hashes, up to 255."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        docs = utf8(batch.column(1))
+        for lo, hi in runs([len(t) for t in docs]):
+            c = Chunk(lowered(docs[lo:hi]))
+            cell = (word_hashes(c) % U(CELLS)).astype(np.int64)
+            counts = np.bincount(c.w_doc * CELLS + cell, minlength=c.n * CELLS).reshape(c.n, CELLS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in np.minimum(counts, 255).astype(np.uint8)], pa.binary())], names=["id", "cells"])
+
+    return map_arrow(texts, run, "id long, cells binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, linked) of pairs (a, b)."""
+    """The pairs (id, leader) that are linked."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         left, right = utf8(batch.column(2)), utf8(batch.column(3))
         linked = np.zeros(len(left), bool)
         for lo, hi in runs([len(x) + len(y) for x, y in zip(left, right)]):
             c = Chunk(lowered(left[lo:hi] + right[lo:hi]))
-            words = np.split(c.w_hash, np.cumsum(c.count_words())[:-1])
+            words = np.split(c.w_id, np.cumsum(c.count_words())[:-1])
             half = hi - lo
             linked[lo:hi] = [similar(words[i], words[half + i], similarity) for i in range(half)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["a", "b", "linked"])
+        yield batch.select([0, 1]).filter(pa.array(linked))
 
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), run, "a long, b long, linked boolean")
+    one = texts.select("id", F.col("text").alias("text_a"))
+    two = texts.select(F.col("id").alias("leader"), F.col("text").alias("text_b"))
+    return map_arrow(pairs.join(one, "id").join(two, "leader").select("id", "leader", "text_a", "text_b"), run, "id long, leader long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, class_id) of the ids in links (a, b): the least id of each component. One table a round, until none changes."""
+    """(id, class_id) of the ids in links (a, b): the least id of each component. Two tables a round, until none changes."""
     sides = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "sides")
-    labels = cut(sides.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("class_id")), "labels")
+    labels = cut(sides.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("class_id")), "labels")
     while True:
         near = sides.join(labels, sides["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("class_id").alias("near"))
-        near = cut(near, "near")
-        met = cut(labels.join(near, "id", "left").select("id", "class_id", F.least("class_id", F.coalesce("near", "class_id")).alias("met")), "met")
+        met = cut(labels.join(near, "id").select("id", "class_id", F.least("class_id", "near").alias("met")), "met")
         up = met.select(F.col("id").alias("met"), F.col("met").alias("up"))
-        new = cut(met.join(up, "met", "left").select("id", "class_id", F.least("met", F.coalesce("up", "met")).alias("new")), "jumped")
-        changed = not new.where(F.col("new") < F.col("class_id")).isEmpty()
-        labels = new.select("id", F.col("new").alias("class_id"))
-        if not changed:
+        new = cut(met.join(up, "met").select("id", "class_id", F.least("met", "up").alias("new")), "jumped")
+        if new.where(F.col("new") < F.col("class_id")).isEmpty():
             return labels
+        labels = new.select("id", F.col("new").alias("class_id"))
 
 
-def classes(docs: DataFrame, *, k: int = K, l: int = L, m: int = M, similarity: float = SIMILARITY, agree: int = 6) -> DataFrame:
+def _merge(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels (id, class_id) after the links found (id, leader): components of classes, which are few."""
+    if found.isEmpty():
+        return labels
+    edges = _named(found, labels).select(F.col("id_class").alias("a"), F.col("leader_class").alias("b")).where("a != b").distinct()
+    joined = components(edges).select(F.col("id").alias("class_id"), F.col("class_id").alias("new"))
+    return cut(labels.join(joined, "class_id", "left").select("id", F.coalesce("new", "class_id").alias("class_id")), "labels")
+
+
+def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs with the classes of id and leader."""
+    one = labels.select("id", F.col("class_id").alias("id_class"))
+    two = labels.select(F.col("id").alias("leader"), F.col("class_id").alias("leader_class"))
+    return pairs.join(one, "id").join(two, "leader")
+
+
+def _length_class(n: str, similarity: float):
+    """Lengths that may link lie in the same class or in neighbouring ones."""
+    return F.floor(F.log(F.greatest(F.col(n), F.lit(1))) / F.lit(-math.log(similarity) + 1e-6)).cast("int")
+
+
+def classes(docs: DataFrame, *, k: int = K, l: int = L, m: int = M, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and copy_of (least doc_id with the same words)."""
     signed = cut(_sign(docs, k, l, m), "signed")
-    copies = cut(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("copy_of")), "copies")
-    named = signed.select("doc_id", "d1", "d2").join(copies, ["d1", "d2"]).select("doc_id", "copy_of").distinct()
-    firsts = signed.join(copies.select(F.col("copy_of").alias("doc_id"), F.col("d1").alias("e1"), F.col("d2").alias("e2")), "doc_id").where((F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
-    rows = cut(firsts.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).distinct(), "keys")
-
-    # the least member of a bucket leads; all members meet all leaders of their buckets
-    heads = rows.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n"))
-    leaders = cut(heads.where("n > 1").select("key", "leader"), "leaders")
-    pairs = cut(rows.join(leaders, "key").where("id != leader").select("id", "leader").distinct(), "pairs")
+    # the keys depend on the words only
+    copies = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys")), "copies")
+    named = cut(signed.select("doc_id", "digest").join(copies.select("digest", "copy_of"), "digest").select("doc_id", "copy_of").distinct(), "named")
+    no_id = docs.where(F.col("doc_id").isNull()).select(*[F.lit(None).cast("long").alias(c) for c in ("doc_id", "class_id", "copy_of")])
+    every_key = copies.select(F.col("copy_of").alias("id"), "n_words", F.explode("keys").alias("key")).repartition("key")
+    shared = every_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    rows = cut(every_key.join(shared, "key").withColumn("size", _length_class("n_words", similarity)), "shared")
+
+    # members meet the least document of their bucket and class of lengths, and of the class below
+    heads = rows.groupBy("key", "size").agg(F.min("id").alias("leader"))
+    every = heads.select("key", F.explode(F.array("size", F.col("size") + 1)).alias("size"), "leader")
+    pairs = cut(rows.join(every, ["key", "size"]).where("id != leader").select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader")).distinct(), "pairs")
     if pairs.isEmpty():
-        return named.select("doc_id", F.col("copy_of").alias("class_id"), "copy_of")
-    # of the candidates only; they are the documents met in any later round too
+        return named.select("doc_id", F.col("copy_of").alias("class_id"), "copy_of").union(no_id)
     wanted = cut(pairs.select("id").union(pairs.select("leader")).distinct(), "wanted")
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = cut(own.join(wanted, "id", "left_semi"), "texts")
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi"), "texts")
+    labels = wanted.select("id", F.col("id").alias("class_id"))
     # a member's least leader first: most of a class meets there, and need not meet again elsewhere
     first = cut(pairs.groupBy("id").agg(F.min("leader").alias("leader")), "first")
-    links, labels = _link(first, texts, similarity, None)
-    apart = cut(_named(pairs, labels).where("id_class != leader_class").select("id", "leader"), "apart")
-    links, labels = _link(apart, texts, similarity, links, labels)
-    links, labels = _outside(rows, links, labels, first.union(apart), texts, similarity, agree)
-    named = cut(named, "named")
-    return named.join(labels.withColumnRenamed("id", "copy_of"), "copy_of", "left").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of")
-
-
-def _link(pairs: DataFrame, texts: DataFrame, similarity: float, links: DataFrame | None, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """All links with those found among pairs (id, leader), and the labels of their components."""
-    once = pairs.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
-    found = cut(_verify(cut(once, "once"), texts, similarity).where("linked").select("a", "b").distinct(), "found")
-    if labels is not None and found.isEmpty():
-        return links, labels
-    links = found if links is None else cut(links.union(found), "links")
-    return links, components(links)
-
-
-def _outside(rows: DataFrame, links: DataFrame, labels: DataFrame, tried: DataFrame, texts: DataFrame, similarity: float, agree: int) -> tuple[DataFrame, DataFrame]:
-    """Links and labels after all pairs of two classes that agree on at least `agree` keys are aligned, but those tried."""
-    known = labels.withColumnRenamed("class_id", "known")
-    rows = rows.join(known, "id", "left").select("id", "key", F.coalesce("known", "id").alias("class_id"))
-    # a partner in another class shares keys whose buckets hold several classes
-    mixed = rows.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").select("key")
-    rows = cut(rows.join(cut(mixed, "mixed"), "key", "left_semi"), "mixed_rows")
-    able = cut(rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("id"), "able")
-    rows = cut(rows.join(able, "id", "left_semi"), "able_rows")
-    # keys are counted by class first: no member of a class shares more of them than the class
-    held = cut(rows.select("key", F.col("class_id").alias("other")).distinct(), "held")
-    near = cut(rows.join(held, "key").where("class_id != other").groupBy("id", "other").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("id", "other"), "near")
-    sides = cut(rows.join(near, "id"), "sides")
-    its = sides.select("key", F.col("id").alias("leader"), F.col("class_id").alias("other"), F.col("other").alias("class_id"))
-    both = sides.join(its, ["key", "class_id", "other"]).where("id > leader").groupBy("id", "leader").agg(F.count("*").alias("agreed")).where(F.col("agreed") >= agree)
-    both = _possible(cut(both, "agreeing"), cut(_bags(texts), "bags"), similarity)
-    done = tried.select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader")).distinct()
-    both, slots = cut(both.join(cut(done, "tried"), ["id", "leader"], "left_anti"), "outside"), 1
+    labels = _merge(labels, cut(_verify(first, texts, similarity), "found"))
+    left = cut(_named(pairs, labels).where("id_class != leader_class").select("id", "leader").join(first, ["id", "leader"], "left_anti"), "left")
+    labels = _merge(labels, cut(_verify(left, texts, similarity), "found"))
+    labels = _meet(rows, labels, first.union(left), texts, similarity)
+    labels = labels.select(F.col("id").alias("copy_of"), "class_id")
+    return named.join(labels, "copy_of", "left").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of").union(no_id)
+
+
+def _possible(members: DataFrame, similarity: float) -> DataFrame:
+    """(id, leader, apart) of the pairs in one block of (key, size, lo, hi) that are of two classes and that cells allow to link.
+
+    members comes sorted by these; a block never holds more than about two BLOCKs of rows."""
+
+    def of_blocks(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, size, lo, hi, ids, label, n, block, own = (rows.column(i).to_numpy() for i in range(9))
+        cells = np.frombuffer(b"".join(rows.column(9).to_pylist()), np.uint8).reshape(-1, CELLS)
+        new = np.ones(len(key) + 1, bool)
+        new[1:-1] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        edges = np.flatnonzero(new)
+        end = np.repeat(edges[1:], np.diff(edges))
+        at, step = np.arange(len(key)), 1
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            i, j = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
+            held.clear()
+            for a in range(0, len(i), STEP):
+                x, y = i[a : a + STEP], j[a : a + STEP]
+                d = cells[x].astype(np.int16) - cells[y]
+                more = np.maximum(d, 0).sum(1)
+                apart = np.maximum(more, more - d.sum(1, dtype=np.int64))
+                good = apart <= edits_allowed(np.maximum(n[x], n[y]), similarity)
+                x, y = ids[x[good]], ids[y[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(apart[good].astype(np.int64))], names=["id", "leader", "apart"])
+
+        while len(at := at[at + step < end[at]]):
+            j = at + step
+            meet = (label[at] != label[j]) & (own[at] | own[j]) & ((block[at] != block[j]) | (lo[at] == hi[at]))
+            meet &= np.abs(n[at] - n[j]) <= edits_allowed(np.maximum(n[at], n[j]), similarity)
+            held.append(np.stack([at[meet], j[meet]]))
+            if sum(x.shape[1] for x in held) >= STEP:
+                yield from flush()
+            step += 1
+        yield from flush()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            table = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            # the last block may go on in the next batch
+            last = [table.column(i).to_numpy() for i in range(4)]
+            same = np.logical_and.reduce([x == x[-1] for x in last]) if table.num_rows else np.zeros(0, bool)
+            whole = table.num_rows - int(same[::-1].argmin() if not same.all() else len(same))
+            yield from of_blocks(table.slice(0, whole)) if whole else ()
+            rest = table.slice(whole)
+        if rest is not None and rest.num_rows:
+            yield from of_blocks(rest)
+
+    ship(members.sparkSession)
+    return members.mapInArrow(run, "id long, leader long, apart long")
+
+
+def _meet(rows: DataFrame, labels: DataFrame, tried: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """labels after all pairs of two classes that share a key are compared, but those tried."""
+    groups = rows.join(labels, "id").select("id", "key", "n_words", "class_id", F.explode(F.array("size", F.col("size") + 1)).alias("group"), "size")
+    groups = groups.withColumn("own", F.col("group") == F.col("size"))
+    mixed = groups.groupBy("key", "group").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count("*").alias("n"), F.max("own").alias("own")).where("lo < hi and own")
+    mixed = mixed.select("key", "group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = groups.join(mixed, ["key", "group"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "class_id", "n_words", "block", "own")
+    dealt = dealt.join(cut(_cells(texts), "cells"), "id").select("key", "group", "lo", "hi", "id", "class_id", "n_words", "block", "own", "cells")
+    together = ["key", "group", "lo", "hi"]
+    near = _possible(dealt.repartition(*together).sortWithinPartitions(*together), similarity)
+    near = near.groupBy("id", "leader").agg(F.min("apart").alias("apart"))
+    both, slots = cut(near.join(tried, ["id", "leader"], "left_anti"), "possible"), 1
     while True:
-        # of two classes the pair that agrees most, in eight times as many slots each round
-        apart = cut(_named(both.select("id", "leader"), labels).where("id_class != leader_class"), "of_two")
+        # of two classes the pair that differs least, in 64 times as many slots each round
+        apart = cut(_named(both.select("id", "leader", "apart"), labels).where("id_class != leader_class"), "of_two")
         if apart.isEmpty():
-            return links, labels
-        both = cut(both.join(apart, ["id", "leader"]), "outside")
+            return labels
         slot = F.pmod(F.xxhash64("id", "leader"), F.lit(slots))
-        best = both.groupBy(F.least("id_class", "leader_class").alias("one"), F.greatest("id_class", "leader_class").alias("two"), slot.alias("slot")).agg(F.max(F.struct("agreed", "id", "leader")).alias("best"))
+        best = apart.groupBy(F.least("id_class", "leader_class").alias("one"), F.greatest("id_class", "leader_class").alias("two"), slot.alias("slot")).agg(F.min(F.struct("apart", "id", "leader")).alias("best"))
         best = cut(best.select("best.id", "best.leader"), "best")
-        links, labels = _link(best, texts, similarity, links, labels)
-        both, slots = cut(both.join(best, ["id", "leader"], "left_anti").select("id", "leader", "agreed"), "outside"), slots * 8
-
-
-def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """pairs (id, leader) with the classes of both; a document without links is its own."""
-    one = labels.select("id", F.col("class_id").alias("id_class"))
-    two = labels.select(F.col("id").alias("leader"), F.col("class_id").alias("leader_class"))
-    both = pairs.join(one, "id", "left").join(two, "leader", "left")
-    return both.select("id", "leader", F.coalesce("id_class", "id").alias("id_class"), F.coalesce("leader_class", "leader").alias("leader_class"))
+        found = cut(_verify(best, texts, similarity), "found")
+        labels = _merge(labels, found)
+        both, slots = apart.join(best, ["id", "leader"], "left_anti").select("id", "leader", "apart"), slots * 64
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id stands for its class, one row each, and those with a null doc_id; columns as they are."""
-    stay = cut(classes(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_stays")), "stay")
-    one = docs.where(F.col("doc_id").isNotNull()).join(stay, F.col("doc_id") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    stay = cut(classes(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("id")), "stay")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    one = rows.where(F.col("id").isNotNull()).join(stay, "id", "left_semi").dropDuplicates(["id"])
+    return one.unionByName(rows.where(F.col("id").isNull())).select("row.*")

@@ -44,8 +44,8 @@ def line_features(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     words = np.bincount(w_line, minlength=lines).astype(float)
     chars = c.per_line(c.code_points).astype(float)
     letters = np.maximum(c.per_line(LETTER[c.buf]), 1)
-    repeated = np.zeros(len(c.w_hash), bool)
-    repeated[1:] = (c.w_hash[1:] == c.w_hash[:-1]) & (c.w_doc[1:] == c.w_doc[:-1])
+    repeated = np.zeros(len(c.w_id), bool)
+    repeated[1:] = (c.w_id[1:] == c.w_id[:-1]) & (c.w_doc[1:] == c.w_doc[:-1])
     starts_upper = UPPER[c.buf[c.w_start]]
     per_word = np.maximum(words, 1)
     share = lambda mask: np.bincount(w_line[mask], minlength=lines) / per_word

@@ -1,19 +1,19 @@
-"""Flat numpy views over runs of texts: words, lines and their 64-bit hashes, without a Python loop per word.
+"""Flat numpy views over runs of texts: words, lines and their numbers, without a Python loop per word.
 
 A chunk joins its texts with one newline after each, as UTF-8 bytes. A word is a run of bytes other than
-0x20 and 0x09-0x0D; a line ends at each newline. Hashes are polynomials modulo 2**64, mixed at the end.
+0x20 and 0x09-0x0D; a line ends at each newline. Words and lines are told apart by their bytes, never by a hash alone.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,18 +30,6 @@ PUNCT = np.zeros(256, bool)
 PUNCT[[ord(c) for c in ".,;:!?"]] = True
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, U), np.full(n, _INVERSE, U)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and its inverse for i < n at least."""
-    return _powers(1 << max(21, int(n - 1).bit_length()))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = x.astype(U, copy=True)
     x ^= x >> U(30)
@@ -52,15 +40,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash makes the hash of any span."""
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum((values.astype(U) + U(1)) * powers(len(values) + 1)[0][: len(values)], dtype=U, out=out[1:])
+def numbered(values: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each value, equal for equal values only, and the distinct values in the order of their numbers."""
+    seen: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    return np.fromiter(map(seen.__getitem__, values), np.int64, len(values)), list(seen)
+
+
+def rows_numbered(*columns: np.ndarray) -> np.ndarray:
+    """A number for each row of columns of numbers from 0 on, equal for equal rows only."""
+    out, size = columns[0], int(columns[0].max(initial=0)) + 1
+    for c in columns[1:]:
+        n = int(c.max(initial=0)) + 1
+        if size * n >= 1 << 63:
+            out = np.unique(out, return_inverse=True)[1]
+            size = int(out.max(initial=0)) + 1
+        out, size = out * n + c, size * n
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts])
+def again(keys: np.ndarray) -> np.ndarray:
+    """Which rows have the key of an earlier one."""
+    order = np.argsort(keys, kind="stable")
+    out = np.zeros(len(keys), bool)
+    out[order[1:]] = keys[order][1:] == keys[order][:-1]
+    return out
 
 
 def utf8(texts: pa.Array) -> list[bytes]:
@@ -72,7 +75,8 @@ class Chunk:
 
     def __init__(self, texts: list[bytes]):
         self.n = len(texts)
-        self.buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        self.raw = b"\n".join(texts) + b"\n"
+        self.buf = np.frombuffer(self.raw, np.uint8)
         self.doc_start = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]]).astype(np.int64)
         space = SPACE[self.buf]
         self.solid = ~space
@@ -86,12 +90,18 @@ class Chunk:
         self.l_doc = np.searchsorted(self.doc_start, self.l_start, "right") - 1
 
     @functools.cached_property
-    def prefix(self) -> np.ndarray:
-        return prefix_hash(self.buf)
+    def _words(self) -> tuple[np.ndarray, list[bytes]]:
+        return numbered(self.raw.split())
 
-    @functools.cached_property
-    def w_hash(self) -> np.ndarray:
-        return span_hash(self.prefix, self.w_start, self.w_end)
+    @property
+    def w_id(self) -> np.ndarray:
+        """Equal for equal words of the chunk only."""
+        return self._words[0]
+
+    @property
+    def vocabulary(self) -> list[bytes]:
+        """The words by their w_id."""
+        return self._words[1]
 
     def per_doc(self, mask: np.ndarray) -> np.ndarray:
         """How many bytes of each document are in mask."""
@@ -109,26 +119,22 @@ class Chunk:
     @functools.cached_property
     def repeated_words(self) -> np.ndarray:
         """Words in 3-word windows that their text has twice or more."""
-        h, d = self.w_hash, self.w_doc
-        out = np.zeros(len(h), bool)
-        if len(h) < 3:
+        w, d = self.w_id, self.w_doc
+        out = np.zeros(len(w), bool)
+        if len(w) < 3:
             return out
         at = np.flatnonzero(d[2:] == d[:-2])
-        keys = mix(h[at] * U(3) + h[at + 1] * U(0x1000003) + h[at + 2] * U(0x10000000233) + mix(d[at].astype(U) + U(7)))
-        _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        again = at[counts[inverse] > 1]
+        _, inverse, counts = np.unique(rows_numbered(d[at], w[at], w[at + 1], w[at + 2]), return_inverse=True, return_counts=True)
+        twice = at[counts[inverse] > 1]
         for k in range(3):
-            out[again + k] = True
+            out[twice + k] = True
         return out
 
     @functools.cached_property
     def duplicate_lines(self) -> np.ndarray:
         """Lines with a word that equal an earlier line of their text."""
-        keys = mix(span_hash(self.prefix, self.l_start, self.l_end) + mix(self.l_doc.astype(U) + U(11)))
-        order = np.argsort(keys, kind="stable")
-        again = np.zeros(len(keys), bool)
-        again[order[1:]] = keys[order][1:] == keys[order][:-1]
-        return again & (self.per_line(self.solid) > 0)
+        lines, _ = numbered(self.raw.split(b"\n")[:-1])
+        return again(rows_numbered(self.l_doc, lines)) & (self.per_line(self.solid) > 0)
 
     def count_words(self, mask: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(self.w_doc if mask is None else self.w_doc[mask], minlength=self.n)
