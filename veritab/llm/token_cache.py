@@ -1,8 +1,12 @@
 """Token counts through a digest cache.
 
-The cache is a Parquet table of (tokenizer digest, content digest, n_tokens). Contents are normalised as the
-tokenizer itself ignores (white space around them), digested, and joined to the cache; only distinct contents it lacks are encoded, and their counts are appended. The digest of
-a tokenizer is that of its file, so that another version never meets old counts.
+The cache is a Parquet table of (tokenizer digest, content digest, n_tokens). Contents are normalised as far as the
+tokenizer's file says that it makes no difference (white space around them, for tokenizers that drop it), digested by
+sha256, and joined to the cache; only distinct contents that it lacks are encoded, and their counts are appended. The
+digest of a tokenizer is that of its file, so that another version never meets old counts.
+
+A content with very many copies is one row a task before any shuffle. When the counts come back to the rows, a digest
+is dealt over `SALTS` parts by the row's own id, and the counts, one row a digest, are repeated for each part.
 
 The library counts whole contents; a worker asks it once for each repeated piece (`pieces`).
 
@@ -17,30 +21,29 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..session import ship
-from .common import runs
-from .pieces import CHUNK, encoder
+from .common import exists, runs
+from .pieces import CHUNK, encoder, ignores_outer_space
 from .textstats import utf8
 
 SCHEMA = "tokenizer string, digest string, n_tokens long"
+SALTS = 8
+
 
 def tokenizer_digest(path: str) -> str:
     with open(path, "rb") as f:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def content(text: Column) -> Column:
+def content(text: Column, tokenizer: str) -> Column:
     """What the count depends on."""
-    return F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r"))
+    whole = F.coalesce(text, F.lit(""))
+    return F.btrim(whole, F.lit(" \t\n\r")) if ignores_outer_space(tokenizer) else whole
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(SCHEMA).parquet(path)
-    except AnalysisException:  # not written yet
-        return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], SCHEMA)
 
 
 def fill(docs: DataFrame, cache: str, tokenizer: str) -> None:
@@ -52,7 +55,7 @@ def fill(docs: DataFrame, cache: str, tokenizer: str) -> None:
     ship(spark)
     version = tokenizer_digest(tokenizer)
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest")
-    contents = docs.select(content(F.col("text")).alias("content")).withColumn("digest", F.sha2("content", 256))
+    contents = docs.select(content(F.col("text"), tokenizer).alias("content")).withColumn("digest", F.sha2("content", 256))
     misses = contents.groupBy("digest").agg(F.first("content").alias("content")).join(known, "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +70,10 @@ def fill(docs: DataFrame, cache: str, tokenizer: str) -> None:
 def count(docs: DataFrame, cache: str, tokenizer: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs, after filling the cache."""
     fill(docs, cache, tokenizer)
-    # two tasks that ran at once may both have appended a content: one count each
+    # two runs at once may both have appended a content: one count each
     counts = read_cache(docs.sparkSession, cache).where(F.col("tokenizer") == tokenizer_digest(tokenizer)).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
-    rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(content(F.col("text")), 256).alias("digest"))
-    return rows.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    rows = docs.select("doc_id", n_bytes.alias("n_bytes"), F.sha2(content(F.col("text"), tokenizer), 256).alias("digest"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    return rows.join(counts, ["digest", "salt"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

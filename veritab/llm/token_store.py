@@ -1,12 +1,13 @@
 """Token-id output: concatenated id arrays with Elias-Fano encoded document boundaries.
 
 A store is a folder of Parquet files that Spark's writers commit, so a lost executor leaves no half file. A row is a
-shard: about `shard_ids` consecutive ids of whole documents in ascending doc_id order (of equal ids, by text), as
+shard: about `shard_ids` consecutive ids of whole documents in the store's order (ascending doc_id and, of equal ids, a
+hash of the text and then the text, unless columns to order by are given), as
 
   part, seq     shard order: shards sort by (part, seq)
   n_docs, n_ids
   doc_ids       the documents' ids
-  ids           little-endian unsigned ids, 2 bytes each where the vocabulary allows, else 4 (id_bytes)
+  ids           little-endian unsigned ids, 2 bytes each where the vocabulary and the end id allow, else 4 (id_bytes)
   low_bits, low, high   Elias-Fano code of the n_docs + 1 boundaries in the shard
 
 Boundaries are non-decreasing numbers up to n_ids. Each is split into low_bits low bits, packed, and a high part,
@@ -14,6 +15,9 @@ written in unary in `high`: boundary i sets bit (high part + i). With low_bits =
 about 2 + low_bits bits a document. `Boundaries` answers select(i) from a sampled directory of `high`, without a
 table of 64-bit offsets. Offsets over the whole store add the ids of earlier shards.
 
+Reading is map-side: the offsets of shards, one small row each, are broadcast up to `BROADCAST_SHARDS` rows, so that the
+shards' bytes stay where they lie; a store of more shards is joined with its offsets by shuffle.
+
 Nulls: a null text is an empty one, a null doc_id comes first. Every document ends with the end id, so an empty one
 has one id. Repeated rows are stored again. Other columns are not read. An empty table makes an empty store.
 """
@@ -28,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import ship
-from .common import map_arrow, runs
+from .common import cut, map_arrow, runs
 from .pieces import CHUNK, encoder
 from .textstats import utf8
 
 SCHEMA = "part int, seq int, n_docs long, n_ids long, doc_ids array<bigint>, id_bytes int, ids binary, low_bits int, low binary, high binary"
 SELECT_STEP = 64
+#: Shards up to which the offsets are broadcast (24 bytes each).
+BROADCAST_SHARDS = 1_000_000
 
 
 def encode_boundaries(bounds: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -86,13 +92,24 @@ class Boundaries:
         return (high | (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)).astype(np.int64)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id_bytes: int = 2, shard_ids: int = 1 << 20) -> None:
-    """Encodes every text, appends end_id, and writes shards in ascending doc_id order.
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes that hold every id of the tokenizer and the end id."""
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()
+    return 2 if max([end_id, *vocabulary]) < 1 << 16 else 4
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, order: list[str] | None = None, shard_ids: int = 1 << 20) -> None:
+    """Encodes every text, appends end_id, and writes shards in ascending doc_id order, or in that of the columns in order.
 
     Documents are dealt by ranges of (doc_id, text hash), so that one doc_id with very many rows is split too."""
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    id_bytes = id_width(tokenizer, end_id)
+    by = [F.col(f"`{c}`").alias(f"by{i}") for i, c in enumerate(order or [])]
+    rows = docs.select(*by, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = [f"by{i}" for i in range(len(by))] + ["doc_id", "h"]
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
     end = np.array([end_id], np.dtype(f"<u{id_bytes}")).tobytes()
 
     def shard(part: int, seq: int, doc_ids: list, ids: list[bytes]) -> pa.RecordBatch:
@@ -147,6 +164,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(s["doc_ids"], pa.int64()), pa.array(bounds[:-1] + s["first"]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # the shards' bytes stay where they are: only the small offsets are sent, if they are small
-    shards = spark.read.schema(SCHEMA).parquet(path).join(offsets(spark, path), ["part", "seq"])
+    first = cut(offsets(spark, path), "offsets")
+    shards = spark.read.schema(SCHEMA).parquet(path).join(F.broadcast(first) if first.count() <= BROADCAST_SHARDS else first, ["part", "seq"])
     return map_arrow(shards, unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
