@@ -7,9 +7,9 @@ output for a prefix is not a prefix of its next output rewrites history; this is
 moves have none (-1) and take no part in the loss mask.
 
 Conversations are grouped on conv_id and ordered by turn, then role, then text; a conversation is one training
-example and is rendered whole. The work per conversation is the sum of its prefixes' lengths.
+example and is rendered whole by one task. The work per conversation is the sum of its prefixes' lengths.
 
-Nulls: a null text or role is empty, a null turn comes first, rows with a null conv_id form one conversation.
+Nulls: a null text or role is empty, a null turn comes first, each row with a null conv_id is a conversation of its own.
 Repeated rows are repeated turns. Extra columns are not read. An empty table gives an empty result.
 """
 
@@ -105,7 +105,8 @@ def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int,
 def conversations(rows: DataFrame) -> DataFrame:
     """One row a conversation: conv_id, turns array<struct<turn, role, text>> in order."""
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    named = rows.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    return named.unionByName(rows.where(F.col("conv_id").isNull()).select("conv_id", F.array(one).alias("turns")))
 
 
 def format_conversations(rows: DataFrame, template: Template = instruct) -> DataFrame:

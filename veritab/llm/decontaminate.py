@@ -4,11 +4,14 @@ Texts and benchmark items are lower-cased and everything between letters and dig
 characters allows e = floor(rate * n) edits, or as many as its length lets the filter prove. Text that aligns with it
 within e edits shares at least n + 1 - q * (e + 1) q-grams with it, on diagonals no more than e apart. So the q-grams
 of whole texts that occur in any item are counted per item in overlapping bands of 2 (e + 1) diagonals; regions whose
-count reaches the bound are kept, and an alignment of the item inside that band decides.
+count reaches the bound are kept, and an alignment of the item inside that band decides: the regions of a chunk of
+texts are aligned together, row by row, and leave as soon as no cell is within the budget, so that items with a common
+beginning cost little more where only that occurs.
 
 The items are a stated query set: they go to the executors in blocks of bounded size, and documents never move.
-Items longer than `WINDOW` characters are matched by overlapping windows; one with fewer than q characters after
-normalising can't be told from chance and matches nothing.
+Items longer than `window` characters are matched by overlapping windows, any of which counts; window=None matches
+items of any length as a whole. One with fewer than q characters after normalising has no q-gram: it matches the texts
+that consist of it alone, exactly.
 
 Nulls: a null text is an empty one, a null item never matches, a null doc_id stays a row. Repeated rows give repeated
 rows, repeated items one row for each item_id. Other columns are not read. Empty tables give an empty result.
@@ -72,6 +75,7 @@ class Items:
     pattern: np.ndarray
     position: np.ndarray
     q: int
+    short: dict[bytes, list[int]]  # patterns without a q-gram, by their code points
 
     @functools.cached_property
     def seen(self) -> np.ndarray:
@@ -80,28 +84,35 @@ class Items:
         return bits
 
 
-def index(items: list[tuple[object, str]], q: int = Q, rate: float = RATE) -> Items:
-    ids, codes = [], []
+def stripped(code: np.ndarray) -> np.ndarray:
+    """Without the spaces around it."""
+    solid = np.flatnonzero(code != 32)
+    return code[solid[0] : solid[-1] + 1] if len(solid) else code[:0]
+
+
+def index(items: list[tuple[object, str]], q: int = Q, rate: float = RATE, window: int | None = WINDOW) -> Items:
+    ids, codes, short = [], [], {}
     for item_id, text in items:
-        code, starts = normalise([text or ""])
-        code = code[: len(code) - 1] if len(code) and code[-1] == 32 else code
-        if len(code) < q:
+        code = stripped(normalise([text or ""])[0])
+        if not len(code):
             continue
-        for at in range(0, len(code), STEP) if len(code) > WINDOW else (0,):
-            part = code[at : at + WINDOW] if at + WINDOW < len(code) else code[max(0, len(code) - WINDOW) :] if len(code) > WINDOW else code
+        starts = [0]
+        if window and len(code) > window:
+            starts = sorted({min(at, len(code) - window) for at in range(0, len(code) - window + STEP, STEP)})
+        for at in starts:
+            if len(code) < q:
+                short.setdefault(code.tobytes(), []).append(len(codes))
             ids.append(item_id)
-            codes.append(part)
-            if at + WINDOW >= len(code):
-                break
+            codes.append(code[at : at + window] if window else code)
     n = np.array([len(c) for c in codes], np.int64)
-    budget = np.minimum((rate * n).astype(np.int64), n // q - 1)
-    budget = np.maximum(budget, 0)
-    pattern = np.repeat(np.arange(len(codes)), n - q + 1) if len(codes) else np.zeros(0, np.int64)
-    position = np.concatenate([np.arange(k - q + 1) for k in n]) if len(codes) else np.zeros(0, np.int64)
+    budget = np.maximum(np.minimum((rate * n).astype(np.int64), n // q - 1), 0)
+    count = np.maximum(n - q + 1, 0)
+    pattern = np.repeat(np.arange(len(codes)), count)
+    position = np.concatenate([np.arange(k) for k in count]) if len(codes) else np.zeros(0, np.int64)
     h = np.concatenate([grams(c, q) for c in codes]) if codes else np.zeros(0, U)
     order = np.argsort(h, kind="stable")
     hashes, first = np.unique(h[order], return_index=True)
-    return Items(ids, codes, budget, n + 1 - q * (budget + 1), hashes, np.append(first, len(h)), pattern[order], position[order], q)
+    return Items(ids, codes, budget, n + 1 - q * (budget + 1), hashes, np.append(first, len(h)), pattern[order], position[order], q, short)
 
 
 def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -116,12 +127,61 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return int(row.min()), int(row.argmin())
 
 
+def align_bands(items: Items, code: np.ndarray, p: np.ndarray, lo: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pattern p, its least edit distance to a part of code[begin:end] that starts on the diagonals lo to lo + 2 (e + 1),
+    and where that part ends. Distances over the budget e may come out larger than they are."""
+    n = np.array([len(items.codes[i]) for i in p], np.int64)
+    e = items.budget[p]
+    found, at_end = np.full(len(p), 1 << 20, np.int64), np.zeros(len(p), np.int64)
+    order = np.argsort(n, kind="stable")
+    at = 0
+    while at < len(order):
+        size = max(1, BATCH_CELLS // int(n[order[min(at + 256, len(order) - 1)]] + 5 * e[order[at]] + 8))
+        rows = order[at : at + size]
+        at += size
+        width, longest = int(4 * e[rows].max() + 4), int(n[rows].max())
+        first = lo[rows] - e[rows]
+        where = first[:, None] + np.arange(longest + width)
+        inside = (where >= begin[rows, None]) & (where < end[rows, None])
+        text = np.where(inside, code[np.clip(where, 0, len(code) - 1)].astype(np.int32), -1)
+        item = np.full((len(rows), longest), -2, np.int32)
+        for k, i in enumerate(rows.tolist()):
+            item[k, : n[i]] = items.codes[p[i]]
+        steps = np.arange(width, dtype=np.int32)
+        cost = np.zeros((len(rows), width), np.int32)
+        for i in range(longest):
+            best = cost + (text[:, i : i + width] != item[:, i : i + 1])
+            np.minimum(best[:, :-1], cost[:, 1:] + 1, out=best[:, :-1])
+            cost = np.minimum.accumulate(best - steps, axis=1) + steps
+            least = cost.min(axis=1)
+            over = n[rows] == i + 1
+            if over.any():
+                found[rows[over]] = least[over]
+                at_end[rows[over]] = np.minimum(first[over] + i + 1 + cost[over].argmin(axis=1), end[rows[over]])
+            if over.any() or i % 8 == 7:
+                on = ~over & (least <= e[rows])
+                rows, first, text, item, cost = rows[on], first[on], text[on], item[on], cost[on]
+                if not len(rows):
+                    break
+    return found, at_end
+
+
+#: Characters of regions that are aligned at once.
+BATCH_CELLS = 1 << 18
+
+
 def find(texts: list[str], items: Items) -> list[tuple[int, int, int, int]]:
     """(text, pattern, distance, end in the normalised text) of every pattern that a text holds within its budget."""
     code, starts = normalise(texts)
     q = items.q
-    if not len(items.codes) or len(code) < q:
-        return []
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    if items.short:
+        for t in np.flatnonzero(np.diff(starts) <= q + 2).tolist():
+            own = stripped(code[starts[t] : starts[t + 1]])
+            for p in items.short.get(own.tobytes(), ()):
+                out[t, p] = (0, int(starts[t + 1] - starts[t]))
+    if not len(items.hashes) or len(code) < q:
+        return [(t, p, d, end) for (t, p), (d, end) in sorted(out.items())]
     h = grams(code, q)
     hit = np.flatnonzero(items.seen[(h >> U(64 - _BITS)).astype(np.int64)])
     where = np.searchsorted(items.hashes, h[hit])
@@ -131,43 +191,40 @@ def find(texts: list[str], items: Items) -> list[tuple[int, int, int, int]]:
     post = np.repeat(items.first[where] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     pattern = items.pattern[post]
     diagonal = np.repeat(hit, size) - items.position[post] + _FAR // 4
-    stride = items.budget[pattern] + 1
-    band = diagonal // stride
+    band = diagonal // (items.budget[pattern] + 1)
     keys = np.concatenate([pattern * _FAR + band, pattern * _FAR + band - 1])
     keys, counts = np.unique(keys, return_counts=True)
     kept = keys[counts >= items.bound[keys // _FAR]]
-    out: dict[tuple[int, int], tuple[int, int]] = {}
-    for key in kept.tolist():
-        p, b = divmod(key, _FAR)
-        e, item = int(items.budget[p]), items.codes[p]
-        lo = b * (e + 1) - _FAR // 4
-        hi = lo + 2 * (e + 1) + len(item)
-        # a band may lie over the end of a text: its part in each text is tried
-        for t in range(max(0, int(np.searchsorted(starts, max(lo, 0), "right")) - 1), len(texts)):
-            if starts[t] >= hi:
-                break
-            a, z = max(lo - e, int(starts[t]), 0), min(hi + e, int(starts[t + 1]))
-            if z - a < len(item) - e:
-                continue
-            d, end = align(item, code[a:z])
-            if d <= e and (t, p) not in out or d < out.get((t, p), (d,))[0]:
-                out[t, p] = (d, a + end - int(starts[t]))
+    p = kept // _FAR
+    stride = items.budget[p] + 1
+    lo = (kept % _FAR) * stride - _FAR // 4
+    hi = lo + 2 * stride + np.array([len(items.codes[i]) for i in p], np.int64)
+    # a band may lie over the end of a text: its part in each text is tried
+    t = np.maximum(np.searchsorted(starts, np.maximum(lo, 0), "right") - 1, 0)
+    many = np.maximum(np.minimum(np.searchsorted(starts[:-1], hi, "left"), len(texts)) - t, 0)
+    each = np.repeat(np.arange(len(kept)), many)
+    t = t[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+    p, lo = p[each], lo[each]
+    distance, end = align_bands(items, code, p, lo, starts[t], starts[t + 1])
+    for k in np.flatnonzero(distance <= items.budget[p]).tolist():
+        key, one = (int(t[k]), int(p[k])), (int(distance[k]), int(end[k] - starts[t[k]]))
+        out[key] = min(one, out.get(key, one))
     return [(t, p, d, end) for (t, p), (d, end) in sorted(out.items())]
 
 
-def blocks(benchmark: DataFrame, q: int, rate: float) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, q: int, rate: float, window: int | None) -> Iterator[Items]:
     """The items as indexes of about BLOCK_CHARS characters each, one gathered after another."""
     own = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + chars // BLOCK_CHARS
     for i in range(n):
-        yield index(sorted((tuple(r) for r in own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()), key=str), q, rate)
+        yield index(sorted((tuple(r) for r in own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()), key=str), q, rate, window)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, window: int | None = WINDOW) -> DataFrame:
     """doc_id, item_id, distance, n_chars (of the item or window), text_end (in the normalised text), one row a match."""
     out = None
-    for items in blocks(benchmark, q, rate):
+    for items in blocks(benchmark, q, rate, window):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
@@ -188,9 +245,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float =
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, window: int | None = WINDOW) -> DataFrame:
     """The rows of docs that hold no item, with their own columns."""
-    for items in blocks(benchmark, q, rate):
+    for items in blocks(benchmark, q, rate, window):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:

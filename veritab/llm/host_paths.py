@@ -46,6 +46,7 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CONTAINER = frozenset("article main section div td body center blockquote".split())
 ARTICLE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())  # blocks of these are article text
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+BOUNDS = ("ul", "ol", "dl", "table", "tbody", "select", *sorted(CONTAINER))  # what CLOSES doesn't reach beyond
 BOILER_TAGS = frozenset("nav aside footer form button select dialog menu template svg object canvas audio video head script style title textarea xmp iframe noembed noframes noscript".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 BOILER_WORDS = frozenset(
@@ -57,6 +58,9 @@ OTHERS_WORDS = frozenset("comment comments commentlist disqus respond reply repl
 PAGE_ONLY = frozenset(["header", "masthead", "topbar"])  # boilerplate outside the article only
 
 
+_RAW_END = {tag: re.compile(f"</{tag}[^>]*>", re.I) for tag in RAW}
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /\n\t") else {}
 
@@ -79,16 +83,26 @@ def _named_boiler(tag: str, attrs: dict[str, str], in_article: bool) -> frozense
 
 
 class Page:
-    """containers: (path, parent container or -1); blocks: (container, text, characters in links, whether in a heading or paragraph) outside boilerplate."""
+    """containers: (path number, parent container or -1); blocks: (container, text, characters in links, whether in a heading or
+    paragraph) outside boilerplate. A path is a step below another path; only those that vote are written out.
+
+    Reading takes time and memory in proportion to the page, however its elements nest: what is open is known by tag."""
 
     def __init__(self, source: str):
-        self.containers: list[tuple[str, int]] = [("", -1)]
+        self.containers: list[tuple[int, int]] = [(0, -1)]
+        self._paths: dict[tuple[int, str], int] = {}
+        self._steps: list[tuple[int, str]] = [(-1, "")]
         self.blocks: list[tuple[int, str, int, bool]] = []
-        # an element that a class word tells: whether by OTHERS_WORDS, whether it holds main, and whether article
-        self._told: list[list[bool]] = []
-        # text as read: container, whether in a heading or paragraph, and of each part the text, whether linked, and the told elements around it
-        self._raw: list[tuple[int, bool, list[tuple[str, bool, tuple[int, ...]]]]] = []
+        # an element that a class word tells: the told element around it or -1, whether by OTHERS_WORDS, whether it holds main, and whether article
+        self._told: list[list] = []
+        # text as read: container, whether in a heading or paragraph, and of each part the text, whether linked, and the told element around it
+        self._raw: list[tuple[int, bool, list[tuple[str, bool, int]]]] = []
         self._outer_article = False
+        # open elements: tag, container, boilerplate, in article, in link, told element around; and where each tag and any block is open
+        self._stack: list[tuple[str, int, bool, bool, bool, int]] = [("", 0, False, False, False, -1)]
+        self._where: dict[str, list[int]] = {}
+        self._open_blocks: list[int] = []
+        self._parts: list[tuple[str, bool, int]] = []
         self._read(source)
         self._settle()
 
@@ -100,100 +114,129 @@ class Page:
             for text, link, told in parts if article else ():
                 if not link:
                     whole += len(text.strip())
-                    for i in told:
-                        held[i] += len(text.strip())
-        spared = {i for i, (others, main, article) in enumerate(self._told) if main or article and not self._outer_article or not others and 2 * held[i] > whole}
-        for kept in (spared, set(range(len(self._told)))):
+                    if told >= 0:
+                        held[told] += len(text.strip())
+        for i in range(len(held) - 1, -1, -1):  # inner elements come after outer ones
+            around = self._told[i][0]
+            if around >= 0:
+                held[around] += held[i]
+                for flag in (2, 3):
+                    self._told[around][flag] |= self._told[i][flag]
+        spared: list[bool] = []
+        for i, (around, others, main, article) in enumerate(self._told):
+            stays = main or article and not self._outer_article or not others and 2 * held[i] > whole
+            spared.append(stays and (around < 0 or spared[around]))
+        for everything in (False, True):
             for box, article, parts in self._raw:
-                parts = [(text, link) for text, link, told in parts if kept.issuperset(told)]
+                parts = [(text, link) for text, link, told in parts if everything or told < 0 or spared[told]]
                 text = " ".join(html_lib.unescape("".join(t for t, _ in parts)).split())
                 if text:
                     self.blocks.append((box, text, min(sum(len(t.strip()) for t, link in parts if link), len(text)), article))
             if self.blocks:
                 break
 
-    def _read(self, source: str) -> None:
-        # an open element: tag, its container, boilerplate, in article, in link, told elements around
-        stack: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]] = [("", 0, False, False, False, ())]
-        parts: list[tuple[str, bool, tuple[int, ...]]] = []
-        at = 0
-
-        def flush() -> None:
-            if parts:
-                block = next((t for t, *_ in reversed(stack) if t in BLOCK), "")
-                self._raw.append((stack[-1][1], block in ARTICLE, parts.copy()))
-                parts.clear()
+    def _flush(self) -> None:
+        if self._parts:
+            block = self._stack[self._open_blocks[-1]][0] if self._open_blocks else ""
+            self._raw.append((self._stack[-1][1], block in ARTICLE, self._parts))
+            self._parts = []
 
-        def take(text: str) -> None:
-            if text and not stack[-1][2]:
-                parts.append((text, stack[-1][4], stack[-1][5]))
+    def _take(self, text: str) -> None:
+        _, _, boiler, _, in_link, told = self._stack[-1]
+        if text and not boiler:
+            self._parts.append((text, in_link, told))
 
-        while True:
-            m = _TOKEN.search(source, at)
-            take(source[at : m.start()] if m else source[at:])
-            if not m:
-                break
+    def _read(self, source: str) -> None:
+        at = 0
+        while m := _TOKEN.search(source, at):
+            self._take(source[at : m.start()])
             at, tag = m.end(), (m[2] or "").lower()
             if not tag:
                 continue
             if m[1]:
-                self._close(tag, stack, flush)
+                self._close(tag)
             elif tag in VOID:
                 if tag == "hr":
-                    flush()
+                    self._flush()
                 elif tag == "br":
-                    take(" ")
+                    self._take(" ")
             elif tag in RAW:
-                end = re.compile(f"</{tag}[^>]*>", re.I).search(source, at)
+                end = _RAW_END[tag].search(source, at)
                 at = end.end() if end else len(source)
             else:
-                self._open(tag, m[3], stack, flush)
-        flush()
-
-    def _open(self, tag: str, raw: str, stack: list, flush) -> None:
+                self._open(tag, m[3])
+        self._take(source[at:])
+        self._flush()
+
+    def _last(self, tags) -> int:
+        return max((self._where[t][-1] for t in tags if self._where.get(t)), default=0)
+
+    def _cut_stack(self, size: int) -> None:
+        """Ends the open elements from place size on."""
+        for i in range(len(self._stack) - 1, size - 1, -1):
+            self._where[self._stack[i][0]].pop()
+        while self._open_blocks and self._open_blocks[-1] >= size:
+            self._open_blocks.pop()
+        del self._stack[size:]
+
+    def _open(self, tag: str, raw: str) -> None:
         if tag in BLOCK:
-            flush()
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+            self._flush()
+            if self._open_blocks and self._stack[self._open_blocks[-1]][0] == "p":  # a block ends an open paragraph
+                self._cut_stack(self._open_blocks[-1])
         if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in CLOSES[tag]:
-                    del stack[i:]
-                    if tag != "tr":
-                        break
-                elif stack[i][0] in ("ul", "ol", "dl", "table", "tbody", "select", *CONTAINER):
+            bound = self._last(BOUNDS)
+            while (i := self._last(CLOSES[tag])) > bound:
+                self._cut_stack(i)
+                if tag != "tr":
                     break
-        _, box, boiler, in_article, in_link, told = stack[-1]
+        _, box, boiler, in_article, in_link, told = self._stack[-1]
         attrs = _attributes(raw)
         boiler = boiler or _boiler(tag, attrs, in_article)
         if not boiler:
             words = _named_boiler(tag, attrs, in_article)
             if words:
-                told = (*told, len(self._told))
-                self._told.append([bool(words & OTHERS_WORDS), False, False])
+                self._told.append([told, bool(words & OTHERS_WORDS), False, False])
+                told = len(self._told) - 1
             elif tag in ("article", "main"):
-                self._outer_article |= not told
-                for i in told:
-                    self._told[i][1 if tag == "main" else 2] = True
+                self._outer_article |= told < 0
+                if told >= 0:
+                    self._told[told][2 if tag == "main" else 3] = True
         if tag in CONTAINER and not boiler:
-            classes = sorted(re.sub(r"\d+", "#", c) for c in attrs.get("class", "").split())
-            self.containers.append((self.containers[box][0] + ">" + ".".join([tag, *classes]), box))
+            classes = sorted(re.sub(r"\d+", "#", c).replace(">", "") for c in attrs.get("class", "").split())
+            step = (self.containers[box][0], ".".join([tag, *classes]))
+            if step not in self._paths:
+                self._paths[step] = len(self._steps)
+                self._steps.append(step)
+            self.containers.append((self._paths[step], box))
             box = len(self.containers) - 1
-        stack.append((tag, box, boiler, in_article or tag in ("article", "main"), in_link or tag == "a", told))
-
-    def _close(self, tag: str, stack: list, flush) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == tag:
-                if tag in BLOCK:
-                    flush()
-                del stack[i:]
-                return
-            if stack[i][0] in BLOCK and (tag not in BLOCK or tag == "p"):
-                return  # a stray end tag doesn't end the block around it
+        self._where.setdefault(tag, []).append(len(self._stack))
+        if tag in BLOCK:
+            self._open_blocks.append(len(self._stack))
+        self._stack.append((tag, box, boiler, in_article or tag in ("article", "main"), in_link or tag == "a", told))
+
+    def _close(self, tag: str) -> None:
+        i = self._last((tag,))
+        # a stray end tag doesn't end the block around it
+        if not i or (tag not in BLOCK or tag == "p") and self._open_blocks and i < self._open_blocks[-1]:
+            return
+        if tag in BLOCK:
+            self._flush()
+        self._cut_stack(i)
+
+    def _written(self, path: int) -> str:
+        steps = []
+        while path > 0:
+            path, step = self._steps[path]
+            steps.append(step)
+        return "".join(f">{s}" for s in reversed(steps))
+
+    def _numbered(self, path: str) -> int:
+        """The number of a path that was written out; -1 if the page doesn't have it."""
+        at = 0
+        for step in path.split(">")[1:]:
+            at = self._paths.get((at, step), -1)
+        return at
 
     def scores(self) -> list[float]:
         out = [0.0] * len(self.containers)
@@ -232,15 +275,16 @@ class Page:
             around.add(box)
             box = self.containers[box][1]
         inside = self._within({best})
-        out: dict[str, float] = {self.containers[best][0]: 1.0}
+        out: dict[int, float] = {self.containers[best][0]: 1.0}
         for i, ((path, _), s) in enumerate(zip(self.containers, scores)):
             if s >= VOTES_FROM * top and i not in around and not inside[i]:
                 out[path] = max(out.get(path, 0.0), s / top)
-        return sorted(out.items())
+        return sorted((self._written(path), share) for path, share in out.items())
 
     def text(self, path: str | None) -> str:
         """The blocks in containers of that path; if these hold too little, or lack a part of the page's best container around them, those of the best."""
-        chosen = self._within({i for i, (p, _) in enumerate(self.containers) if p == path})
+        number = -1 if path is None else self._numbered(path)
+        chosen = self._within({i for i, (p, _) in enumerate(self.containers) if p == number})
         best = self._within({self.best(self.scores())})
         if any(c and not b for c, b in zip(chosen, best)):
             lost = False  # the path leads elsewhere, or around the best

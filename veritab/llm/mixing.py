@@ -2,12 +2,14 @@
 
 A source with n documents and target share t of an output of N documents has mean repetition rate t * N / n. Each
 document draws its number of copies by inverting the Poisson distribution of its source's rate at a uniform number
-made from md5(seed | doc_id | part), so that any run, on any partitioning, draws the same. Rates above `PART` are
+made from md5(seed | key | part), so that any run, on any partitioning, draws the same. The key is the doc_id, or where
+that is null the md5 of the text. Rates above `PART` are
 split into equal parts, each with its own number: sums of Poisson draws are Poisson. Documents are exploded by their
 count and dealt to partitions, and sorted inside them, by md5(seed | doc_id | copy): a global shuffle.
 
-Nulls: a null source is the source '', a null doc_id hashes as ''. Repeated rows draw the same count each. Texts are
-carried, never read. Target weights of sources that don't occur are ignored, sources without a weight get none. An
+Nulls: a null source is the source '', a null text draws as an empty one where it has no doc_id. Repeated rows draw the
+same count each, and are dealt apart by the shuffle. Texts are carried, and read only where the doc_id is null. A column
+of docs that is called like the column of copy numbers keeps its name, and that of the copy numbers gets `_` appended. Target weights of sources that don't occur are ignored, sources without a weight get none. An
 empty table gives an empty result.
 """
 
@@ -52,17 +54,20 @@ def distributions(rated: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, seed: int = 17, temperature: float = 0.5, total: int | None = None, name: str = "copy") -> DataFrame:
-    """The rows of docs, each as often as drawn, globally shuffled; with their copy number in column `name`."""
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, seed: int = 17, temperature: float = 0.5, total: int | None = None, name: str | None = "copy") -> DataFrame:
+    """The rows of docs, each as often as drawn, globally shuffled; with their copy number in column `name`, if there is one."""
+    while name in docs.columns:
+        name += "_"
     table = cut(distributions(rates(docs, weights, temperature, total)), "rates")
     few = table.count() <= BROADCAST_SOURCES
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), F.coalesce("source", F.lit("")).alias("src"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
+    rows = docs.select(whole.alias("row"), key.alias("key"), F.coalesce("source", F.lit("")).alias("src"))
     joined = rows.join(F.broadcast(table) if few else table, "src")
-    draw = F.aggregate(
-        F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0),
-        lambda acc, part: acc + F.size(F.filter("cdf", lambda c: c <= _uniform(F.lit(seed), F.col("_key"), part))),
-    )
-    counted = joined.select("_row", "_key", draw.alias("_n")).where("_n > 0")
-    copies = counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias(name), "_key")
-    shuffled = copies.withColumn("_order", F.md5(F.concat_ws("|", F.lit(str(seed)), "_key", F.col(name).cast("string"))))
-    return shuffled.repartition("_order").sortWithinPartitions("_order").select("_row.*", name)
+    draws = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: _uniform(F.lit(seed), F.col("key"), part))
+    drawn = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda c: c <= u)))
+    counted = joined.select("row", "key", drawn.alias("n")).where("n > 0")
+    copies = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"), "key", F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("salt"))
+    ordered = copies.withColumn("order", F.md5(F.concat_ws("|", F.lit(str(seed)), "key", F.col("copy").cast("string"))))
+    shuffled = ordered.repartition("order", "salt").sortWithinPartitions("order")
+    return shuffled.select("row.*", *([F.col("copy").alias(name)] if name else []))

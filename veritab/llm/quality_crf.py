@@ -4,9 +4,9 @@ Each line is good or bad. Its evidence is its own surface statistics and those o
 neighbouring labels are tied by transition weights. Forward-backward gives each line's marginal, and the
 marginals, weighted by line length, give the document's score after a two-parameter calibration.
 
-The model is fitted on the driver from at most `limit` labelled documents and `lines` lines of each (a run of
-lines from a hashed position), whose lines all take the document's label. Scoring reads every whole text, line by
-line, with forward and backward passes over all documents of a chunk at once.
+The model is fitted on the driver from a bounded sample of labelled documents: at most `limit`, chosen by a hash, taken
+whole as long as they have at most `lines` lines together; all lines take the document's label. Scoring reads every whole
+text, line by line, with forward and backward passes over all documents of a chunk at once.
 
 Nulls: a null text scores as an empty one, a null doc_id stays a row. An empty text is one line of length 0 and
 takes that line's marginal. Repeated rows give repeated rows; other columns are not read. Without labels of both
@@ -15,6 +15,7 @@ kinds the score is 0.5 everywhere.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,44 +74,74 @@ def line_features(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack([own, before, after]), chars
 
 
-def _padded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (document, step) of lines that follow each other document by document."""
+def _steps(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, step) of lines that follow each other document by document."""
     doc = np.repeat(np.arange(len(lengths)), lengths)
     return doc, np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def _sum_exp(x: float, y: float) -> float:
+    """log(exp(x) + exp(y))"""
+    return x + math.log1p(math.exp(y - x)) if x > y else y + math.log1p(math.exp(x - y))
+
+
+#: Documents that must still have lines for a step to be taken by array operations; fewer go on line by line.
+WIDE = 8
+
+
 def forward_backward(emit: np.ndarray, lengths: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of good per line, log partition per document, and expected transition counts.
 
-    emit: log potential of good (bad has 0) for each line, documents one after another. All documents advance
-    together; those that have ended keep their last message."""
-    doc, step = _padded(lengths)
+    emit: log potential of good (bad has 0) for each line, documents one after another. Documents advance together, the
+    longest first; messages lie step by step in flat arrays, one number a line, whatever the lengths."""
+    doc, step = _steps(lengths)
     order = np.argsort(-lengths, kind="stable")
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
-    n, t_max = len(lengths), int(lengths.max())
-    e = np.zeros((t_max, n))
-    e[step, rank[doc]] = emit
-    alive = np.searchsorted(-lengths[order], -np.arange(1, t_max + 1), "right")  # documents with more than t lines
-    g, b = np.empty((t_max, n)), np.empty((t_max, n))
-    g[0], b[0] = e[0], 0.0
-    for t in range(1, t_max):
-        k = alive[t]
-        g[t, :k] = np.logaddexp(g[t - 1, :k] + tie[0, 0], b[t - 1, :k] + tie[1, 0]) + e[t, :k]
-        b[t, :k] = np.logaddexp(g[t - 1, :k] + tie[0, 1], b[t - 1, :k] + tie[1, 1])
-    last = lengths[order] - 1
-    log_z = np.logaddexp(g[last, np.arange(n)], b[last, np.arange(n)])
-    bg, bb = np.zeros((t_max, n)), np.zeros((t_max, n))
-    pairs = np.zeros((2, 2))
-    for t in range(t_max - 1, 0, -1):
-        k = alive[t]
-        to_g, to_b = e[t, :k] + bg[t, :k], bb[t, :k]
-        bg[t - 1, :k] = np.logaddexp(tie[0, 0] + to_g, tie[0, 1] + to_b)
-        bb[t - 1, :k] = np.logaddexp(tie[1, 0] + to_g, tie[1, 1] + to_b)
-        for i, a in enumerate((g, b)):
-            for j, to in enumerate((to_g, to_b)):
-                pairs[i, j] += np.exp(a[t - 1, :k] + tie[i, j] + to - log_z[:k]).sum()
-    good = np.exp(g[step, rank[doc]] + bg[step, rank[doc]] - log_z[rank[doc]])
+    sizes = lengths[order]
+    alive = np.bincount(step)  # documents with more than t lines
+    off = np.cumsum(alive) - alive
+    wide = int(np.searchsorted(-alive, -WIDE, "right"))  # steps with at least WIDE documents
+    at = off[step] + rank[doc]
+    e, g, b = np.empty(len(emit)), np.empty(len(emit)), np.zeros(len(emit))
+    e[at] = emit
+    g[: alive[0]] = e[: alive[0]]
+    (gg, gb), (bg_, bb_) = tie.tolist()  # from good to good, to bad; from bad to good, to bad
+    tails = range(int(alive[wide]) if wide < len(alive) else 0)
+    for t in range(1, wide):
+        p, c = slice(off[t - 1], off[t - 1] + alive[t]), slice(off[t], off[t] + alive[t])
+        g[c] = np.logaddexp(g[p] + gg, b[p] + bg_) + e[c]
+        b[c] = np.logaddexp(g[p] + gb, b[p] + bb_)
+    for r in tails:
+        where = off[wide : sizes[r]] + r
+        x, y = (g[off[wide - 1] + r], b[off[wide - 1] + r]) if wide else (0.0, 0.0)
+        own_g, own_b = [], []
+        for t, z in enumerate(e[where].tolist(), wide):
+            x, y = (_sum_exp(x + gg, y + bg_) + z, _sum_exp(x + gb, y + bb_)) if t else (z, 0.0)
+            own_g.append(x)
+            own_b.append(y)
+        g[where], b[where] = own_g, own_b
+    last = off[sizes - 1] + np.arange(len(sizes))
+    log_z = np.logaddexp(g[last], b[last])
+    after_g, after_b = np.zeros(len(emit)), np.zeros(len(emit))
+    for r in tails:
+        where = off[max(wide - 1, 0) : sizes[r]] + r
+        x = y = 0.0
+        own_g, own_b = [x], [y]
+        for z in e[where[:0:-1]].tolist():
+            x, y = _sum_exp(gg + z + x, gb + y), _sum_exp(bg_ + z + x, bb_ + y)
+            own_g.append(x)
+            own_b.append(y)
+        after_g[where], after_b[where] = own_g[::-1], own_b[::-1]
+    for t in range(wide - 1, 0, -1):
+        p, c = slice(off[t - 1], off[t - 1] + alive[t]), slice(off[t], off[t] + alive[t])
+        to_g, to_b = e[c] + after_g[c], after_b[c]
+        after_g[p] = np.logaddexp(gg + to_g, gb + to_b)
+        after_b[p] = np.logaddexp(bg_ + to_g, bb_ + to_b)
+    inner = np.flatnonzero(step > 0)
+    c, p, z = at[inner], off[step[inner] - 1] + rank[doc[inner]], log_z[rank[doc[inner]]]
+    pairs = np.array([[np.exp(a[p] + tie[i, j] + to - z).sum() for j, to in enumerate((e[c] + after_g[c], after_b[c]))] for i, a in enumerate((g, b))])
+    good = np.exp(g[at] + after_g[at] - log_z[rank[doc]])
     return np.clip(good, 0, 1), log_z[rank], pairs
 
 
@@ -119,7 +150,7 @@ def fit(features: np.ndarray, lengths: np.ndarray, labels: np.ndarray, chars: np
     mean, scale = features.mean(0), features.std(0) + 1e-3
     x = np.hstack([np.clip((features - mean) / scale, -6, 6), np.ones((len(features), 1))])
     y = np.repeat(labels, lengths).astype(float)
-    doc, step = _padded(lengths)
+    doc, _ = _steps(lengths)
     # a document counts once however many lines it has, and both labels together count the same
     weight = 1 / np.maximum(np.bincount(labels, minlength=2), 1)
     tie, w = np.zeros((2, 2)), np.zeros(x.shape[1])
@@ -178,29 +209,29 @@ def _calibrate(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def train(docs: DataFrame, labels: DataFrame, *, fold: int = 2, folds: int = 4, limit: int = 3000, lines: int = 48) -> Crf | None:
-    """Fits on at most limit labelled documents outside the held-out fold, and lines lines of each."""
-    chosen = F.broadcast(label_sample(labels, "quality", fold, folds, limit))  # at most limit rows of two integers
+def train(docs: DataFrame, labels: DataFrame, *, fold: int = 2, folds: int = 4, limit: int = 3000, lines: int = 150_000) -> Crf | None:
+    """Fits on at most limit labelled documents outside the held-out fold, with at most lines lines together."""
+    sample = docs.select("doc_id", "text").join(F.broadcast(label_sample(labels, "quality", fold, folds, limit)), "doc_id")  # at most limit rows of two integers
+    counted = sample.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\n]", "")) + 1).alias("n"), F.xxhash64("doc_id").alias("h")).collect()
+    room, taken = lines, []
+    for r in sorted(counted, key=lambda r: (r.h, r.doc_id)):
+        if r.n <= room:
+            room -= r.n
+            taken.append((r.doc_id,))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long"))
 
     def gather(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch.column(2))
-        out: dict[str, list] = {"doc_id": [], "label": [], "features": [], "chars": []}
+        features, chars_of = [], []
         for lo, hi in runs([len(t) for t in texts]):
             c = Chunk(texts[lo:hi])
             x, chars = line_features(c)
-            first = np.searchsorted(c.l_doc, np.arange(c.n), "left")
-            count = np.bincount(c.l_doc, minlength=c.n)
-            for i in range(c.n):
-                d = batch.column(0)[lo + i].as_py()
-                at = int(first[i]) + (d * 2654435761) % max(1, int(count[i]) - lines + 1)
-                till = min(at + lines, int(first[i] + count[i]))
-                out["doc_id"].append(d)
-                out["label"].append(batch.column(1)[lo + i].as_py())
-                out["features"].append(x[at:till].tobytes())
-                out["chars"].append(chars[at:till].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["label"], pa.int32()), pa.array(out["features"], pa.binary()), pa.array(out["chars"], pa.binary())], names=list(out))
-
-    rows = map_arrow(docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", "text"), gather, "doc_id long, label int, features binary, chars binary").collect()
+            edges = np.cumsum(np.bincount(c.l_doc, minlength=c.n))[:-1]
+            features += [part.tobytes() for part in np.split(x, edges)]
+            chars_of += [part.tobytes() for part in np.split(chars, edges)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(features, pa.binary()), pa.array(chars_of, pa.binary())], names=["doc_id", "label", "features", "chars"])
+
+    rows = map_arrow(sample.join(chosen, "doc_id").select("doc_id", "label", "text"), gather, "doc_id long, label int, features binary, chars binary").collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, bytes(r.features)))
     if len({r.label for r in rows}) < 2:
         return None
@@ -233,4 +264,4 @@ def score(docs: DataFrame, model: Crf | None, *, fold: int = 2, folds: int = 4,
 
     rows = docs.select("doc_id", (crc_mod(F.col("doc_id"), folds) == fold).alias("held_out"), "text")
     done = map_arrow(rows, run, "doc_id long, held_out boolean, score double, n_lines long, bad_chars long")
-    return done.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return done.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_lines", "bad_chars")
