@@ -8,14 +8,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.email import find_emails
-from ..functions.money import CONTEXT, FIGURE, classify_amount, factor, guess_currency, is_cumulative, is_plain, lookup, resolve_currency, to_decimal
+from ..functions.money import AFTER, BEFORE, CONTEXT, NUMBER, classify_amount, factor, figures, guess_currency, is_cumulative, is_plain, lookup, resolve_currency, to_decimal
 from ..functions.people import company_from_headline, people
 from ..functions.places import country_from_demonym, is_united_states, us_signals
 from ..functions.text import alternation, collapse, normalise_domain, normalise_name, sentences
+from ..functions.tokens import any_of, near
 from ..session import ship
 from ..shared import cut
 from ..vocab import FX, FX_DATE, PLATFORM_TERMS, QUALIFYING_TYPES, SECTOR_KEYWORDS
 
+#: Words that a promising snippet has.
+FOUNDER_WORDS = ["co-founder", "cofounder", "founder", "ceo"]
+PRODUCT_WORDS = "platform software app saas marketplace api technology tech startup solution tool system".split()
+
 _NAMED = lambda x: F.coalesce(x, F.lit(""))
 
 
@@ -27,22 +32,20 @@ def _figures(texts: DataFrame, key: str, text: str) -> DataFrame:
     kind = texts.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), *(T.StructField(c, T.StringType()) for c in ("raw", "before", "sign", "number", "multiplier", "after", "context", "body")), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     ship(texts.sparkSession)
-    pattern, around = FIGURE, CONTEXT
+    patterns, around = (NUMBER, BEFORE, AFTER), CONTEXT
 
     def read(batches):
-        figure = re.compile(pattern)
+        compiled = [re.compile(p) for p in patterns]
         for batch in batches:
             rows = {f.name: [] for f in schema}
             for i, body in enumerate(batch.column(1).to_pylist()):
                 first = True
-                for m in figure.finditer(body):
-                    before, sign, number, multiplier, after = m.groups()
-                    if before or sign or after:
-                        # the whole text goes with its first figure only
-                        one = (batch.column(0)[i].as_py(), m[0], before, sign, number, multiplier, after, body[max(0, m.start() - around) : m.end() + around], body if first else None, m.start(), m.end())
-                        first = False
-                        for values, v in zip(rows.values(), one):
-                            values.append(v)
+                for start, end, *parts in figures(body, *compiled):
+                    # the whole text goes with its first figure only
+                    one = (batch.column(0)[i].as_py(), body[start:end], *parts, body[max(0, start - around) : end + around], body if first else None, start, end)
+                    first = False
+                    for values, v in zip(rows.values(), one):
+                        values.append(v)
             fields = [batch.column(0).type, *[pa.string()] * 8, pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), fields)], names=list(rows))
 
@@ -101,12 +104,22 @@ def platform_terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(_NAMED(text)), F.lit(rf"\b({alternation(sorted(PLATFORM_TERMS, key=len, reverse=True))})\b"), 1))
 
 
+def leading_name(text: Column, most: int = 4) -> Column:
+    """The words at the beginning of a text that begin with a capital or a digit, at most so many."""
+    words = F.slice(F.split(F.trim(text), r"\s+"), 1, most)
+    run = F.aggregate(words, F.struct(F.lit("").alias("name"), F.lit(True).alias("on")), lambda a, w: F.when(
+        a["on"] & w.rlike(r"^[\p{Lu}\p{N}]"),
+        F.struct(F.concat_ws(" ", F.nullif(a["name"], F.lit("")), F.regexp_replace(w, r"[,;:.!?]+$", "")).alias("name"), (~w.rlike(r"[,;:.!?]$")).alias("on")),
+    ).otherwise(F.struct(a["name"].alias("name"), F.lit(False).alias("on"))))
+    return run["name"]
+
+
 def candidates(results: DataFrame) -> DataFrame:
     """name, domain, name_norm, source_kind, snippet, seq of search results (seq, title, url, snippet): by headline, else by 'X-based Name'.
 
     The host of a headline's result is the outlet's, so it never becomes the company's domain."""
     headline = company_from_headline(F.col("title"))
-    based = F.nullif(F.regexp_extract(F.concat_ws(". ", "title", "snippet"), r"(?:[A-Z][\w\-]+[- ]based|based in [A-Z][\w\- ]+)\s+([A-Z0-9][\w&.\-']*(?:\s+[A-Z0-9][\w&.\-']*){0,3})", 1), F.lit(""))
+    based = F.nullif(leading_name(F.regexp_extract(F.concat_ws(". ", "title", "snippet"), r"-based\s+(.*)", 1)), F.lit(""))
     named = results.withColumn("name", F.coalesce(headline, based)).where(F.col("name").isNotNull())
     kind = F.when(headline.isNotNull(), "headline").otherwise("article")
     return named.select("seq", "name", F.lit(None).cast("string").alias("domain"), normalise_name(F.col("name")).alias("name_norm"), kind.alias("source_kind"), F.col("snippet"))
@@ -137,15 +150,16 @@ def promise(candidates: DataFrame, lo: float, hi: float) -> DataFrame:
     usd = F.col("amount_usd").cast("double")
     band = found.groupBy("seq").agg(F.max(usd.between(lo, hi)).alias("_in"))
     text = _NAMED(F.col("snippet"))
-    named = text.rlike(r"[A-Z][a-z]+ [A-Z][a-z]+[^.]{0,40}?(?i:co-?founder|founder|ceo)|(?i:co-?founder|founder|ceo)[^.]{0,40}?[A-Z][a-z]+ [A-Z][a-z]+")
-    role = text.rlike(r"(?i)\b(?:co-?founder|founder|chief executive|ceo|managing director)\b")
+    person, office = r"\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+", f"(?i:{any_of(FOUNDER_WORDS)})"
+    named = text.rlike(near(person, office, 6)) | text.rlike(near(office, person, 6))
+    role = text.rlike(rf"(?i)\b{any_of([*FOUNDER_WORDS, 'chief executive', 'managing director'])}\b")
     country = country_from_demonym(text)
     met = candidates.join(band, "seq", "left").withColumn("_country", country)
     hopeless = F.when(F.col("_in") == False, "its figure is outside the band").when(is_united_states(F.col("_country")), "a company of the United States")  # noqa: E712
     worth = lambda test, points: F.when(F.coalesce(test, F.lit(False)), points).otherwise(0.0)
     total = (
         worth(F.col("_in"), 3.0) + F.when(named, 1.5).when(role, 0.4).otherwise(0.0) + worth(F.col("_country").isNotNull(), 1.0)
-        + worth(text.rlike(r"(?i)\b(?:platform|software|app|saas|marketplace|api|technology|tech|startup|solution|tool|system)\b"), 0.5)
+        + worth(text.rlike(rf"(?i)\b{any_of(PRODUCT_WORDS)}\b"), 0.5)
         + worth(F.col("domain").isNotNull(), 0.5) + worth(F.col("source_kind") == "headline", 0.5)
     )
     return met.withColumn("hopeless", F.when(text != "", hopeless)).withColumn("promise", F.when((text == "") | F.col("hopeless").isNotNull(), 0.0).otherwise(total)).drop("_in", "_country")

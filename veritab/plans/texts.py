@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.email import domain_part, is_disposable, is_freemail, is_role_account
 from ..functions.text import registrable_root
 from ..functions.text import sentences as sentences_of
-from ..functions.places import us_level
+from ..functions.places import us_level, us_patterns
 from ..operators.extract import description, emails, presence
 from ..operators.ground import find_quotes
 from ..operators.report import audit
@@ -85,17 +85,10 @@ _EMAILS = rf"""
     k as (select *, list_max(list_filter(range(2, len(d) + 1), lambda i: list_contains({_list(TLDS)}, d[i]))) as n from p),
     a as (select doc_id, min(pos) as pos, lower(loc) || '@' || array_to_string(d[1:n], '.') as address from k where n is not null group by doc_id, address),
     found as (select doc_id, row_number() over (partition by doc_id order by pos) - 1 as seq, address from a)"""
-_US = "US|U\\.S\\.|United States"
-_TOWNS = "New York|San Francisco|Boston|Chicago|Austin|Seattle|Los Angeles|Miami|Atlanta|Denver"
-_KINDS = {
-    "us_office": rf"(?i)\b(?:{_US}|American|{_TOWNS}|Delaware)\s+(?:offices?|headquarters|HQ|hub|branch|presence|team)\b|\b(?:offices?|headquarters|hq|hubs?|locations?|presence|teams?)\s+(?:in|across|spanning|spans?|includ(?:e|es|ing)|from|between)\s+[^\n.]{{0,80}}?\b(?:{_TOWNS}|NYC|Palo Alto|Silicon Valley|United States|USA|U\.S\.)",
-    "us_subsidiary": rf"(?i)\b(?:{_US}|American)\s+(?:subsidiary|entity|arm|affiliate)\b",
-    "us_incorporation": r"(?i)\b(?:incorporated|registered|domiciled)\s+in\s+(?:Delaware|the United States|the US|USA)\b|\bDelaware\s+(?:C-?Corp|corporation|LLC)\b",
-    "us_job_posting": r"(?i)\b(?:US|USA|United States)\b[^\n]{0,40}\b(?:based|only|hiring|position|role|opening)\b|\b(?:New York|San Francisco|Austin|Boston|Seattle|Chicago),?\s*(?:NY|CA|TX|MA|WA|IL|US|USA)\b",
-    "us_address_mention": r"(?i)\b\d{1,5}\s+[A-Z][\w .]{2,30}(?:Street|St\.|Avenue|Ave\.|Road|Rd\.|Boulevard|Blvd\.|Suite|Ste\.)[^\n]{0,40}\b(?:NY|CA|TX|MA|WA|IL|FL|GA|CO|NJ|VA)\b\s*\d{5}",
-    "us_phone": r"\+1[\s.\-]?\(?\d{3}\)?[\s.\-]?\d{3}[\s.\-]?\d{4}\b",
-}
-_SIGNALS = " union all ".join(f"select doc_id, '{k}' as kind from documents where regexp_matches(text, '{p}')" for k, p in _KINDS.items())
+#: Of the signals only telephone numbers and mentions by name can occur in these texts: each rule over its word lists.
+_KINDS = us_patterns()
+_re2 = lambda p: p.replace("(?!\\w)", r"(?:\W|$)").replace("'", "''")
+_SIGNALS = " union all ".join(f"select doc_id, '{k}' as kind from documents where " + " or ".join(f"regexp_matches(text, '(?i){_re2(p)}')" for p in ps) for k, ps in _KINDS.items())
 _norm = lambda x: (
     "trim(regexp_replace(regexp_replace(lower(replace(translate(coalesce(" + x + ", ''), '‘’‚‛“”„‟–—−‐‑   ', repeat(chr(39), 4) || '\"\"\"\"-----   '), '​', '')), '[^\\p{L}\\p{N}_\\s%$€£₹.,:/+-]', ' ', 'g'), '\\s+', ' ', 'g'))"
 )
