@@ -9,7 +9,7 @@ from veritab.functions import email, money, people, places, text
 from veritab.operators import extract
 from veritab.operators.authority import authority, is_company_host
 from veritab.operators.ground import contains_quote, find_quotes
-from veritab.operators.html import intent, links, pages_to_read, text_of, with_text
+from veritab.operators.html import decode, intent, links, pages_to_read, text_of, with_text
 
 
 def run(spark, cases, fn, n=1):
@@ -108,6 +108,13 @@ def test_places(spark):
     assert run(spark, ["acme.co.uk", "acme.io", "acme.de", None], places.country_from_domain) == ["United Kingdom", None, "Germany", None]
 
 
+def test_character_references(spark):
+    import html as reader
+
+    cases = ["caf&eacute; &#8217;s &#x2019;s", "&amp;lt; &lt;b&gt; &amp;amp;", "AT&T &unknown; &; & &#0;", "&#128512; &euro;5 a&nbsp;b", "plain", "", "&#xD800;"]
+    assert run(spark, cases, decode) == [reader.unescape(c).replace("\xa0", " ") for c in cases]
+
+
 def test_html(spark):
     page = """<html><head><title>Acme &amp; Co</title><meta name="description" content="A platform that moves parcels between cities"><script>x<1</script></head>
       <body><nav><a href="/About-Us">About</a><a href="#top">top</a></nav><p>One&nbsp;line</p><!-- no --><form>no</form><div>Two<br>three</div>

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import collapse, host_of, strings
@@ -9,14 +11,27 @@ from ..vocab import PAGE_INTENTS
 
 #: Elements whose contents are no text of the page.
 DROPPED = ["script", "style", "noscript", "svg", "iframe", "nav", "footer", "form"]
-#: The character references that are read without a parser.
-REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: Named character references and the numbers of their code points, by the standard's table.
+NAMED = {name: point for name, point in name2codepoint.items()} | {"apos": 39}
+#: Numbers that no code point has stand for a replacement character.
+_NO_SIGN = 0xFFFD
 
 
 def decode(text: Column) -> Column:
-    for ref, sign in REFERENCES.items():
-        text = F.replace(text, F.lit(ref), F.lit(sign))
-    return text
+    """Character references as their signs, each read once: decimal and hexadecimal numbers, and names."""
+    named = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
+
+    def read(after: Column) -> Column:
+        ref = F.regexp_extract(after, r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 8), 16, 10)).when(ref.startswith("#"), F.substring(ref, 2, 8)).cast("int")
+        point = F.when(ref == "", None).otherwise(F.coalesce(number, F.try_element_at(named, ref)))
+        valid = F.when((point <= 0) | point.between(0xD800, 0xDFFF) | (point > 0x10FFFF), _NO_SIGN).otherwise(point)
+        sign = F.decode(F.unhex(F.lpad(F.hex(valid.cast("long")), 8, "0")), "UTF-32")
+        return F.when(valid.isNull(), F.concat(F.lit("&"), after)).otherwise(F.concat(F.when(valid == 160, " ").otherwise(sign), F.substr(after, F.length(ref) + 2)))
+
+    pieces = F.split(text, "&")
+    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, read), ""))).otherwise(text)
 
 
 def title_of(html: Column) -> Column:

@@ -60,10 +60,9 @@ _collapse = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"  # noqa: E7
 
 
 def _decode(x: str) -> str:
-    from ..operators.html import REFERENCES
-
-    for ref, sign in REFERENCES.items():
-        x = f"replace({x}, '{ref}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    """The references that these pages have, as the standard gives them; that of '&' last."""
+    for ref, sign in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{ref}', '{sign}')"
     return x
 
 
