@@ -13,6 +13,8 @@ from ..vocab import PAGE_INTENTS
 DROPPED = ["script", "style", "noscript", "svg", "iframe", "nav", "footer", "form"]
 #: Named character references and the numbers of their code points, by the standard's table.
 NAMED = {name: point for name, point in name2codepoint.items()} | {"apos": 39}
+#: Those that most pages have no others than, besides that of '&'.
+COMMON = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·"}
 #: Numbers that no code point has stand for a replacement character.
 _NO_SIGN = 0xFFFD
 
@@ -31,7 +33,11 @@ def decode(text: Column) -> Column:
 
     pieces = F.split(text, "&")
     rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, read), ""))).otherwise(text)
+    common = text
+    for ref, sign in COMMON.items():
+        common = F.replace(common, F.lit(ref), F.lit(sign))
+    others = common.rlike("&(?!amp;)[#A-Za-z][A-Za-z0-9]*;")
+    return F.when(others, F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, read), ""))).otherwise(F.replace(common, F.lit("&amp;"), F.lit("&")))
 
 
 def title_of(html: Column) -> Column:
