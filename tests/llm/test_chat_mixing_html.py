@@ -117,3 +117,22 @@ def test_class_words_of_wrappers_keep_the_article():
     comments = "<div class=comments>" + "<p>A reader says a lot of words.</p>" * 40 + "</div>"
     assert host_paths.Page(f"<body><div>{story}</div>{comments}</body>").text(None) == text
     assert host_paths.Page("<body><div class=notice>All there is</div></body>").text(None) == "All there is"
+
+
+def test_rows_without_a_conversation_are_apart(spark):
+    rows = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    got = chat.digests(chat.format_conversations(rows)).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in got) == [(0, 1, 0), (0, 1, 1), (1, 1, 0)]
+
+
+def test_rows_without_an_id_draw_by_their_texts(spark):
+    rows = spark.createDataFrame([(None, f"text {i}", "s", i) for i in range(1000)] + [(1, "x", None, 0), (1, "x", None, 0)], "doc_id long, text string, source string, copy int")
+    mixed = mixing.mix(rows, {"s": 1.0, "": 1.0}, total=1000)
+    assert mixed.columns == ["doc_id", "text", "source", "copy", "copy_"]
+    assert 400 <= mixed.where("source = 's'").count() <= 600
+    assert mixing.mix(rows, name=None).columns == rows.columns
+
+
+def test_deep_and_broken_pages():
+    for page in ("<div>" * 20_000 + "text", "<b>" * 16_000 + "</i>" * 16_000 + "text", "<div class=sidebar>" * 20_000 + "text", "<i><div>" + "<b>" * 16_000 + "</i>" * 16_000 + "text"):
+        assert host_paths.Page(page).text(None) == "text"

@@ -103,3 +103,25 @@ def test_rule_query(spark):
     out = queries.QUERIES["op8_decision_list"](spark, SF)
     rows = out.join(table(spark, SF, "labels"), "doc_id").where(~F.col("base_failed")).select("kept", "quality").collect()
     assert sum(r.kept == bool(r.quality) for r in rows) >= 0.85 * len(rows)
+
+
+def test_colliding_lines_are_different_lines(spark, thue_morse):
+    a, b = thue_morse(1024)
+    got = decision_list.statistics(docs(spark, [(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{a}\n\n")])).collect()
+    assert {r.doc_id: r.n_dup_lines for r in got} == {1: 0, 2: 1}
+
+
+def test_one_very_long_text_beside_short_ones():
+    """Messages lie in flat arrays: the longest text doesn't size what the short ones take."""
+    rng = np.random.default_rng(7)
+    lengths = np.array([20_000, *[3] * 300])
+    emit, tie = rng.normal(size=lengths.sum()), rng.normal(size=(2, 2))
+    together, log_z, pairs = quality_crf.forward_backward(emit, lengths, tie)
+    first, z0, p0 = quality_crf.forward_backward(emit[:20_000], lengths[:1], tie)
+    rest, z1, p1 = quality_crf.forward_backward(emit[20_000:], lengths[1:], tie)
+    assert np.allclose(together, np.concatenate([first, rest])) and np.allclose(log_z, np.concatenate([z0, z1])) and np.allclose(pairs, p0 + p1)
+
+
+def test_columns_of_the_contract_come_first(spark):
+    for score in (quality_crf.score(docs(spark, EDGES), None), toxicity.score(docs(spark, EDGES), toxicity.Lexicon({}, (0.0, 0.0, 0.0, -50.0)))):
+        assert score.columns[:4] == ["doc_id", "held_out", "score", "predicted"]

@@ -48,3 +48,27 @@ def test_empty_tables(spark):
     assert decontaminate.matches(docs(spark, [(1, "a text")]), none).count() == 0
     assert decontaminate.keep_clean(docs(spark, [(1, "a text")]), none).count() == 1
     assert decontaminate.keep_clean(docs(spark, []), spark.createDataFrame([(1, "some passage of text")], none.schema)).count() == 0
+
+
+def test_items_with_a_common_beginning(rng):
+    """Items that share a long prompt, and a text that repeats it: nothing is found, and regions leave the alignment early."""
+    import time
+
+    prompt = "answer the following question about the text given below please"
+    items = index([(i, prompt + " " + words(rng, 14)) for i in range(100)])
+    began = time.time()
+    assert decontaminate.find([" ".join([prompt] * 10)], items) == [] and time.time() - began < 5
+
+
+def test_short_items_match_whole_texts_exactly(spark):
+    bench = spark.createDataFrame([(1, "Yes, no!"), (2, "?"), (3, "a b")], "item_id long, text string")
+    rows = [(1, "yes no"), (2, "yes no maybe"), (3, "A  B"), (4, "?"), (5, None)]
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs(spark, rows), bench).collect())
+    assert got == [(1, 1), (3, 3)]
+
+
+def test_whole_items_instead_of_windows(rng):
+    item = words(rng, 300)
+    half = item[: len(item) // 2]
+    assert decontaminate.find([half], index([(1, item)])) and not decontaminate.find([half], index([(1, item)], window=None))
+    assert decontaminate.find(["before " + item + " after"], index([(1, item)], window=None))

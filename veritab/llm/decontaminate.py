@@ -58,7 +58,9 @@ def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(code: np.ndarray, q: int) -> np.ndarray:
-    out = np.zeros(max(0, len(code) - q + 1), U)
+    if len(code) < q:
+        return np.zeros(0, U)
+    out = np.zeros(len(code) - q + 1, U)
     for j in range(q):
         out = out * _M + code[j : len(code) - q + 1 + j].astype(U)
     return mix(out)
