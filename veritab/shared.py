@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a temporary folder where that is unset (tests)."""
+    """A new path under spark.checkpoint.dir, or in local mode (tests) under a temporary folder where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, _own.get(app) or tempfile.mkdtemp(prefix="veritab-"))
     return f"{base}/veritab/{name}-{uuid.uuid4().hex}"
