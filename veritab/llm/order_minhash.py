@@ -1,14 +1,15 @@
 """Order MinHash: near-duplicate documents, verified by banded alignment.
 
 Words are runs of non-space characters, ASCII-lower-cased. Two documents are linked if at most (1 - similarity) of the
-longer one's words must be edited to turn one into the other; `similarity` is 0.95, so that one word in twenty may
-differ. Classes are the components of the links.
+longer one's words must be edited to turn one into the other; `similarity` is 0.9, so that one word in ten may differ.
+Classes are the components of the links.
 
 Sketch: shingles are `k` = 5 words, labelled by their occurrence number in the document. Each of `m` = 32 hash functions
-picks the `l` = 4 labelled shingles with the smallest hashes and keeps them in text order; their digest is one bucket key.
-Documents within the limit have at least 0.6 of their shingles in common, so that they agree on a key with chance
-0.6 ** 4 = 0.13 at the least and share one of 32 keys in 98 of 100 cases (in 83 of 100 for texts of 20 words, the
-shortest that one edit may link). Documents with fewer than l shingles link to their copies only.
+picks the `l` = 3 labelled shingles with the smallest hashes and keeps them in text order; their digest is one bucket key.
+Of a text with one word in ten edited at random 0.59 of the shingles stay, 0.42 of both texts' together: such pairs, at the
+very limit, share one of 32 keys in 91 of 100 cases, with one word in twenty edited in all. Edits that lie as far apart as
+they can leave a third, and a key in 70 of 100 cases; under 30 words chance decides. Texts that share no key directly often
+meet through a third. Documents with fewer than l shingles link to their copies only.
 
 Copies (equal words) collapse first, by sha256, onto their least doc_id. Then the members of each bucket are aligned with
 its leaders, the least document of each class of lengths. What is left are buckets that still hold several classes: their
@@ -37,7 +38,7 @@ from ..session import ship
 from .common import cut, map_arrow, runs
 from .textstats import Chunk, U, mix, rows_numbered, utf8
 
-K, L, M, SIMILARITY = 5, 4, 32, 0.95
+K, L, M, SIMILARITY = 5, 3, 32, 0.9
 #: Cells in which the words of a document are counted, one byte each.
 CELLS = 256
 #: Members of a bucket that meet in one task at once.
