@@ -9,7 +9,8 @@ from veritab.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     cur = con.execute(queries.SQL[name])

@@ -74,6 +74,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Rates here stay below mixing.PART, so that each document needs one number.
 SQL: dict[str, str] = {
+    "op3_chat_format": r"""
+        with said as (select conv_id, turn, role, text from conversations
+                      union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        t as (select conv_id, case when conv_id is null then row_number() over () end as own, turn, coalesce(role, '') as role, coalesce(text, '') as text from said),
+        e as (select *, length(text) + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(text, '</?s>|\[/?(?:INST|SYS|ROLE)\]|\[TEXT\]')) as body,
+                     length(role) + length(role) - length(replace(role, '\', '')) + len(regexp_extract_all(role, '</?s>|\[/?(?:INST|SYS|ROLE)\]|\[TEXT\]')) as named from t)
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+               coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+               sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+               (3 + sum(body + case role when 'assistant' then 4 when 'user' then 13 when 'system' then 11 else 19 + named end))::bigint as formatted_chars, (-1)::integer as rewrites_at
+        from e group by conv_id, own""",
     "op7_poisson_mix": """
         with counts as (select coalesce(source, '') as src, count(*) as n from documents group by 1),
         whole as (select sum(pow(n, 0.5)) as w, sum(n) as n from counts),
