@@ -265,11 +265,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = sides.join(labels, sides["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("class_id").alias("near"))
         met = cut(labels.join(near, "id").select("id", "class_id", F.least("class_id", "near").alias("met")), "met")
-        up = met.select(F.col("id").alias("met"), F.col("met").alias("up"))
-        new = cut(met.join(up, "met").select("id", "class_id", F.least("met", "up").alias("new")), "jumped")
-        if new.where(F.col("new") < F.col("class_id")).isEmpty():
+        if met.where("met < class_id").isEmpty():  # the label of a component is the same throughout
             return labels
-        labels = new.select("id", F.col("new").alias("class_id"))
+        up = met.select(F.col("id").alias("met"), F.col("met").alias("up"))
+        labels = cut(met.join(up, "met").select("id", F.least("met", "up").alias("class_id")), "jumped")
 
 
 def _merge(labels: DataFrame, found: DataFrame) -> DataFrame:
