@@ -5,8 +5,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from veritab.functions import email, money, people, places, text
-from veritab.operators import extract
+from veritab.functions import companies, email, money, people, places, text
+from veritab.operators import discover, extract
 from veritab.operators.authority import authority, is_company_host
 from veritab.operators.ground import contains_quote, find_quotes
 from veritab.operators.html import decode, intent, links, pages_to_read, text_of, with_text
@@ -139,7 +139,27 @@ def test_grounding(spark):
     assert run(spark, [('"Acme" raised 2.4', source), ("raised", source), (None, source), ("raised 2.4 million", None)], contains_quote) == [True, False, False, False]
 
 
-def test_candidates(spark):
-    rows = [(1, "Indian fintech Jar raises $2M - Daily", "u", "s"), (2, "Bengaluru-based Acme Technologies, a platform", "u", "s"), (3, None, "u", None)]
-    got = extract.candidates(spark.createDataFrame(rows, "seq long, title string, url string, snippet string")).collect()
-    assert [(r.name, r.domain, r.source_kind) for r in sorted(got, key=lambda r: r.seq)] == [("Jar", None, "headline"), ("Acme Technologies", None, "article")]
+def test_candidates_of_search_results(spark):
+    rows = [(1, "Indian fintech Jar raises $2M - Daily", "https://jar.io", "s"), (2, "Bengaluru-based Acme Technologies, a platform", "https://medium.com/x", "s"), (3, None, "u", None), (4, "Home", "https://acme-pay.io/", "We pay"), (5, "Fintech raises $2M", "https://a.com", "s"), (6, "Startups based in Lagos, Moni Pay and others", "https://moni.ng", None)]
+    got = discover.from_search(spark.createDataFrame(rows, "seq long, title string, url string, snippet string")).collect()
+    assert [(r.seq, r.name, r.domain, r.source_kind) for r in sorted(got, key=lambda r: r.seq)] == [
+        (1, "Jar", None, "headline"), (2, "Acme Technologies", None, "article"), (4, "Acme Pay", "acme-pay.io", "company_site"), (6, "Moni Pay", "moni.ng", "article"),
+    ]
+
+
+def test_company_names(spark):
+    cases = {
+        "Acme, Inc.": "Acme", " «Acme» ": "«Acme»", "“Acme Pvt. Ltd.”": "Acme", "New Relic": "New Relic", "Next Insurance": "Next Insurance", "Top Hat": "Top Hat", "Fintech": None, "Fintech Ventures": None, "Apply Now": None, "Open VC": None,
+        "Tel Aviv Israel": None, "Bengaluru": None, "greyhounders.com": None, "http://www.demium.com": None, "EU": None, "Eif": None, "X1": None, "Jar": "Jar", "Acme and Sons": None, "a b c d e f": None, "": None, "123": None, "Ltd": None, "x" * 61: None,
+    }
+    assert dict(zip(cases, run(spark, list(cases), companies.clean_company_name))) == cases
+    assert run(spark, [None, "The best 10", "Acme"], companies.is_generic_name) == [True, True, False]
+    pairs = [("Chickin", "chickin.co.id"), ("Assets", "acme.io"), ("Two Words", "acme.io"), ("Acme", "getacme.io"), ("Acme", "")]
+    assert run(spark, pairs, companies.names_its_host) == [True, False, True, True, False]
+
+
+def test_hubs_and_passages(spark):
+    pages = [("https://a.io/portfolio", None, None), ("u", "Top 10 startups", "VC firms"), ("u", "News", "text"), (None, None, "Our companies")]
+    assert run(spark, pages, discover.is_link_hub) == [True, False, False, True]
+    assert run(spark, [("A", "B"), ("A", "A is"), (None, "B"), ("A", None), (None, None)], discover.passage) == ["A. B", "A is", "B", "A", ""]
+

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.text import alternation, host_of, labels_of, path_of, strings, suffixes_of
-from ..vocab import AGGREGATOR_HOSTS, AUTHORITY_RANK, PRESS_HOSTS, PRESS_MARKERS, REGISTRY_HOSTS, SOCIAL_HOSTS
+from ..functions.text import alternation, host_of, is_institution, labels_of, path_of, strings, suffixes_of
+from ..vocab import AGGREGATOR_HOSTS, AUTHORITY_RANK, NO_COMPANY_HOSTS, PRESS_HOSTS, PRESS_MARKERS, REGISTRY_HOSTS, SOCIAL_HOSTS
 
 
 def reads_like_press(url: Column) -> Column:
@@ -43,9 +43,7 @@ def rank(standing: Column) -> Column:
 
 
 def is_company_host(url: Column) -> Column:
-    """Whether a host may be a company's own: neither a known outlet or platform nor an institution, at most three dots."""
-    from ..functions.text import is_institution
-
+    """Whether a host may be a company's own: neither listed as never one nor an institution, at most three dots."""
     host = host_of(url)
-    listed = F.arrays_overlap(suffixes_of(host), strings([*PRESS_HOSTS, *AGGREGATOR_HOSTS, *SOCIAL_HOSTS]))
+    listed = F.arrays_overlap(suffixes_of(host), strings(NO_COMPANY_HOSTS))
     return (host != "") & ~listed & ~is_institution(host) & (F.size(F.split(host, r"\.")) <= 4)

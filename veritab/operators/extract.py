@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.email import find_emails
 from ..functions.money import AFTER, BEFORE, CONTEXT, NUMBER, classify_amount, factor, figures, guess_currency, is_cumulative, is_plain, lookup, resolve_currency, to_decimal
-from ..functions.people import company_from_headline, people
+from ..functions.people import people
 from ..functions.places import country_from_demonym, is_united_states, us_signals
 from ..functions.text import alternation, collapse, normalise_domain, normalise_name, sentences
 from ..functions.tokens import any_of, near
@@ -114,17 +114,6 @@ def leading_name(text: Column, most: int = 4) -> Column:
     return run["name"]
 
 
-def candidates(results: DataFrame) -> DataFrame:
-    """name, domain, name_norm, source_kind, snippet, seq of search results (seq, title, url, snippet): by headline, else by 'X-based Name'.
-
-    The host of a headline's result is the outlet's, so it never becomes the company's domain."""
-    headline = company_from_headline(F.col("title"))
-    based = F.nullif(leading_name(F.regexp_extract(F.concat_ws(". ", "title", "snippet"), r"-based\s+(.*)", 1)), F.lit(""))
-    named = results.withColumn("name", F.coalesce(headline, based)).where(F.col("name").isNotNull())
-    kind = F.when(headline.isNotNull(), "headline").otherwise("article")
-    return named.select("seq", "name", F.lit(None).cast("string").alias("domain"), normalise_name(F.col("name")).alias("name_norm"), kind.alias("source_kind"), F.col("snippet"))
-
-
 def keys_of(rows: DataFrame, name: str = "name", domain: str = "domain") -> DataFrame:
     """rows with dedup_key: the domain where there is one, else the name."""
     return rows.withColumn("dedup_key", F.coalesce(normalise_domain(F.col(domain)), normalise_name(F.col(name))))

@@ -8,7 +8,7 @@ from ..functions.text import canonical_id, host_of, is_fetchable, is_institution
 from ..operators.authority import authority, is_company_host
 from ..operators.html import intent, links, pages_to_read, with_text
 from ..shared import table
-from ..vocab import AGGREGATOR_HOSTS, INSTITUTION_LABELS, LEGAL_SUFFIXES, PAGE_INTENTS, PRESS_HOSTS, PRESS_MARKERS, REGISTRY_HOSTS, SECOND_LEVEL, SOCIAL_HOSTS
+from ..vocab import AGGREGATOR_HOSTS, INSTITUTION_LABELS, LEGAL_SUFFIXES, NO_COMPANY_HOSTS, PAGE_INTENTS, PRESS_HOSTS, PRESS_MARKERS, REGISTRY_HOSTS, SECOND_LEVEL, SOCIAL_HOSTS
 
 
 def host_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ SQL = {
         with h as (select page_id, url, {HOST} as host from pages),
         s as (select *, string_split(host, '.') as l, {_SUFFIXES} as above from h)
         select page_id, regexp_matches(url, '^https?://') and not regexp_matches(url, '(?i)\.(pdf|zip|docx?|xlsx?|pptx?|png|jpe?g|gif|svg|webp|mp4|mp3|css|js|ico)(\?|$)') as fetchable,
-               host <> '' and not list_has_any(above, {_list([*PRESS_HOSTS, *AGGREGATOR_HOSTS, *SOCIAL_HOSTS])}) and not list_has_any(l[2:], {_list(INSTITUTION_LABELS)}) and len(l) <= 4 as company_host,
+               host <> '' and not list_has_any(above, {_list(NO_COMPANY_HOSTS)}) and not list_has_any(l[2:], {_list(INSTITUTION_LABELS)}) and len(l) <= 4 as company_host,
                list_has_any(l[2:], {_list(INSTITUTION_LABELS)}) as institution
         from s""",
     "html_text_stats": f"""

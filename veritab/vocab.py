@@ -145,6 +145,25 @@ AGGREGATOR_HOSTS = listed("""
 SOCIAL_HOSTS = listed("""
     linkedin.com twitter.com x.com facebook.com instagram.com youtube.com medium.com substack.com github.com
     producthunt.com about.me wikipedia.org""")
+# Hosts that are never a company's own. A host counts with all its subdomains.
+NO_COMPANY_HOSTS = listed("""
+    techcrunch.com venturebeat.com forbes.com bloomberg.com reuters.com businessinsider.com wsj.com ft.com cnbc.com
+    theguardian.com bbc.com economictimes.indiatimes.com indiatimes.com livemint.com business-standard.com yourstory.com
+    inc42.com entrackr.com moneycontrol.com thehindu.com tech.eu sifted.eu eu-startups.com siliconcanals.com
+    techcabal.com disrupt-africa.com wamda.com magnitt.com techinasia.com e27.co dealstreetasia.com startupdaily.net
+    betakit.com maddyness.com gruenderszene.de frenchweb.fr startupticker.ch silicon.co.uk uktech.news arabnews.com
+    zawya.com thenationalnews.com prnewswire.com businesswire.com globenewswire.com einpresswire.com medium.com
+    substack.com crunchbase.com pitchbook.com tracxn.com dealroom.co cbinsights.com owler.com zoominfo.com apollo.io
+    rocketreach.co signalhire.com linkedin.com twitter.com x.com facebook.com instagram.com youtube.com github.com
+    wikipedia.org reddit.com quora.com glassdoor.com indeed.com producthunt.com g2.com capterra.com trustpilot.com
+    angel.co wellfound.com google.com bing.com duckduckgo.com yahoo.com amazon.com apple.com microsoft.com notion.so
+    wordpress.com blogspot.com wixsite.com eventbrite.com meetup.com slideshare.net scribd.com issuu.com contactout.com
+    datanyze.com ceoemail.com bouncewatch.com muckrack.com ambitionbox.com craft.co ziprecruiter.com whitepages.com
+    lusha.com clearbit.com hunter.io snov.io findthatlead.com parsers.vc clutch.co fi.co vestbee.com shizune.co
+    investorhunt.co vcbacked.co openvc.app failory.com startupgenome.com growthlist.co coresight.com dxbstart.com
+    demium.com seedtable.com startupblink.com theventurecodex.com startuplanes.com smbpodcast.com app.dealroom.co
+    impactalpha.com retail-insider.com theglobeandmail.com arabnews.pk securitysystemsnews.com pulse2.com dokumen.pub
+    lexology.com""")
 # Parts of publications' names.
 PRESS_MARKERS = listed(
     "news tech startup startups times herald tribune post daily weekly wire press media journal gazette report insider"
@@ -243,6 +262,40 @@ DESCRIPTORS = listed("""
     cloud data crypto web3 gaming ecommerce e-commerce exclusive breaking update report opinion analysis profile interview
     just now again also meet watch why how what new the a an this that its it and or with for from after before""")
 
+# Forms of companies that are left out of a name as it is written.
+FORM_WORDS = listed("inc llc ltd limited pvt private plc gmbh bv nv sa sas sarl ab as oy aps srl spa pte sdn bhd")
+# Words that are no name by themselves.
+WEAK_NAME_WORDS = listed("""
+    the a an this that these those it its we our us startup startups company companies firm platform founder founders ceo
+    news report top best list why how what new more million funding round seed series investors investment raises raised
+    secures closes announces launches today year month""")
+FILLER_WORDS = listed("now here today free more all us our the a an your my new out up in to for best top leading list guide of and")
+LINKING_WORDS = listed("and or with from after before during into about")
+PLACE_WORDS = listed("city region province state county district")
+# Trades, publishers, buttons and sections of sites, which are no company's name.
+GENERIC_NAMES = listed("""
+    fintech|healthtech|edtech|insurtech|proptech|agritech|foodtech|cleantech|climatetech|deeptech|medtech|regtech|legaltech
+    |traveltech|adtech|hrtech|martech|retailtech|biotech|spacetech|cybersecurity|saas|software|technology|tech|startup
+    |startups|venture|ventures|capital|partners|holdings|group|labs|digital|innovation|ecosystem|accelerator|incubator
+    |portfolio|investors|investor|funding|fund|funds|seed|angel|angels|equity|advisors|advisory|consulting|openvc|failory
+    |shizune|investorhunt|vcbacked|crunchbase|dealroom|tracxn|pitchbook|eif|ebrd|eib|mexicobusiness|businessnews
+    |techcrunch|sifted|eustartups|siliconcanals|wamda|magnitt|f6s|linkedin|medium|substack|wikipedia|producthunt
+    |rocketreach|signalhire|zoominfo|apollo|lusha|clearbit|owler|growjo|join|apply|login|log in|signin|sign in|signup
+    |sign up|register|subscribe|newsletter|download|demo|pricing|docs|documentation|support|help|faq|contact|about|home
+    |blog|news|press|careers|jobs|privacy|terms|cookies|imprint|impressum|legal|back|next|previous|more|view|see|read
+    |learn|explore|discover|get|start|menu|search|share|follow|connect|team|people|events|resources|insights|community
+    |members|apply now|read more|learn more|view all|see all|get started|find out more|our team|our story|who we are
+    |sponsor|sponsors|sponsor us|sponsorship|advertise|advertising|donate|shop|store|merch|gallery|photos|videos|podcasts
+    |webinars|reports|report|directory|database|awards|summit|conference|conferences|programs|programmes|program|programme
+    |services|solutions|companies|archive|sitemap|rss|feedback|volunteer|membership|partnerships|consultancy|consultancies
+    |newsletters|magazines|interviews|opinion|editorial|guides""", "|")
+# Phrases of pages that list companies, and of those that list investors.
+HUB_HINTS = listed("portfolio|our companies|cohort|batch|alumni|startups to watch|top 10|top 20|top 50|member companies|finalists|showcase|accelerator|incubator|our investments|companies we", "|")
+INVESTOR_HINTS = listed("""
+    list of investors|investor directory|vc firms|venture capital firms|top investors|angel investors|find investors
+    |investor list|fundraising tools|investor database|lead investors|family offices|funds investing|active investors
+    |investor crm|raise capital|pitch investors|investors in|vcs investing|seed funds in""", "|")
+
 # ---- places --------------------------------------------------------------------------------------------------------
 # The United States by name, state and city.
 US_NAMES = listed("united states|united states of america|usa|u.s.a.|u.s.|us|america", "|")
