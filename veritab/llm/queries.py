@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decision_list, decontaminate, host_paths, mixing, order_minhash, quality_crf, token_cache, token_store, toxicity
+from . import chat, decision_list, decontaminate, host_paths, line_runs, mixing, order_minhash, quality_crf, token_cache, token_store, toxicity
 from .common import new_path, table
 
 
@@ -64,11 +64,16 @@ def op10_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_paths.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_runs.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_crf, op2_toxicity_lexicon, op3_chat_format, op4_token_count_cache, op5_token_store_elias_fano,
-        op6_order_minhash, op7_poisson_mix, op8_decision_list, op9_qgram_decontaminate, op10_host_paths,
+        op6_order_minhash, op7_poisson_mix, op8_decision_list, op9_qgram_decontaminate, op10_host_paths, op13_line_runs,
     )
 }
 
@@ -94,4 +99,11 @@ SQL: dict[str, str] = {
         drawn as (select d.*, ('0x' || substr(md5('17|' || coalesce(cast(doc_id as varchar), '') || '|0'), 1, 13))::bigint / 4503599627370496.0 as u from documents d),
         counted as (select doc_id, text, lang, d.source, n_chars, (select count(*) from cdf where cdf.src = coalesce(d.source, '') and cdf.c <= d.u) as n from drawn d)
         select doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::integer as copy from counted where n > 0""",
+    "op13_line_runs": r"""
+        with l as (select doc_id, p, s[p] as line, translate(trim(s[p], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+                   from (select doc_id, s, unnest(range(1, len(s) + 1)) as p from (select doc_id, string_split(coalesce(text, ''), chr(10)) as s from documents))),
+        f as (select k, min(doc_id) as first from l where length(k) >= 10 group by k),
+        m as (select l.doc_id, p, line, coalesce(l.doc_id > f.first, false) as gone from l left join f on f.k = l.k)
+        select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by p) filter (where not gone), '')) as kept_sha256
+        from m group by doc_id""",
 }
