@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decision_list, decontaminate, host_paths, line_runs, mixing, order_minhash, quality_crf, token_cache, token_store, toxicity
+from . import alignment, chat, decision_list, decontaminate, host_paths, line_runs, mixing, order_minhash, quality_crf, token_cache, token_store, toxicity, word_runs
 from .common import new_path, table
 
 
@@ -64,6 +64,32 @@ def op10_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_paths.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def repeating_tails(docs: DataFrame) -> DataFrame:
+    """docs, where one text in ten (by crc32 of doc_id) repeats a stretch of its words to its end. A null doc_id changes nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words").cast("long"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    word = lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    tail = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), word), " ")
+    return docs.select("doc_id", F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.find(repeating_tails(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_dangling_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.count_links(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_runs.dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -73,7 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_crf, op2_toxicity_lexicon, op3_chat_format, op4_token_count_cache, op5_token_store_elias_fano,
-        op6_order_minhash, op7_poisson_mix, op8_decision_list, op9_qgram_decontaminate, op10_host_paths, op13_line_runs,
+        op6_order_minhash, op7_poisson_mix, op8_decision_list, op9_qgram_decontaminate, op10_host_paths, op11_word_runs, op12_dangling_suffixes, op13_line_runs,
     )
 }
 
