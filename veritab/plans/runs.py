@@ -9,6 +9,8 @@ from ..operators.plan import diversified, score, sibling_yield
 from ..operators.store import accumulate, after, broken, cache_misses, first_wins, frontier, latest, leads
 from ..shared import new_path, table
 from ..streaming import jobs
+from ..streaming.cache import lives, stale_at
+from ..streaming.frontier import frontier as stream_entries
 from ..vocab import FIXED_WINDOWS, GEOGRAPHIES, PHRASINGS, ROLLING_WINDOWS, SECTORS, SHAPE_BONUS, SHAPES
 
 
@@ -107,7 +109,33 @@ def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.breaker(calls, "user_id", new_path(spark, "breaker"))
 
 
-QUERIES = {f.__name__: f for f in (cell_space, sibling_yields, cell_rank_diversified, frontier_topk, leads_order, log_tail, frontier_accumulate, latest_wins_upsert, alias_first_wins, ttl_cache_miss, host_circuit_breaker, funnel_by_type, run_stats_json, stream_counts, stream_dedup, stream_breaker)}
+def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sightings of companies: users are keys, a purchase closes one, an error is a hopeless excerpt."""
+    e = jobs.follow(spark, f"{sf_dir}/events.parquet")
+    kind = F.coalesce(*[F.when(F.col("event_id") % 5 == i, k) for i, k in enumerate(("headline", "company_site", "article", "link_hub", "unknown"))])
+    done = (F.col("event_type") == "purchase") & (F.col("user_id") % 3 == 0)
+    return e.select(
+        F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.when(done, "done").otherwise("candidate").alias("event"), F.concat(F.lit("Firm "), "event_id").alias("name"),
+        F.when(F.col("event_type") == "signup", F.concat(F.lit("firm"), "event_id", F.lit(".io"))).alias("domain"), F.col("event_type").alias("source"), F.col("props").alias("snippet"), kind.alias("source_kind"),
+        F.when(F.col("event_type") == "error", "outside the band").alias("hopeless"),
+    )
+
+
+def stream_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_entries(_sightings(spark, sf_dir), new_path(spark, "frontier")).withColumn("discovered_via", F.array_join("discovered_via", ","))
+
+
+def stream_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users without an event in the day before a fixed instant, from a stream of lives."""
+    now = F.lit("2024-01-20 12:00:00").cast("timestamp")
+    fetches = jobs.follow(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at")).where(F.col("at") <= now)
+    known = stale_at(lives(fetches, 86400, new_path(spark, "lives")), now)
+    users = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key")).distinct()
+    never = users.join(table(spark, sf_dir, "events").where(F.col("ts").cast("timestamp") <= now).select(F.col("user_id").cast("string").alias("key")), "key", "left_anti")
+    return known.unionByName(never).select(F.col("key").cast("long").alias("user_id"))
+
+
+QUERIES = {f.__name__: f for f in (cell_space, sibling_yields, cell_rank_diversified, frontier_topk, leads_order, log_tail, frontier_accumulate, latest_wins_upsert, alias_first_wins, ttl_cache_miss, host_circuit_breaker, funnel_by_type, run_stats_json, stream_counts, stream_dedup, stream_breaker, stream_frontier, stream_ttl)}
 
 _list = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 _STATS = f"""
@@ -136,5 +164,14 @@ SQL = {
     "run_stats_json": """select strftime(ts, '%Y-%m-%d') as day, '{"errors":' || count(*) filter (where event_type = 'error') || ',"n":' || count(*) || '}' as stats from events group by 1""",
     "stream_counts": "select event_type, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as double) / 100 as total from events group by 1",
     "stream_dedup": "select distinct user_id, event_type from events",
+    "stream_frontier": """
+        with s as (select cast(user_id as varchar) as key, event_id, event_type, props, event_type = 'purchase' and user_id % 3 = 0 as done from events),
+        d as (select key, bool_or(done) as done from s group by 1),
+        c as (select key, min(event_id) as seq, arg_min(event_type, event_id) as first_type, min(event_id) filter (where event_type = 'signup') as signup, first(props order by length(props) desc, event_id) as snippet,
+                     min(event_id % 5) as kind, string_agg(distinct event_type, ',' order by event_type) as discovered_via from s where not done group by 1)
+        select key, case when done then 'done' when first_type = 'error' then 'ruled_out' else 'open' end as status, seq, 'Firm ' || seq as name, 'firm' || signup || '.io' as domain, snippet,
+               (['headline', 'company_site', 'article', 'link_hub', 'unknown'])[kind + 1] as source_kind, coalesce(discovered_via, '') as discovered_via, case when first_type = 'error' then 'outside the band' end as reason
+        from d left join c using (key)""",
+    "stream_ttl": "select distinct user_id from events where user_id not in (select user_id from events where ts between timestamp '2024-01-19 12:00:00' and timestamp '2024-01-20 12:00:00')",
     "stream_breaker": f"with {_FLAGS.format(order='event_id')}, r as (select *, row_number() over (partition by user_id, island order by event_id) as n from f where bad) select user_id as host, min(event_id) as opened from r where n = 3 group by 1",
 }

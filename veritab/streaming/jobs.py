@@ -38,6 +38,12 @@ def drain(rows: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return spark.read.parquet(path) if mode == "append" else spark.read.option("recursiveFileLookup", "true").parquet(path)
 
 
+def latest_of(versions: DataFrame, key: str) -> DataFrame:
+    """The last version of each key that a stream in update mode wrote; each key is written once a micro-batch at most."""
+    others = [c for c in versions.columns if c not in (key, "_batch")]
+    return versions.groupBy(key).agg(F.max_by(F.struct(*others), "_batch").alias("_last")).select(key, "_last.*")
+
+
 def counters(events: DataFrame, key: str, value: str, path: str) -> DataFrame:
     """key, n, total: additive counters, updated with every micro-batch."""
     sums = events.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.round(F.col(value) * 100).cast("long")).alias("total"))
