@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 from conftest import docs, words
@@ -96,11 +97,31 @@ def test_words_are_forgotten_and_learned_again(plain, monkeypatch):
     assert len(k.said) < 70
 
 
+def test_long_words_and_large_groups(plain, monkeypatch):
+    texts = ["x" * 3000, "ab" * 700 + " c", "日本語" * 200, "word " * 50]
+    for long, small in ((5, 1), (10_000, 10_000)):
+        monkeypatch.setattr(alignment, "LONG", long)
+        monkeypatch.setattr(alignment, "SMALL", small)
+        k = alignment.Words(A, B)
+        assert alignment.spelled(k, [t.encode() for t in texts])[3] == [said(plain(t)).encode() for t in texts]
+        begin, counts, slots, _ = alignment.spelled(k, [t.encode() for t in texts])
+        for t, lo, n in zip(texts, begin, counts):
+            links = Counter()
+            for w in slots[lo : lo + n]:
+                for p, m in zip(k.pairs[k.first[w] : k.first[w + 1]].tolist(), k.times[k.first[w] : k.first[w + 1]].tolist()):
+                    links[p >> 32, p & 0xFFFFFFFF] += m
+            assert links == Counter((x, y) for a, b in plain(t) for x in a for y in b)
+
+
 def test_transducer():
     t = alignment.Transducer({1: b"ab", 2: b"c", 3: b"abc"}, {1: b"a", 2: b"bc", 3: b"abcab", 4: b"x"})
     assert t.groups([1, 2, 3], [1, 2, 1, 2]) == [(2, 2), (3, 4)]
     assert t.groups([3, 1], [3]) == [(2, 1)]
     assert t.groups([1], [4]) is None and t.groups([1], [1]) is None and t.groups([], [1]) is None and t.groups([], []) == []
+    many = [([1, 2, 3], [1, 2, 1, 2]), ([3, 1], [3]), ([1], [4]), ([1], [1]), ([], [1]), ([], []), ([1, 2], [1, 2])]
+    flat = lambda side: (np.array([x for p in many for x in p[side]], np.int64), np.array([len(p[side]) for p in many], np.int64))
+    word, i, j, good = t.groups_of_many(*flat(0), *flat(1))
+    assert [[(x, y) for w, x, y in zip(word, i, j) if w == k] if good[k] else None for k in range(len(many))] == [t.groups(*p) for p in many]
     before = len(t.states)
     assert t.groups([1, 2] * 50, [1, 2] * 50)[-1] == (100, 100) and len(t.states) == before  # transitions are remembered
 

@@ -26,6 +26,7 @@ read. An empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,8 +43,12 @@ from .textstats import utf8
 #: Bytes of text in a chunk.
 CHUNK = 1 << 22
 #: Distinct words, and their bytes, after which a worker starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 REMEMBERED_BYTES = 1 << 25
+#: Words that are learned at once; the tokens from which a word is read by itself; links of a group up to which they are listed singly.
+SLICE = 20_000
+LONG = 200
+SMALL = 64
 SPACE = "▁"
 
 
@@ -101,6 +106,8 @@ class Transducer:
         self.states: list[tuple[int, bytes]] = [(1, b"")]  # the side that leads, and by which bytes; at the empty residual A reads next
         self.number = {(1, b""): 0}
         self.next: list[dict[int, int]] = [{}]
+        self.keys, self.to = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the same transitions, sorted by state and token
+        self.reads_a = np.ones(1, bool)
 
     def _step(self, state: int, token: int) -> int:
         """The state after the side that is behind reads a token; -1 if the bytes differ."""
@@ -144,6 +151,88 @@ class Transducer:
                 out.append((i, j))
         return None if state else out
 
+    def groups_of_many(self, a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """`groups` of many words at once, step by step for all of them: (word, tokens of A read, of B read) of each closed group,
+        and which words the sides spell alike."""
+        at_a, at_b = np.cumsum(a_size) - a_size, np.cumsum(b_size) - b_size
+        n = len(a_size)
+        i, j, state, good = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+        closed, active = [], np.flatnonzero(a_size + b_size > 0)
+        while len(active):
+            from_a = self.reads_a[state[active]]
+            ready = np.where(from_a, i[active] < a_size[active], j[active] < b_size[active])
+            good[active[~ready]] = False
+            active, from_a = active[ready], from_a[ready]
+            token = np.zeros(len(active), np.int64)
+            token[from_a] = a[(at_a + i)[active[from_a]]]
+            token[~from_a] = b[(at_b + j)[active[~from_a]]]
+            i[active] += from_a
+            j[active] += ~from_a
+            to = self._steps(state[active], token)
+            good[active[to < 0]] = False
+            active, to = active[to >= 0], to[to >= 0]
+            state[active] = to
+            done = active[to == 0]
+            closed.append((done, i[done], j[done]))
+            active = active[(to != 0) | (i[active] < a_size[active]) | (j[active] < b_size[active])]
+        word, i, j = (np.concatenate([np.zeros(0, np.int64), *(c[k] for c in closed)]) for k in range(3))
+        kept = np.flatnonzero(good[word])
+        order = kept[np.argsort(word[kept], kind="stable")]
+        return word[order], i[order], j[order], good
+
+    def _steps(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The states after these states read these tokens, from the sorted table of the transitions met."""
+        key = state << 32 | token
+        place = np.searchsorted(self.keys, key)
+        known = np.zeros(len(key), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == key[inside]
+        if not known.all():
+            new = np.unique(key[~known])
+            to = [self.next[k >> 32].get(k & 0xFFFFFFFF) for k in new.tolist()]
+            to = [self._step(k >> 32, k & 0xFFFFFFFF) if t is None else t for k, t in zip(new.tolist(), to)]
+            where = np.searchsorted(self.keys, new)
+            self.keys, self.to = np.insert(self.keys, where, new), np.insert(self.to, where, to)
+            self.reads_a = np.array([lead == 1 for lead, _ in self.states])
+            place = np.searchsorted(self.keys, key)
+        return self.to[place]
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each row, size numbers long."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of values, which may be empty."""
+    total, end = np.concatenate([[0], np.cumsum(values, dtype=np.int64)]), np.cumsum(sizes)
+    return total[end] - total[end - sizes]
+
+
+class Pool:
+    """Byte strings by number, one after another."""
+
+    def __init__(self, strings: dict[int, bytes]):
+        every = [strings.get(i, b"") for i in range(1 + max(strings))]
+        self.bytes = np.frombuffer(b"".join(every), np.uint8)
+        self.size = np.array([len(x) for x in every], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+
+    def spells(self, ids: np.ndarray, counts: np.ndarray, text: bytes, lengths: np.ndarray) -> np.ndarray:
+        """Which stretches of ids, `counts` long, spell their stretch of a text, `lengths` long."""
+        good = sums(self.size[ids], counts) == lengths
+        own, ids = np.frombuffer(text, np.uint8)[np.repeat(good, lengths)], ids[np.repeat(good, counts)]
+        wrong = self.bytes[spread(self.at[ids], self.size[ids])] != own
+        good[good] = sums(wrong, lengths[good]) == 0
+        return good
+
+    def write(self, ids: np.ndarray, last: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The strings of ids with their last byte replaced, and the size of each."""
+        size = self.size[ids]
+        out = self.bytes[spread(self.at[ids], size)]
+        out[np.cumsum(size) - 1] = last
+        return out.tobytes(), size
+
 
 class Words:
     """What a worker knows of words: their tokens, groups and links, as rows of arrays."""
@@ -151,6 +240,8 @@ class Words:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteSide(a_path), PieceSide(b_path)
         self.transducer = Transducer(self.a.bytes, self.b.bytes)
+        self.a_spelling = Pool(self.a.bytes)
+        self.digits = Pool({i: f"{i},".encode() for i in range(1 + max([*self.a.bytes, *self.b.bytes]))})
         self.cuts = self.a.cuts_at_spaces and self.b.cuts_at_spaces
         self.forget()
 
@@ -164,40 +255,71 @@ class Words:
         self.times = np.zeros(0, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
+        for lo in range(0, len(words), SLICE):
+            self._learn(words[lo : lo + SLICE])
+
+    def _closed(self, a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """groups_of_many; words of very many tokens are read one by one."""
+        long = np.flatnonzero(a_size + b_size > LONG)
+        few = np.where(a_size + b_size > LONG, 0, 1)
+        word, i, j, good = self.transducer.groups_of_many(a[np.repeat(few, a_size) > 0], a_size * few, b[np.repeat(few, b_size) > 0], b_size * few)
+        more = []
+        for w in long.tolist():
+            x, y = int(a_size[:w].sum()), int(b_size[:w].sum())
+            closed = self.transducer.groups(a[x : x + int(a_size[w])].tolist(), b[y : y + int(b_size[w])].tolist())
+            good[w] = closed is not None
+            more += [(w, k, m) for k, m in closed or ()]
+        if more:
+            word, i, j = (np.concatenate([x, y]) for x, y in zip((word, i, j), np.array(more, np.int64).T))
+            order = np.argsort(word, kind="stable")
+            word, i, j = word[order], i[order], j[order]
+        return word, i, j, good
+
+    def _learn(self, words: list[bytes]) -> None:
         spelled = [w.decode() for w in words]
-        self.held_bytes += sum(map(len, words))
-        sizes, first, pairs, times = [], [int(self.first[-1])], [], []
-        for w, a, b in zip(words, self.a.encode(spelled), self.b.encode(spelled)):
-            self.slot[w] = len(self.said)
-            groups = self.transducer.groups(a, b)
-            if groups is None or b"".join(map(self.a.bytes.__getitem__, a)) != w:
-                self.said.append(None)
-                sizes.append((0, 0, 0, 0))
-                first.append(first[-1])
-                continue
-            links: Counter[int] = Counter()
-            texts, n_links, i, j = [], 0, 0, 0
-            for k, m in groups:
-                own_a, own_b = a[i:k], b[j:m]
-                texts.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
-                n_links += len(own_a) * len(own_b)
-                if len(own_a) == len(own_b) == 1:
-                    links[own_a[0] << 32 | own_b[0]] += 1
-                else:
-                    on_b = Counter(own_b).items()
-                    for x, n in Counter(own_a).items():
-                        for y, o in on_b:
-                            links[x << 32 | y] += n * o
-                i, j = k, m
-            self.said.append(";".join(texts).encode())
-            sizes.append((len(a), len(b), len(groups), n_links))
-            pairs += links.keys()
-            times += links.values()
-            first.append(first[-1] + len(links))
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64).reshape(-1, 4)])
-        self.first = np.concatenate([self.first, np.array(first[1:], np.int64)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
-        self.times = np.concatenate([self.times, np.array(times, np.int64)])
+        flat = lambda ids: (np.fromiter(itertools.chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids)))
+        (a, a_size), (b, b_size) = flat(self.a.encode(spelled)), flat(self.b.encode(spelled))
+        word, i, j, good = self._closed(a, a_size, b, b_size)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        good &= self.a_spelling.spells(a, a_size, b"".join(words), length)
+        own = good[word]
+        word, i, j = word[own], i[own], j[own]
+        a, b = a[np.repeat(good, a_size)], b[np.repeat(good, b_size)]
+        a_size, b_size = a_size * good, b_size * good
+        # groups: how many tokens each has, and where they begin
+        first = np.ones(len(word), bool)
+        first[1:] = word[1:] != word[:-1]
+        n_a, n_b = (x - np.where(first, 0, np.append(0, x[:-1])) for x in (i, j))
+        at_a, at_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        per_word = np.bincount(word, minlength=len(words))
+        # what they say
+        place_a = np.arange(len(a)) + np.repeat(at_b, n_a)
+        place_b = np.arange(len(b)) + np.repeat(at_a + n_a, n_b)
+        token, mark = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        token[place_a], token[place_b] = a, b
+        mark[at_a + at_b + n_a - 1] = ord("|")
+        mark[at_a + at_b + n_a + n_b - 1] = ord(";")
+        said, size = self.digits.write(token, mark)
+        cuts = [0, *np.cumsum(sums(size, a_size + b_size)).tolist()]
+        # whom they link: pairs of small groups as they come, those of large ones by distinct ids
+        links = n_a * n_b
+        small = np.flatnonzero(links <= SMALL)
+        count = links[small]
+        within, group = spread(np.zeros(len(small), np.int64), count), np.repeat(small, count)
+        pairs = a[at_a[group] + within // n_b[group]] << 32 | b[at_b[group] + within % n_b[group]]
+        of, times = word[group], np.ones(len(pairs), np.int64)
+        large = [(word[g], x << 32 | y, n * m) for g in np.flatnonzero(links > SMALL).tolist()
+                 for x, n in Counter(a[at_a[g] : at_a[g] + n_a[g]].tolist()).items() for y, m in Counter(b[at_b[g] : at_b[g] + n_b[g]].tolist()).items()]
+        if large:
+            of, pairs, times = (np.concatenate([x, y]) for x, y in zip((of, pairs, times), np.array(large, np.int64).T))
+            order = np.argsort(of, kind="stable")
+            of, pairs, times = of[order], pairs[order], times[order]
+        self.slot.update(zip(words, range(len(self.said), len(self.said) + len(words))))
+        self.held_bytes += int(length.sum())
+        self.said += [said[x : y - 1] if ok else None for x, y, ok in zip(cuts, cuts[1:], good.tolist())]
+        self.sizes = np.concatenate([self.sizes, np.stack([a_size, b_size, per_word, sums(links, per_word)], axis=1)])
+        self.first = np.append(self.first, self.first[-1] + np.cumsum(np.bincount(of, minlength=len(words))))
+        self.pairs, self.times = np.append(self.pairs, pairs), np.append(self.times, times)
 
     def split(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         """The words of texts, each text with a space before it, and how many each text has; an empty text has none."""
@@ -239,17 +361,6 @@ def known_words(a_path: str, b_path: str) -> Words:
     return _known[a_path, b_path]
 
 
-def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... for each row, size numbers long."""
-    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-
-def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of consecutive stretches of values, which may be empty."""
-    total, end = np.concatenate([[0], np.cumsum(values, dtype=np.int64)]), np.cumsum(sizes)
-    return total[end] - total[end - sizes]
-
-
 def spelled(k: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Of each text: where its words begin and how many count (none if any word's sides differ); the slots; the groups as text."""
     words, counts = k.split(texts)
