@@ -11,7 +11,7 @@ empty residual closes a group; a mismatch or a residual at the end means that th
 Words. Before a space that follows no white space and precedes a letter or sign, neither tokenizer joins: A's pattern
 begins a piece there, and no piece of B has a space after something else (both are read from the tokenizers' files;
 without that a text is one word). So tokens and groups of a text are those of its words one after another, and a worker
-aligns each distinct word once. It forgets all words after `REMEMBERED` of them.
+aligns each distinct word once. After `REMEMBERED` words it keeps those that came in several chunks only.
 
 Counts over the corpus. A chunk of documents is one row: its distinct linked pairs with the number of its documents that
 hold each, and for its documents what they consist of. Pairs are counted by shuffle, one row a chunk and pair, and come back
@@ -41,9 +41,9 @@ from .pieces import cuts_as_known
 from .textstats import utf8
 
 #: Bytes of text in a chunk.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Distinct words, and their bytes, after which a worker starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 REMEMBERED_BYTES = 1 << 25
 #: Words that are learned at once; the tokens from which a word is read by itself; links of a group up to which they are listed singly.
 SLICE = 20_000
@@ -75,8 +75,10 @@ class ByteSide:
         for piece, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and how many each has."""
+        e = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return np.array(e.ids, np.int64), np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))
 
 
 class PieceSide:
@@ -93,9 +95,10 @@ class PieceSide:
         whole = all(SPACE not in p.lstrip(SPACE) for p in pieces)
         self.cuts_at_spaces = whole and self.model.decode(self.model.encode("a  b ")) == "a  b "
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of words that begin with a space, which the model adds itself."""
-        return self.model.encode([w[1:] for w in words], num_threads=1)
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words that begin with a space, which the model adds itself."""
+        ids = self.model.encode([w[1:] for w in words], num_threads=1)
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 class Transducer:
@@ -188,7 +191,7 @@ class Transducer:
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == key[inside]
         if not known.all():
-            new = np.unique(key[~known])
+            new = np.array(sorted(set(key[~known].tolist())), np.int64)
             to = [self.next[k >> 32].get(k & 0xFFFFFFFF) for k in new.tolist()]
             to = [self._step(k >> 32, k & 0xFFFFFFFF) if t is None else t for k, t in zip(new.tolist(), to)]
             where = np.searchsorted(self.keys, new)
@@ -247,6 +250,7 @@ class Words:
 
     def forget(self) -> None:
         self.slot: dict[bytes, int] = {}
+        self.met = np.zeros(0, np.int32)  # in how many chunks
         self.held_bytes = 0
         self.said: list[bytes | None] = []  # the groups as text; None where the sides spell different bytes
         self.sizes = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, links
@@ -254,6 +258,21 @@ class Words:
         self.pairs = np.zeros(0, np.int64)  # a << 32 | b
         self.times = np.zeros(0, np.int64)
 
+    def keep_frequent(self) -> None:
+        """Forgets the words that were met in one chunk only, or all if the others alone are too many."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > REMEMBERED // 2 or self.held_bytes > REMEMBERED_BYTES:
+            return self.forget()
+        new = np.full(len(self.said), -1, np.int64)
+        new[kept] = np.arange(len(kept))
+        self.slot = {w: n for w, n in zip(self.slot, new[np.fromiter(self.slot.values(), np.int64, len(self.slot))].tolist()) if n >= 0}
+        self.held_bytes = sum(map(len, self.slot))
+        self.said = [self.said[x] for x in kept.tolist()]
+        size = (self.first[1:] - self.first[:-1])[kept]
+        place = spread(self.first[kept], size)
+        self.sizes, self.met, self.first = self.sizes[kept], np.ones(len(kept), np.int32), np.append(0, np.cumsum(size))
+        self.pairs, self.times = self.pairs[place], self.times[place]
+
     def learn(self, words: list[bytes]) -> None:
         for lo in range(0, len(words), SLICE):
             self._learn(words[lo : lo + SLICE])
@@ -277,8 +296,7 @@ class Words:
 
     def _learn(self, words: list[bytes]) -> None:
         spelled = [w.decode() for w in words]
-        flat = lambda ids: (np.fromiter(itertools.chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids)))
-        (a, a_size), (b, b_size) = flat(self.a.encode(spelled)), flat(self.b.encode(spelled))
+        (a, a_size), (b, b_size) = self.a.encode(spelled), self.b.encode(spelled)
         word, i, j, good = self._closed(a, a_size, b, b_size)
         length = np.fromiter(map(len, words), np.int64, len(words))
         good &= self.a_spelling.spells(a, a_size, b"".join(words), length)
@@ -344,11 +362,14 @@ class Words:
         found = list(map(self.slot.get, words))
         if None in found:
             if len(self.said) > REMEMBERED or self.held_bytes > REMEMBERED_BYTES:
-                self.forget()
-                found = [None] * len(words)
+                self.keep_frequent()
+                found = list(map(self.slot.get, words))
             self.learn(list(dict.fromkeys(w for w, x in zip(words, found) if x is None)))
             found = list(map(self.slot.__getitem__, words))
-        return np.array(found, np.int64)
+        found = np.array(found, np.int64)
+        self.met = np.append(self.met, np.zeros(len(self.said) - len(self.met), np.int32))
+        self.met += np.bincount(found, minlength=len(self.said)) > 0
+        return found
 
 
 _known: dict[tuple[str, str], Words] = {}
