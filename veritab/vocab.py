@@ -309,6 +309,24 @@ US_CITIES = listed("""
     new york|san francisco|los angeles|chicago|boston|seattle|austin|denver|miami|atlanta|dallas|houston|san diego
     |philadelphia|phoenix|san jose|palo alto|mountain view|menlo park|santa monica|brooklyn|washington dc|silicon valley
     |bay area|nyc|sf""", "|")
+# A state that is also a country, and the signs beside it that mean the state.
+AMBIGUOUS_STATES = ["georgia"]
+US_SECOND_SIGNS = listed("usa atlanta savannah")
+# Words beside "us" that make it a pronoun, and words beside it that make it the country.
+US_PRONOUN_BEFORE = listed("""
+    contact about join with email mail follow reach tell ask help let for to of near like give show call text meet trust
+    choose hire support thank visit message write and why at by from between among all made""")
+US_PRONOUN_AFTER = listed("""
+    today now on at via here if a an and know directly anytime your you build grow help so what how why or for to with
+    about improve understand""")
+US_BEFORE = listed("the in across throughout")
+US_AFTER = listed("""
+    based market markets office offices customers clients headquarters hq subsidiary entity entities incorporated
+    incorporation company corporation dollar dollars team operations expansion launch resident residents user users state
+    states federal citizen citizens""")
+# Words that say where a company is, and those of its seat.
+LOCATING_CUES = listed("based|headquarters|headquartered|headquarter|head office|headoffice|hq|located|situated|registered|registered office|office in|offices in|our office|founded in|incorporated in|operating out of|address", "|")
+SEAT_CUES = listed("headquartered|based|located|head office|registered office", "|")
 # Countries of domain endings and of nationalities.
 TLD_COUNTRY = pairs("""
     in=India, uk=United Kingdom, fr=France, de=Germany, es=Spain, it=Italy, nl=Netherlands, be=Belgium, ch=Switzerland,
