@@ -8,8 +8,9 @@ empty residual A reads its next token, otherwise the side that is behind; the ne
 and a token lead to one state, which is remembered, so that bytes are compared once for each transition ever met. An
 empty residual closes a group; a mismatch or a residual at the end means that the sides spell different bytes.
 
-Words. Before a space that follows no white space and precedes a letter or sign, neither tokenizer joins: A's pattern
-begins a piece there, and no piece of B has a space after something else (both are read from the tokenizers' files;
+Words. Before a space or newline that follows no white space and precedes a letter or sign, neither tokenizer joins: A's
+pattern begins a piece there, and no piece of B has a space after something else, or a newline; nor do they join an ASCII
+letter and the sign after it, which no piece of B has (both are read from the files;
 without that a text is one word). So tokens and groups of a text are those of its words one after another, and a worker
 aligns each distinct word once. After `REMEMBERED` words it keeps those that came in several chunks only.
 
@@ -27,11 +28,13 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -50,6 +53,11 @@ SLICE = 20_000
 LONG = 200
 SMALL = 64
 SPACE = "▁"
+#: A letter with a sign after it, where both tokenizers cut.
+LETTER_SIGN = re.compile(r"[A-Za-z][!-/:-@\[-`{-~]")
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
 def byte_letters() -> dict[str, int]:
@@ -91,13 +99,17 @@ class PieceSide:
         ids = range(self.model.get_piece_size())
         pieces = [self.model.id_to_piece(i) for i in ids]
         self.bytes = {i: bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in zip(ids, pieces)}
-        # no piece goes on over a space, and spaces are kept as they are
-        whole = all(SPACE not in p.lstrip(SPACE) for p in pieces)
+        # no piece goes on over a space, a newline, or from a letter to a sign; and spaces are kept as they are
+        own = [p for i, p in zip(ids, pieces) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
+        whole = all(SPACE not in p.lstrip(SPACE) and "\n" not in p and not LETTER_SIGN.search(p) for p in own)
         self.cuts_at_spaces = whole and self.model.decode(self.model.encode("a  b ")) == "a  b "
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same of words that begin with a space, which the model adds itself."""
-        ids = self.model.encode([w[1:] for w in words], num_threads=1)
+        """The same of words. The space that a word begins with is left to the model; a newline stands alone after that space, so
+        words that begin otherwise are encoded behind one."""
+        extra = [0 if w[0] == " " else 1 if w[0] == "\n" else 2 for w in words]
+        ids = self.model.encode([(w[1:], w, "\n" + w)[n] for w, n in zip(words, extra)], num_threads=1)
+        ids = [x[n:] if n else x for x, n in zip(ids, extra)]
         return np.fromiter(itertools.chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
@@ -350,7 +362,8 @@ class Words:
             # neither white space nor U+2581 (whose last byte is 0x81) before the space; no white space of any script after it
             solid = (buf > 0x20) & (buf < 0x7F) | (buf >= 0xC3) & ~np.isin(buf, (0xE1, 0xE2, 0xE3))
             closed = (buf > 0x20) & (buf != 0x81) & (buf != 0x7F)
-            mark[1:-1] = (buf[1:-1] == 0x20) & solid[2:] & closed[:-2]
+            mark[1:-1] = ((buf[1:-1] == 0x20) | (buf[1:-1] == 0x0A)) & solid[2:] & closed[:-2]
+            mark[1:] |= _SIGN[buf[1:]] & _LETTER[buf[:-1]]
         mark[begin] = True
         at = np.flatnonzero(mark)
         counts = np.zeros(len(texts), np.int64)
@@ -364,8 +377,10 @@ class Words:
             if len(self.said) > REMEMBERED or self.held_bytes > REMEMBERED_BYTES:
                 self.keep_frequent()
                 found = list(map(self.slot.get, words))
-            self.learn(list(dict.fromkeys(w for w, x in zip(words, found) if x is None)))
-            found = list(map(self.slot.__getitem__, words))
+            new = [w for w, x in zip(words, found) if x is None]
+            self.learn(list(dict.fromkeys(new)))
+            later = map(self.slot.__getitem__, new)
+            found = [next(later) if x is None else x for x in found]
         found = np.array(found, np.int64)
         self.met = np.append(self.met, np.zeros(len(self.said) - len(self.met), np.int32))
         self.met += np.bincount(found, minlength=len(self.said)) > 0
@@ -422,11 +437,11 @@ def chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts, ids = utf8(batch.column(1)), batch.column(0).to_pylist()
-            for lo, hi in runs([len(t) for t in texts], CHUNK):
+            ids = batch.column(0).to_pylist()
+            for lo, hi in runs(pc.binary_length(batch.column(1)).fill_null(0).to_pylist(), CHUNK):
                 k = known_words(a_path, b_path)
                 n = hi - lo
-                begin, counts, slots, said = spelled(k, texts[lo:hi])
+                begin, counts, slots, said = spelled(k, utf8(batch.column(1).slice(lo, n)))
                 doc = np.repeat(np.arange(n), counts)
                 slots = slots[spread(begin, counts)]
                 own, place = np.unique(slots, return_inverse=True)
@@ -450,6 +465,7 @@ def chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 }
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x) if name != "docs" else pa.array(x, DOCS) for name, x in row.items()], names=list(row))
+        known_words(a_path, b_path).forget()  # the worker may wait for long
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(one, CHUNKS)
 
