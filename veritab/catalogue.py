@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import companies, discovery, pages, runs, texts
+from .plans import companies, discovery, pages, runs, texts, verdicts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = pages.QUERIES | texts.QUERIES | companies.QUERIES | discovery.QUERIES | runs.QUERIES
-SQL: dict[str, str] = pages.SQL | texts.SQL | companies.SQL | discovery.SQL | runs.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = pages.QUERIES | texts.QUERIES | companies.QUERIES | discovery.QUERIES | runs.QUERIES | verdicts.QUERIES
+SQL: dict[str, str] = pages.SQL | texts.SQL | companies.SQL | discovery.SQL | runs.SQL | verdicts.SQL

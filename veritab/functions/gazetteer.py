@@ -127,8 +127,8 @@ def _demonyms(ts: Column) -> Column:
 
 
 def locations(sentence: Column, within: int = 10) -> Column:
-    """array<struct<rung, country>> that a sentence gives its company: 3 'X-based', 4 a seat 'in X' at most so many words on,
-    5 a nationality that describes a company."""
+    """array<struct<rung, country>> that a sentence gives its company: 2 'X-based', 3 a seat 'in X' at most so many words on,
+    4 a nationality that describes a company."""
 
     def read(ts: Column) -> Column:
         def by_place(hits: Column) -> Column:
@@ -136,9 +136,9 @@ def locations(sentence: Column, within: int = 10) -> Column:
             seats = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (F.get(ts, i) == "in") & (F.get(ts, i - 1).isin([c.split()[-1] for c in SEAT_CUES]) | (F.get(ts, i - 1) == BASED)))
             near = F.filter(hits, lambda h: F.exists(seats, lambda i: (h["at"] > i) & (h["at"] <= i + within)))
             made = lambda rung, found: F.when(F.size(found) > 0, F.struct(F.lit(rung).alias("rung"), _best(found).alias("country")))
-            return F.array(made(3, based), made(4, near))
+            return F.array(made(2, based), made(3, near))
 
-        described = once(_demonyms(ts), lambda ds: F.when(F.size(ds) > 0, F.struct(F.lit(5).alias("rung"), F.array_max(F.transform(ds, lambda d: F.struct(d["n"].alias("n"), (-d["at"]).alias("at"), d["country"].alias("country"))))["country"].alias("country"))))
+        described = once(_demonyms(ts), lambda ds: F.when(F.size(ds) > 0, F.struct(F.lit(4).alias("rung"), F.array_max(F.transform(ds, lambda d: F.struct(d["n"].alias("n"), (-d["at"]).alias("at"), d["country"].alias("country"))))["country"].alias("country"))))
         return F.filter(F.concat(once(_hits(ts), by_place), F.array(described)), lambda x: x.isNotNull() & x["country"].isNotNull())
 
     return F.when(F.length(F.coalesce(sentence, F.lit(""))) > 0, once(tokens(sentence), lambda ts: F.when(F.size(ts) > 0, read(ts)))).otherwise(F.array().cast("array<struct<rung:int,country:string>>"))

@@ -108,3 +108,50 @@ def sentences(text: Column) -> Column:
     """Sentences of a text: they end at a newline, or at a stop, question or exclamation mark before white space."""
     parts = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), r"\n+")
     return F.filter(F.transform(parts, collapse), lambda s: s != "")
+
+
+def sentence_containing(text: Column, start: Column, end: Column, most: int = 400) -> Column:
+    """The sentence around text[start:end], with white space as single spaces: from behind the last '. ' or newline to the next one,
+    looked for up to `most` characters to either side."""
+    before = F.substr(text, F.greatest(start - most, F.lit(0)) + 1, F.least(start, F.lit(most)))
+    after = F.substr(text, end + 1, F.lit(most))
+    return collapse(F.concat(F.regexp_extract(before, r"(?s)^(?:.*(?:\.\s|\n))?(.*)$", 1), F.substr(text, start + 1, end - start), F.regexp_extract(after, r"(?s)^(.*?(?:\.(?=\s)|(?=\n))|.*)", 1)))
+
+
+def shortened(text: Column, n: int) -> Column:
+    """At most n characters, with white space as single spaces; a text that was longer ends with an ellipsis."""
+    flat = collapse(F.coalesce(text, F.lit("")))
+    return F.when(F.length(flat) <= n, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, n - 1)), F.lit("…")))
+
+
+def quote_pattern(quote: Column) -> Column:
+    """A pattern that finds the raw text which `normalise_quote` makes equal to the normalised quote."""
+    q = normalise_quote(quote)
+    q = F.regexp_replace(q, r"([.$+])", r"\\$1")
+    q = F.replace(q, F.lit("-"), F.lit("[-–—−‐‑]"))
+    return F.regexp_replace(q, " ", r"[^\\p{L}\\p{N}_%\$€£₹.,:/+–—−‐‑-]+")
+
+
+def raw_span(quote: Column, text: Column) -> Column:
+    """What stands in the text for the quote, as it is written there; null if the quote isn't in it.
+
+    White space, signs that don't count, capitals, dashes and zero-width spaces may differ."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "\u200b", "")
+    found = F.call_function("regexp_extract", plain, F.concat(F.lit("(?iu)"), quote_pattern(quote)), F.lit(0))
+    return F.when((normalise_quote(quote) != "") & (found != ""), found)
+
+
+def snippet_around(quote: Column, text: Column, window: int = 320) -> Column:
+    """The text around a quote, a quarter of the window before it, as written but for white space; the quote where it isn't found."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "\u200b", "")
+    span = raw_span(quote, text)
+    start = F.greatest(F.call_function("instr", plain, span) - window // 4, F.lit(1))
+    return F.when(span.isNotNull(), collapse(F.substr(plain, start, F.lit(window)))).otherwise(shortened(F.trim(quote), window))
+
+
+def distinct_evidence(evidence: Column, chars: int | None = 80) -> Column:
+    """The evidence (url, quote, ...) without repeats of a url with the same first characters of a quote (None: whole quotes); the
+    first of each stays, in its order."""
+    key = lambda e: F.struct(e["url"], e["quote"] if chars is None else F.substring(e["quote"], 1, chars))
+    keys = F.transform(evidence, key)
+    return F.filter(evidence, lambda e, i: F.array_position(keys, key(e)) == i + 1)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.email import find_emails
-from ..functions.money import AFTER, BEFORE, CONTEXT, NUMBER, classify_amount, factor, figures, guess_currency, is_cumulative, is_plain, lookup, resolve_currency, to_decimal
+from ..functions.money import AFTER, BEFORE, CONTEXT, NUMBER, classify_amount, factor, figures, guess_currency, is_cumulative, is_plain, lookup, resolve_currency, sentence_at, to_decimal
 from ..functions.people import people
 from ..functions.places import country_from_demonym, is_united_states, us_signals
 from ..functions.text import alternation, collapse, normalise_domain, normalise_name, sentences
@@ -25,12 +25,12 @@ _NAMED = lambda x: F.coalesce(x, F.lit(""))
 
 
 def _figures(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, raw, before, sign, number, multiplier, after, context, start, end, doc_guess of every figure with a currency.
+    """key, raw, before, sign, number, multiplier, after, context, body, sentence, start, end of every figure with a currency.
 
     No built-in gives the places of all matches, so a small helper reads them, batch by batch, from the texts that have
     a digit."""
     kind = texts.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), *(T.StructField(c, T.StringType()) for c in ("raw", "before", "sign", "number", "multiplier", "after", "context", "body")), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    schema = T.StructType([T.StructField(key, kind), *(T.StructField(c, T.StringType()) for c in ("raw", "before", "sign", "number", "multiplier", "after", "context", "body", "sentence")), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     ship(texts.sparkSession)
     patterns, around = (NUMBER, BEFORE, AFTER), CONTEXT
 
@@ -42,11 +42,11 @@ def _figures(texts: DataFrame, key: str, text: str) -> DataFrame:
                 first = True
                 for start, end, *parts in figures(body, *compiled):
                     # the whole text goes with its first figure only
-                    one = (batch.column(0)[i].as_py(), body[start:end], *parts, body[max(0, start - around) : end + around], body if first else None, start, end)
+                    one = (batch.column(0)[i].as_py(), body[start:end], *parts, body[max(0, start - around) : end + around], body if first else None, sentence_at(body, start, end), start, end)
                     first = False
                     for values, v in zip(rows.values(), one):
                         values.append(v)
-            fields = [batch.column(0).type, *[pa.string()] * 8, pa.int32(), pa.int32()]
+            fields = [batch.column(0).type, *[pa.string()] * 9, pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), fields)], names=list(rows))
 
     likely = F.col(text).rlike(r"\d")
@@ -55,7 +55,7 @@ def _figures(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def amounts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a money figure of (key, text): raw, amount_original, currency, amount_usd, fx_rate, fx_date, amount_type,
-    is_cumulative, context, start, end. Figures without a currency, or below 1000 without a multiplier, are no rows.
+    is_cumulative, context, sentence, start, end. Figures without a currency, or below 1000 without a multiplier, are no rows.
 
     A bare dollar or a word that several countries share is read by the places named around it, else in the whole text."""
     value = to_decimal(F.col("number"))
@@ -65,10 +65,10 @@ def amounts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     typed = found.drop("body").withColumn("amount_original", scaled).where(F.col("amount_original") > 0).withColumn("_near", F.when(~is_plain(F.col("sign"), F.col("before"), F.col("after")), guess_currency(F.col("context")))).join(whole, key, "left")
     placed = typed.withColumn("_guess", F.coalesce("_near", "_of_text"))
     priced = placed.withColumn("currency", resolve_currency(F.col("sign"), F.col("before"), F.col("after"), F.col("_guess"))).withColumn("fx_rate", lookup(FX, F.col("currency")).cast("decimal(20,8)")).where(F.col("fx_rate").isNotNull())
-    once = priced.withColumn("_slot", F.floor(F.col("start") / 40)).groupBy(key, "currency", "amount_original", "_slot").agg(F.min_by(F.struct("raw", "fx_rate", "context", "start", "end"), "start").alias("r"))
+    once = priced.withColumn("_slot", F.floor(F.col("start") / 40)).groupBy(key, "currency", "amount_original", "_slot").agg(F.min_by(F.struct("raw", "fx_rate", "context", "sentence", "start", "end"), "start").alias("r"))
     return once.select(
         key, F.trim("r.raw").alias("raw"), "amount_original", "currency", (F.col("amount_original") * F.col("r.fx_rate")).cast("decimal(38,6)").alias("amount_usd"), "r.fx_rate", F.lit(FX_DATE).cast("date").alias("fx_date"),
-        classify_amount(F.col("r.context")).alias("amount_type"), is_cumulative(F.col("r.context")).alias("is_cumulative"), collapse(F.col("r.context")).alias("context"), "r.start", "r.end",
+        classify_amount(F.col("r.context")).alias("amount_type"), is_cumulative(F.col("r.context")).alias("is_cumulative"), collapse(F.col("r.context")).alias("context"), "r.sentence", "r.start", "r.end",
     )
 
 
