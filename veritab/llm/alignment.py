@@ -44,12 +44,12 @@ from .pieces import cuts_as_known
 from .textstats import utf8
 
 #: Bytes of text in a chunk.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Distinct words, and their bytes, after which a worker starts afresh.
-REMEMBERED = 150_000
-REMEMBERED_BYTES = 1 << 25
+REMEMBERED = 100_000
+REMEMBERED_BYTES = 1 << 24
 #: Words that are learned at once; the tokens from which a word is read by itself; links of a group up to which they are listed singly.
-SLICE = 20_000
+SLICE = 10_000
 LONG = 200
 SMALL = 64
 SPACE = "▁"
@@ -425,8 +425,8 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), one, "doc_id long, groups string")
 
 
-CHUNKS = """chunk string, pairs array<bigint>, held array<bigint>, docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups_sha256: string>>,
-            doc_words array<bigint>, words array<int>, word_times array<int>, word_pairs array<bigint>, links array<int>, link_times array<bigint>"""
+CHUNKS = """chunk string, pairs array<bigint>, held array<int>, docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups_sha256: string>>,
+            doc_words array<int>, words array<int>, word_times array<int>, word_pairs array<int>, links array<int>, link_times array<bigint>"""
 
 
 def chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -460,8 +460,8 @@ def chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     for i, (a, b, g, m), s in zip(ids[lo:hi], total, said)
                 ]
                 row = {
-                    "chunk": [f"{task}-{number}"], "pairs": [pairs], "held": [held], "docs": [facts], "doc_words": [doc_words],
-                    "words": [entry_word.astype(np.int32)], "word_times": [times.astype(np.int32)], "word_pairs": [size], "links": [link.astype(np.int32)], "link_times": [k.times[at]],
+                    "chunk": [f"{task}-{number}"], "pairs": [pairs], "held": [held.astype(np.int32)], "docs": [facts], "doc_words": [doc_words.astype(np.int32)],
+                    "words": [entry_word.astype(np.int32)], "word_times": [times.astype(np.int32)], "word_pairs": [size.astype(np.int32)], "links": [link.astype(np.int32)], "link_times": [k.times[at]],
                 }
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x) if name != "docs" else pa.array(x, DOCS) for name, x in row.items()], names=list(row))
