@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.money import human
+from ..functions.text import distinct_evidence, shortened
 from .ground import ground_claims
 
 #: The columns of the exported table.
-CSV_COLUMNS = ["company_name", "domain", "country", "sector", "description", "amount_usd", "amount_type", "founder", "title", "verified_email", "fit_score", "confidence", "near_boundary", "evidence_urls"]
+CSV_COLUMNS = [
+    "company_name", "description", "industry_sector", "funding_or_revenue", "funding_type", "ceo_or_cofounder", "founder_title", "verified_email", "website",
+    "country", "us_presence", "confidence", "fit_score", "evidence_urls",
+]
 _ADDRESS = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,63}"
 
 
@@ -26,12 +31,30 @@ def near_misses(judged: DataFrame, top: int = 6) -> DataFrame:
     return one.groupBy("gate", "reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gate", "reason").limit(top)
 
 
-def export_rows(leads: DataFrame) -> DataFrame:
-    """The exported columns: descriptions up to 400 characters, addresses only if verified, up to eight evidence urls."""
-    urls = F.array_join(F.slice(F.array_sort(F.array_distinct(F.transform("evidence", lambda e: e["url"]))), 1, 8), " | ")
-    return leads.withColumns({
-        "description": F.substring("description", 1, 400), "verified_email": F.when(F.col("email_status") == "verified", F.col("address")), "evidence_urls": urls,
-    }).select(*CSV_COLUMNS)
+def export_rows(judged: DataFrame, describe: int | None = 400, urls: int | None = 8) -> DataFrame:
+    """The exported columns and `qualified`, of judged profiles with `evidence` and `confidence`; facts that are unknown are empty.
+
+    Descriptions are shortened to `describe` characters, the sorted urls to `urls` of them, as the format asks; None keeps all."""
+    return _exported(judged, describe, urls, [])
+
+
+def _exported(judged: DataFrame, describe: int | None, urls: int | None, more: list[Column]) -> DataFrame:
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    own = F.array_sort(F.array_distinct(F.transform("evidence", lambda e: e["url"])))
+    text = said("description") if describe is None else F.substring(said("description"), 1, describe)
+    row = {
+        "company_name": said("name"), "description": text, "industry_sector": said("sector"), "funding_or_revenue": F.when(F.col("usd").isNotNull(), human(F.col("usd").cast("double"))).otherwise(""), "funding_type": said("amount_type"),
+        "ceo_or_cofounder": said("founder"), "founder_title": said("title"), "verified_email": F.when(F.col("email_status") == "verified", F.col("address")).otherwise(""), "website": F.coalesce(F.concat(F.lit("https://"), "domain"), F.lit("")),
+        "country": said("country"), "us_presence": said("us_level"), "confidence": F.round("confidence", 3), "fit_score": F.round("fit_score", 3), "evidence_urls": F.array_join(own if urls is None else F.slice(own, 1, urls), " | "),
+    }
+    return judged.select(*[v.alias(k) for k, v in row.items()], "qualified", *more)
+
+
+def export_documents(judged: DataFrame, quote: int = 400) -> DataFrame:
+    """The exported columns with the whole trail: evidence (url, quote, authority) without repeats, gates, the address's state."""
+    e = F.transform(distinct_evidence(F.col("evidence")), lambda x: F.struct(x["url"].alias("url"), shortened(x["quote"], quote).alias("quote"), x["authority"].alias("authority")))
+    detail = F.struct(F.col("email_status").alias("status"), F.col("email_note").alias("note"))
+    return _exported(judged, 400, 8, [e.alias("evidence"), F.col("gates"), detail.alias("email_detail"), F.col("near_boundary")])
 
 
 def mask_addresses(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.report import export_rows
+from ..operators.report import CSV_COLUMNS, export_documents, export_rows
 
 LEAD = "company_name string, verified_email string, evidence array<struct<url: string, quote: string, authority: string>>"
 BANK = "format int, note string, runs array<string>, leads array<string>"
@@ -36,12 +36,12 @@ def write_bank(rows: DataFrame, path: str) -> None:
 
 
 def write_csv(leads: DataFrame, path: str) -> None:
-    export_rows(leads).write.option("header", True).csv(path)
+    export_rows(leads).select(*CSV_COLUMNS).write.option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(leads: DataFrame, path: str) -> None:
-    """Leads with all their evidence."""
-    leads.write.json(path)
+    """Leads with the evidence behind all of it, one document a line."""
+    export_documents(leads).write.json(path)
 
 
 def canned_results(queries: DataFrame, canned: DataFrame) -> DataFrame:
