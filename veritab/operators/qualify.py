@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.email import belongs_to, is_role_account, matches_name
+from ..functions.gazetteer import is_locating
 from ..functions.people import is_founder_or_ceo, is_no_person
 from ..functions.text import alternation, names_a_publication
 from ..vocab import FIT_SECTORS, GATES, HUB_COUNTRIES, INVESTOR_TLDS, INVESTOR_WORDS, QUALIFYING_TYPES
@@ -83,8 +84,10 @@ def names_an_investor(domain: Column) -> Column:
     return ends | label.rlike(alternation(INVESTOR_WORDS))
 
 
-def fails_now(band: Band = Band()) -> Column:
-    """Why a stored lead no longer qualifies: the first rule that it breaks, or null."""
+def fails_now(band: Band = Band(), *, located: bool = False) -> Column:
+    """Why a stored lead no longer qualifies: the first rule that it breaks, or null.
+
+    located: whether leads carry country and country_evidence array<struct<quote, note>>, of which one must say where the company is."""
     site = F.concat(F.lit("https://"), F.col("domain"), F.lit("/"))
     usd = F.col("usd").cast("double")
     rules = [
@@ -101,10 +104,13 @@ def fails_now(band: Band = Band()) -> Column:
         ((usd < band.least) | (usd > band.most), "the figure is outside the band"),
         (F.coalesce("email_status", F.lit("")) != "verified", "the address isn't verified"),
     ]
+    if located:
+        proof = F.exists(F.coalesce("country_evidence", F.array().cast("array<struct<quote:string,note:string>>")), lambda e: is_locating(e["quote"], e["note"]))
+        rules.append((F.col("country").isNotNull() & ~proof, "no quote says where the company is"))
     return F.coalesce(*[F.when(test, why) for test, why in rules])
 
 
 def recheck(leads: DataFrame, band: Band = Band()) -> tuple[DataFrame, DataFrame]:
     """(still qualified, rejected with reason) of stored leads."""
-    judged = leads.withColumn("reason", fails_now(band))
+    judged = leads.withColumn("reason", fails_now(band, located="country_evidence" in leads.columns))
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")

@@ -309,6 +309,9 @@ US_CITIES = listed("""
     new york|san francisco|los angeles|chicago|boston|seattle|austin|denver|miami|atlanta|dallas|houston|san diego
     |philadelphia|phoenix|san jose|palo alto|mountain view|menlo park|santa monica|brooklyn|washington dc|silicon valley
     |bay area|nyc|sf""", "|")
+# What companies put before their name where the bare domain was taken, and what placeholder pages say.
+HOST_PREFIXES = listed("get try use join go my the app we hey with meet team")
+PARKED_TELLS = listed("this domain is for sale|buy this domain|domain for sale|parked free|courtesy of godaddy|coming soon|under construction|website is currently unavailable|default web page|namecheap|sedo|index of /", "|")
 # How lines begin that describe nothing, and words of lines that describe a company.
 NO_DESCRIPTION = listed("cookie|we use cookies|privacy|terms|copyright|all rights reserved|skip to|menu|sign in|log in|subscribe|newsletter|loading", "|")
 DESCRIBING_WORDS = listed("platform|software|app|solution|product|technology|builds|provides|helps|enables|offers|is a|we are|powers|delivers", "|")
