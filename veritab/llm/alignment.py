@@ -425,13 +425,31 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return map_arrow(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), one, "doc_id long, groups string")
 
 
-CHUNKS = """chunk string, pairs array<bigint>, held array<int>, docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups_sha256: string>>,
-            doc_words array<int>, words array<int>, word_times array<int>, word_pairs array<int>, links array<int>, link_times array<bigint>"""
+CHUNKS = """chunk string, pairs array<bigint>, held array<int>, body binary,
+            docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups_sha256: string>>"""
+#: The arrays in a chunk's body, in their order.
+BODY = {"doc_words": "<i4", "words": "<i4", "word_times": "<i4", "word_pairs": "<i4", "links": "<i4", "link_times": "<i8"}
+
+
+def pack(arrays: dict[str, np.ndarray]) -> bytes:
+    """The arrays of a body one after another, compressed, behind their lengths and the size of it all."""
+    raw = b"".join(arrays[name].astype(kind).tobytes() for name, kind in BODY.items())
+    head = np.array([len(raw), *(len(arrays[name]) for name in BODY)], "<i8").tobytes()
+    return head + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(body: bytes) -> dict[str, np.ndarray]:
+    size, *lengths = np.frombuffer(body, "<i8", 1 + len(BODY)).tolist()
+    raw, at, out = pa.decompress(body[8 * (1 + len(BODY)) :], size, codec="zstd", asbytes=True), 0, {}
+    for (name, kind), n in zip(BODY.items(), lengths):
+        out[name] = np.frombuffer(raw, kind, n, at).astype(np.int64)
+        at += n * np.dtype(kind).itemsize
+    return out
 
 
 def chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """A row for about CHUNK bytes of texts. doc_words says how many distinct words each document has, `words` (numbered in the
-    chunk) and word_times which and how often; word_pairs, `links` (places in `pairs`) and link_times the same for words."""
+    """A row for about CHUNK bytes of texts. Of its body, doc_words says how many distinct words each document has, `words` (numbered
+    in the chunk) and word_times which and how often; word_pairs, `links` (places in `pairs`) and link_times the same for words."""
     ship(docs.sparkSession)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,12 +477,10 @@ def chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     {"doc_id": i, "n_a": a, "n_b": b, "n_groups": g, "n_links": m, "groups_sha256": hashlib.sha256(s).hexdigest() if a else ""}
                     for i, (a, b, g, m), s in zip(ids[lo:hi], total, said)
                 ]
-                row = {
-                    "chunk": [f"{task}-{number}"], "pairs": [pairs], "held": [held.astype(np.int32)], "docs": [facts], "doc_words": [doc_words.astype(np.int32)],
-                    "words": [entry_word.astype(np.int32)], "word_times": [times.astype(np.int32)], "word_pairs": [size.astype(np.int32)], "links": [link.astype(np.int32)], "link_times": [k.times[at]],
-                }
+                body = pack({"doc_words": doc_words, "words": entry_word, "word_times": times, "word_pairs": size, "links": link, "link_times": k.times[at]})
+                columns = [pa.array([f"{task}-{number}"]), pa.array([pairs]), pa.array([held.astype(np.int32)]), pa.array([body], pa.binary()), pa.array([facts], DOCS)]
                 number += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x) if name != "docs" else pa.array(x, DOCS) for name, x in row.items()], names=list(row))
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "pairs", "held", "body", "docs"])
         known_words(a_path, b_path).forget()  # the worker may wait for long
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(one, CHUNKS)
@@ -488,18 +504,18 @@ def count_links(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     wanted = rows.select("chunk", F.posexplode("pairs").alias("i", "pair"))
     back = wanted.join(counts, "pair").groupBy("chunk").agg(F.collect_list(F.struct("i", "n", "best")).alias("counts"))
     facts = rows.drop("pairs", "held").join(back, "chunk", "left")
-    facts = facts.select("docs", "doc_words", "words", "word_times", "word_pairs", "links", "link_times", "counts.i", "counts.n", "counts.best")
+    facts = facts.select("docs", "body", "counts.i", "counts.n", "counts.best")
 
     def one(batch: pa.RecordBatch):
         for r in range(batch.num_rows):
-            get = lambda name: batch.column(name)[r].values  # noqa: B023, E731
-            number = lambda name: np.zeros(0, np.int64) if get(name) is None else get(name).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
-            i, link, times = number("i"), number("links"), number("link_times")
+            got = lambda name: batch.column(name)[r].values  # noqa: B023, E731
+            number = lambda name: np.zeros(0, np.int64) if got(name) is None else got(name).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+            x, i = unpack(batch.column("body")[r].as_py()), number("i")
             n, best = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
             n[i], best[i] = number("n"), number("best")
-            words, doc_words, word_times = number("words"), number("doc_words"), number("word_times")
-            count, most = (sums(sums(x[link] * times, number("word_pairs"))[words] * word_times, doc_words) for x in (n, best))
-            known = get("docs").flatten()
+            of_word = lambda of_pair: sums(of_pair[x["links"]] * x["link_times"], x["word_pairs"])  # noqa: B023, E731
+            count, most = (sums(of_word(c)[x["words"]] * x["word_times"], x["doc_words"]) for c in (n, best))
+            known = got("docs").flatten()
             names = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
             columns = [*known[:5], pa.array(most), pa.array(count), known[5]]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_best", "count_sum", "groups_sha256"])
