@@ -47,7 +47,7 @@ def _grams(ts: Column, names: dict[str, str]) -> Column:
     gram = lambda i, n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(ts, i + 1, n), " ").alias("name"))
     sizes = F.sequence(F.lit(1), F.lit(_MOST))
     grams = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(sizes, lambda n: i + n <= F.size(ts)), lambda n: gram(i, n))))
-    found = F.filter(grams, lambda g: g["name"].isin(list(names)))
+    found = F.filter(grams, lambda g: lookup(names, g["name"]).isNotNull())  # few begin with a name's first word
     # of names that begin at one place the longest
     longest = F.filter(found, lambda g: ~F.exists(found, lambda h: (h["at"] <= g["at"]) & (h["at"] + h["n"] >= g["at"] + g["n"]) & (h["n"] > g["n"])))
     return F.when(F.size(ts) > 0, longest).otherwise(F.array().cast("array<struct<at:int,n:int,name:string>>"))
@@ -73,7 +73,7 @@ def _hits(ts: Column) -> Column:
         of = lookup(PLACES, g["name"])
         country = F.when(of == STATE, F.when(second, US).otherwise(F.initcap(g["name"]))).otherwise(of)
         part = F.get(ts, g["at"] - 1).isin("latin", "south", "north", "central") & (g["name"] == "america")
-        weight = F.when(country == US, 3).when(g["name"].isin(_COUNTRY_NAMES) | (of == STATE), 2).otherwise(1)
+        weight = F.when(country == US, 3).when((of == STATE) | (F.lower(of) == g["name"]), 2).otherwise(1)
         return F.struct(g["at"].alias("at"), g["n"].alias("n"), F.when(~F.coalesce(part, F.lit(False)), country).alias("country"), weight.alias("weight"))
 
     named = F.filter(F.transform(_grams(ts, PLACES), read), lambda h: h["country"].isNotNull())
@@ -116,12 +116,12 @@ def normalise_country(raw: Column) -> Column:
 
 def _demonyms(ts: Column) -> Column:
     """array<struct<at, n, country>> of nationalities that describe a company: one stands within a few words after, or 'based'."""
-    nouns, seats = list(ORGANISATIONS), [*SEATED, BASED]
+    nouns, seats = F.split(F.lit("|".join(ORGANISATIONS)), r"\|"), [*SEATED, BASED]
 
     def describes(g: Column) -> Column:
         after = g["at"] + g["n"]
         near = F.slice(ts, after + 1, DESCRIBED_WITHIN + 1)
-        return F.exists(near, lambda w: w.isin(nouns)) | F.coalesce(F.get(ts, after).isin(seats), F.lit(False))
+        return F.arrays_overlap(near, nouns) | F.coalesce(F.get(ts, after).isin(seats), F.lit(False))
 
     return F.transform(F.filter(_grams(ts, DEMONYM_COUNTRY), describes), lambda g: F.struct(g["at"].alias("at"), g["n"].alias("n"), lookup(DEMONYM_COUNTRY, g["name"]).alias("country")))
 
@@ -148,6 +148,6 @@ def is_locating(quote: Column, note: Column | None = None) -> Column:
     """Whether a quote behind a country says where a company is: an inference that calls itself one, a cue, a place named outright,
     or a nationality that describes a company."""
     cue = F.coalesce(quote, F.lit("")).rlike(rf"(?i)\b{any_of(LOCATING_CUES)}\b")
-    named = once(tokens(quote), lambda ts: F.coalesce(F.array_join(ts, " ").isin([*US_NAMES, *_COUNTRY_NAMES]) | F.exists(_hits(ts), lambda h: h["weight"] != 2) | (F.size(_demonyms(ts)) > 0), F.lit(False)))
+    named = once(tokens(quote), lambda ts: F.coalesce(lookup(dict.fromkeys([*US_NAMES, *_COUNTRY_NAMES], "x"), F.array_join(ts, " ")).isNotNull() | F.exists(_hits(ts), lambda h: h["weight"] != 2) | (F.size(_demonyms(ts)) > 0), F.lit(False)))
     inferred = F.lit(False) if note is None else F.coalesce(F.contains(note, F.lit("INFERRED")), F.lit(False))
     return inferred | cue | named
