@@ -17,6 +17,7 @@ goes. Repeated rows vote and are extracted each. Other columns are not read. An
 
 from __future__ import annotations
 
+import bisect
 import html as html_lib
 import re
 from collections.abc import Iterator
@@ -35,7 +36,8 @@ VOTES_FROM = 0.6
 #: The host's path is used on a page if it holds this share of the text outside links of the page's best container.
 USED_FROM = 0.6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_ENDS = re.compile("[>\"']")
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -58,7 +60,72 @@ OTHERS_WORDS = frozenset("comment comments commentlist disqus respond reply repl
 PAGE_ONLY = frozenset(["header", "masthead", "topbar"])  # boilerplate outside the article only
 
 
-_RAW_END = {tag: re.compile(f"</{tag}[^>]*>", re.I) for tag in RAW}
+_RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
+#: Characters of a tag up to which its quotes are counted; longer ones are looked up.
+_SHORT = 2000
+
+
+class Tags:
+    """Tags and comments of a page, each found in time that depends on its own length. What isn't there ahead is remembered: that no
+    '>' follows, and where the quotes from each place on lead to."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self._gt = -2  # the next '>' from the place last asked for; -1 if none follows
+        self._known = False
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, name, attributes) of the first tag from at on, its name empty for comments and declarations;
+        or None. A '<' that begins none is text."""
+        source = self.source
+        while (i := source.find("<", at)) >= 0:
+            if source.startswith("<!--", i):
+                end = source.find("-->", i + 4)
+                return i, len(source) if end < 0 else end + 3, False, "", ""
+            if -1 != self._gt < i:
+                self._gt = source.find(">", i)
+            if self._gt < 0:
+                return None if (i := source.find("<!--", i)) < 0 else (i, len(source), False, "", "")
+            if source[i + 1] in "!?":
+                return i, self._gt + 1, False, "", ""
+            if m := _NAME.match(source, i + 1):
+                end = self._end(m.end())
+                if end >= 0:
+                    return i, end + 1, bool(m[1]), m[2].lower(), source[m.end() : end]
+            at = i + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """The first '>' from at on that is in no quotes; -1 if there is none before quotes that don't close."""
+        if self._gt - at <= _SHORT:
+            double, single = self.source.count('"', at, self._gt), self.source.count("'", at, self._gt)
+            if not (double and single) and not (double + single) % 2:
+                return self._gt
+        if not self._known:
+            self._learn()
+        k, passed = bisect.bisect_left(self._at, at), []
+        while k < len(self._at) and self._leads[k] == -2:
+            passed.append(k)
+            k = self._after[k]
+        found = self._leads[k] if k < len(self._at) else -1
+        for k in passed:
+            self._leads[k] = found
+        return found
+
+    def _learn(self) -> None:
+        """All '>' and quotes: where each stands, the number of the one behind its closing quote, and the '>' it leads to (-2: not known)."""
+        self._known = True
+        self._at = [m.start() for m in _ENDS.finditer(self.source)]
+        n = len(self._at)
+        self._after, self._leads = [n] * n, [-2] * n
+        last = {}
+        for k in range(n - 1, -1, -1):
+            c = self.source[self._at[k]]
+            if c == ">":
+                self._leads[k] = self._at[k]
+            else:
+                self._after[k] = last.get(c, n - 1) + 1
+                last[c] = k
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -147,13 +214,14 @@ class Page:
             self._parts.append((text, in_link, told))
 
     def _read(self, source: str) -> None:
-        at = 0
-        while m := _TOKEN.search(source, at):
-            self._take(source[at : m.start()])
-            at, tag = m.end(), (m[2] or "").lower()
+        at, tags = 0, Tags(source)
+        while found := tags.next(at):
+            start, end, closes, tag, raw = found
+            self._take(source[at:start])
+            at = end
             if not tag:
                 continue
-            if m[1]:
+            if closes:
                 self._close(tag)
             elif tag in VOID:
                 if tag == "hr":
@@ -162,9 +230,9 @@ class Page:
                     self._take(" ")
             elif tag in RAW:
                 end = _RAW_END[tag].search(source, at)
-                at = end.end() if end else len(source)
+                at = (source.find(">", end.end()) + 1 if end else 0) or len(source)
             else:
-                self._open(tag, m[3])
+                self._open(tag, raw)
         self._take(source[at:])
         self._flush()
 
