@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.money import constant_map
 from ..functions.text import collapse, host_of, strings
 from ..vocab import PAGE_INTENTS
 
 #: Elements whose contents are no text of the page.
 DROPPED = ["script", "style", "noscript", "svg", "iframe", "nav", "footer", "form"]
-#: Named character references and the numbers of their code points, by the standard's table.
-NAMED = {name: point for name, point in name2codepoint.items()} | {"apos": 39}
+#: Character references by the standard's table, with and without the semicolon that a few old names may lack; spaces that don't
+#: break are plain ones here.
+NAMED = {name[:-1]: signs.replace("\xa0", " ") for name, signs in html5.items() if name.endswith(";")}
+BARE = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+#: Numbers from 128 to 159 stand for the signs of windows-1252.
+NUMBERED = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
 #: Those that most pages have no others than, besides that of '&'.
 COMMON = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·"}
 #: Numbers that no code point has stand for a replacement character.
@@ -21,22 +26,24 @@ _NO_SIGN = 0xFFFD
 
 def decode(text: Column) -> Column:
     """Character references as their signs, each read once: decimal and hexadecimal numbers, and names."""
-    named = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
+    named, numbered = constant_map(NAMED), constant_map(NUMBERED)
 
     def read(after: Column) -> Column:
         ref = F.regexp_extract(after, r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
         number = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 8), 16, 10)).when(ref.startswith("#"), F.substring(ref, 2, 8)).cast("int")
-        point = F.when(ref == "", None).otherwise(F.coalesce(number, F.try_element_at(named, ref)))
-        valid = F.when((point <= 0) | point.between(0xD800, 0xDFFF) | (point > 0x10FFFF), _NO_SIGN).otherwise(point)
-        sign = F.decode(F.unhex(F.lpad(F.hex(valid.cast("long")), 8, "0")), "UTF-32")
-        return F.when(valid.isNull(), F.concat(F.lit("&"), after)).otherwise(F.concat(F.when(valid == 160, " ").otherwise(sign), F.substr(after, F.length(ref) + 2)))
+        valid = F.when((number <= 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), _NO_SIGN).otherwise(number)
+        sign = F.when(number == 160, " ").otherwise(F.coalesce(F.when(number.between(0x80, 0x9F), F.try_element_at(numbered, number.cast("string"))), F.decode(F.unhex(F.lpad(F.hex(valid.cast("long")), 8, "0")), "UTF-32")))
+        whole = F.when(ref.startswith("#"), sign).otherwise(F.try_element_at(named, ref))
+        bare = F.when(F.coalesce(whole, F.lit("")) == "", F.regexp_extract(after, f"^({'|'.join(BARE)})", 1))
+        short = F.concat(F.try_element_at(named, bare), F.substr(after, F.length(bare) + 1))
+        return F.coalesce(F.concat(F.when(ref != "", whole), F.substr(after, F.length(ref) + 2)), F.when(bare != "", short), F.concat(F.lit("&"), after))
 
     pieces = F.split(text, "&")
     rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
     common = text
     for ref, sign in COMMON.items():
         common = F.replace(common, F.lit(ref), F.lit(sign))
-    others = common.rlike("&(?!amp;)[#A-Za-z][A-Za-z0-9]*;")
+    others = common.rlike("&(?!amp;)[#A-Za-z]")
     return F.when(others, F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, read), ""))).otherwise(F.replace(common, F.lit("&amp;"), F.lit("&")))
 
 
