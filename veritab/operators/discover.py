@@ -14,6 +14,7 @@ from ..functions.text import alternation, host_of, name_from_domain, normalise_d
 from ..vocab import HUB_HINTS, INVESTOR_HINTS
 from .authority import is_company_host
 from .extract import leading_name
+from .html import made
 
 _said = lambda x: F.coalesce(x, F.lit(""))
 
@@ -78,8 +79,10 @@ def is_link_hub(url: Column, title: Column, text: Column) -> Column:
 def from_links(links: DataFrame) -> DataFrame:
     """Candidates of a page's links (page_id, url, seq, target, label): other companies' sites, at most two segments deep,
     whose label is a name; a label of one word must agree with the host."""
-    host, path = host_of(F.col("target")), F.regexp_replace(path_of(F.col("target")), "^/+|/+$", "")
-    out = links.where(is_company_host(F.col("target")) & (host != host_of(F.col("url"))) & (F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))) <= 1))
-    named = out.withColumn("name", clean_company_name(F.col("label"))).withColumn("domain", host).where(F.col("name").isNotNull() & names_its_host(F.col("name"), F.col("domain")))
+    path = F.regexp_replace(path_of(F.col("target")), "^/+|/+$", "")
+    depth = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    placed = links.select("page_id", "url", "seq", "label", made(domain=host_of(F.col("target")), own=is_company_host(F.col("target")), here=host_of(F.col("url")), depth=depth))
+    out = placed.where(F.col("own") & (F.col("domain") != F.col("here")) & (F.col("depth") <= 1))
+    named = out.select("page_id", "url", "seq", "label", "domain", made(name=clean_company_name(F.col("label")))).where(F.col("name").isNotNull() & names_its_host(F.col("name"), F.col("domain")))
     rows = named.select("page_id", F.col("seq").alias("at"), "name", "domain", F.lit("link_hub").alias("source_kind"), F.col("label").alias("snippet"), F.col("url").alias("source_url"))
     return _first_of_each(rows, "page_id")

@@ -96,12 +96,19 @@ def links(pages: DataFrame) -> DataFrame:
     pattern = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)[\"']?[^>]*>(.*?)</a>"
     html = F.coalesce("html", F.lit(""))
     found = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), 1), F.regexp_extract_all(html, F.lit(pattern), 2))
-    rows = pages.select("page_id", "url", F.posexplode(found).alias("seq", "m")).select("page_id", "url", "seq", decode(F.col("m.0")).alias("href"), F.col("m.1").alias("inner"))
+    rows = pages.select("page_id", "url", F.posexplode(found).alias("seq", "m")).select("page_id", "url", "seq", F.col("m.0").alias("raw"), F.col("m.1").alias("inner"))
     text = collapse(decode(F.regexp_replace("inner", r"(?s)<[^>]*>", " ")))
     alt = F.regexp_extract("inner", r"(?is)<img\s[^>]*?(?:alt|title)\s*=\s*[\"']([^\"']+)", 1)
     label = F.substring(F.coalesce(F.nullif(text, F.lit("")), alt), 1, 200)
-    kept = rows.where(~F.col("href").rlike(r"(?i)^(?:#|mailto:|tel:|javascript:)"))
-    return kept.select("page_id", "url", "seq", "href", absolute(F.col("href"), F.col("url")).alias("target"), label.alias("label"))
+    # as generated rows: each is computed once, however often it is read
+    read = rows.select("page_id", "url", "seq", made(href=decode(F.col("raw")), label=label))
+    kept = read.where(~F.col("href").rlike(r"(?i)^(?:#|mailto:|tel:|javascript:)"))
+    return kept.select("page_id", "url", "seq", "href", made(target=absolute(F.col("href"), F.col("url"))), "label")
+
+
+def made(**values: Column) -> Column:
+    """Columns as one generated row: the optimizer doesn't copy what they are made of to where they are read."""
+    return F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()])))
 
 
 def intent(target: Column, label: Column) -> Column:

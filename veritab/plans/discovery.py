@@ -75,7 +75,7 @@ def discovered_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge(both).select("entity", "domain", "n_sources", "source_kind")
 
 
-QUERIES = {f.__name__: f for f in (company_names, article_candidates)}
+QUERIES = {f.__name__: f for f in (company_names, search_candidates, article_candidates, link_page_candidates, discovered_entities)}
 
 _FOUND = """
     c as (select c_custkey as n, c_custkey % 6 as k from customer),
@@ -103,6 +103,3 @@ SQL = {
         select entity, any_value(d) as domain, count(*) as n_sources, case min(case source_kind when 'headline' then 0 when 'company_site' then 1 when 'article' then 2 else 3 end) when 0 then 'headline' when 1 then 'company_site' when 2 then 'article' else 'link_hub' end as source_kind
         from placed group by 1""",
 }
-
-#: The SQL of the queries that are registered.
-SQL = {name: SQL[name] for name in QUERIES}
