@@ -35,13 +35,27 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(table(spark, sf_dir, "pages")).select("page_id", F.col("seq").cast("long").alias("seq"), "target", "label")
 
 
+#: Links that pages get at their end, by page_id modulo their number.
+MENUS = [
+    '<a href="/about-us">Who</a><a href="/en/team">People</a><a href="/contact">Write</a><a href="/imprint.html">x</a><a href="/kontakt">y</a>',
+    '<a href="/x1">Our story</a><a href="/x2">Contact us</a><a href="/x3">Careers</a><a href="/about/team">Both</a><a href="/blog/about-nothing">z</a>',
+    '<a href="https://elsewhere.example/about">About</a><a href="/pricing?x=1">Pricing</a><a href="/pricing?x=1">Again</a><a href="/offices">Where</a><a href="mailto:a@b.io">mail</a>',
+    "",
+]
+
+
+def _with_menus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    menu = F.coalesce(*[F.when(F.col("page_id") % len(MENUS) == i, m) for i, m in enumerate(MENUS)])
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), menu).alias("html"))
+
+
 def link_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.coalesce(intent(F.col("target"), F.col("label")), F.lit("none"))
-    return links(table(spark, sf_dir, "pages")).groupBy(kind.alias("intent")).agg(F.count("*").alias("n"))
+    return links(_with_menus(spark, sf_dir)).groupBy(kind.alias("intent")).agg(F.count("*").alias("n"))
 
 
 def pages_worth_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages_to_read(links(table(spark, sf_dir, "pages"))).select("page_id", "intent", "target", F.col("rank").cast("long").alias("rank"))
+    return pages_to_read(links(_with_menus(spark, sf_dir))).select("page_id", "intent", "target", F.col("rank").cast("long").alias("rank"))
 
 
 def company_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +106,10 @@ _LINKS = rf"""
               where (s.said = replace(d.word, '-', ' ') or s.said like replace(d.word, '-', ' ') || ' %') and len(s.said) <= len(d.word) + 12 group by 1, 2),
     meant as (select s.*, coalesce(p.intent, l.intent) as intent from segments s left join by_path p using (page_id, seq) left join by_label l using (page_id, seq))"""
 
+_MENU_LINKS = (
+    f"menus as (select page_id, url, coalesce(html, '') || ({_list(MENUS)})[page_id % {len(MENUS)} + 1] as html from pages)," + _LINKS.replace("as inners from pages)", "as inners from menus)")
+)
+
 SQL = {
     "host_page_counts": f"select {HOST} as host, count(*) as pages, cast(sum(length(html)) as bigint) as html_chars from pages group by 1",
     "host_authority": rf"""
@@ -116,9 +134,9 @@ SQL = {
         with t as (select page_id, {_collapse(_decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} as title, {_text_sql()} as txt from pages)
         select page_id, title, length(txt) as n_chars, cast(len(string_split(txt, chr(10))) as bigint) as n_lines, md5(txt) as text_md5 from t""",
     "page_links": f"with {_LINKS} select page_id, seq, target, label from targets",
-    "link_intents": f"with {_LINKS} select coalesce(intent, 'none') as intent, count(*) as n from meant group by 1",
+    "link_intents": f"with {_MENU_LINKS} select coalesce(intent, 'none') as intent, count(*) as n from meant group by 1",
     "pages_worth_reading": f"""
-        with {_LINKS},
+        with {_MENU_LINKS},
         own as (select page_id, intent, target, min(seq) as seq from (select *, {HOST} as h1, {HOST.replace("url", "target")} as h2 from meant) where intent is not null and h1 = h2 group by 1, 2, 3),
         capped as (select *, row_number() over (partition by page_id, intent order by seq, target) as n from own),
         ranked as (select *, row_number() over (partition by page_id order by list_position({_list(PAGE_INTENTS)}, intent), seq, target) as rank from capped where n <= 2)

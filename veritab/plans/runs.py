@@ -15,8 +15,11 @@ from ..vocab import FIXED_WINDOWS, GEOGRAPHIES, PHRASINGS, ROLLING_WINDOWS, SECT
 
 
 def cell_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole space, counted by sector and geography."""
-    return all_cells(spark).groupBy("sector", "geography").agg(F.count("*").alias("cells"), F.countDistinct("cell_key").alias("n_keys"), F.min("cell_key").alias("first_key"))
+    """The whole space, counted by sector and geography, with how often events (as searches) tried each of these."""
+    of = lambda values, i: F.get(F.array(*map(F.lit, values)), (i % len(values)).cast("int"))
+    tried = table(spark, sf_dir, "events").groupBy(of(SECTORS, F.col("user_id")).alias("sector"), of(GEOGRAPHIES, F.col("event_id")).alias("geography")).agg(F.count("*").alias("tried"))
+    cells = all_cells(spark).groupBy("sector", "geography").agg(F.count("*").alias("cells"), F.countDistinct("cell_key").alias("n_keys"), F.min("cell_key").alias("first_key"))
+    return cells.join(tried, ["sector", "geography"], "left").withColumn("tried", F.coalesce("tried", F.lit(0).cast("long")))
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +150,11 @@ _FLAGS = """f as (select user_id, event_id, event_type = 'error' as bad, sum(cas
 
 SQL = {
     "cell_space": f"""
-        select s.sector, g.geography, count(*) as cells, count(distinct k) as n_keys, min(k) as first_key
-        from (select unnest({_list(SECTORS)}) as sector) s, (select unnest({_list(GEOGRAPHIES)}) as geography) g, (select unnest({_list(PHRASINGS)}) as p) p, (select unnest({_list(ROLLING_WINDOWS + FIXED_WINDOWS)}) as w) w, (select unnest({_list(SHAPES)}) as h) h,
-             lateral (select substr(sha1(concat_ws('|', s.sector, g.geography, p.p, w.w, h.h)), 1, 12) as k) group by 1, 2""",
+        with c as (select s.sector, g.geography, count(*) as cells, count(distinct k) as n_keys, min(k) as first_key
+            from (select unnest({_list(SECTORS)}) as sector) s, (select unnest({_list(GEOGRAPHIES)}) as geography) g, (select unnest({_list(PHRASINGS)}) as p) p, (select unnest({_list(ROLLING_WINDOWS + FIXED_WINDOWS)}) as w) w, (select unnest({_list(SHAPES)}) as h) h,
+                 lateral (select substr(sha1(concat_ws('|', s.sector, g.geography, p.p, w.w, h.h)), 1, 12) as k) group by 1, 2),
+        t as (select ({_list(SECTORS)})[user_id % {len(SECTORS)} + 1] as sector, ({_list(GEOGRAPHIES)})[event_id % {len(GEOGRAPHIES)} + 1] as geography, count(*) as tried from events group by 1, 2)
+        select sector, geography, cells, n_keys, first_key, coalesce(tried, 0) as tried from c left join t using (sector, geography)""",
     "sibling_yields": f"with {_STATS} select sector, geography, shape, used, round(yield, 9) as yield from y",
     "cell_rank_diversified": f"with {_STATS}, r as (select *, row_number() over (partition by shape order by score desc, cell_key) as place from sc) select cell_key, shape, score from r order by place > 11, score desc, cell_key limit 21",
     "frontier_topk": "select event_id as seq, round(value) as promise, user_id % 5 as kind, event_id % 4 as n_sources, case when event_type <> 'error' then event_type end as domain from events order by promise desc, kind, n_sources desc, domain is null, seq limit 40",
