@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.email import find_emails
-from ..functions.money import AFTER, BEFORE, CONTEXT, NUMBER, classify_amount, factor, figures, guess_currency, is_cumulative, is_plain, lookup, resolve_currency, sentence_at, to_decimal
+from ..functions.money import CONTEXT, classify_amount, factor, figures, guess_currency, is_cumulative, is_plain, lookup, resolve_currency, sentence_at, to_decimal
 from ..functions.people import people
 from ..functions.places import country_from_demonym, is_united_states, us_signals
 from ..functions.text import alternation, collapse, normalise_domain, normalise_name, sentences
@@ -32,15 +30,14 @@ def _figures(texts: DataFrame, key: str, text: str) -> DataFrame:
     kind = texts.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), *(T.StructField(c, T.StringType()) for c in ("raw", "before", "sign", "number", "multiplier", "after", "context", "body", "sentence")), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     ship(texts.sparkSession)
-    patterns, around = (NUMBER, BEFORE, AFTER), CONTEXT
+    around = CONTEXT
 
     def read(batches):
-        compiled = [re.compile(p) for p in patterns]
         for batch in batches:
             rows = {f.name: [] for f in schema}
             for i, body in enumerate(batch.column(1).to_pylist()):
                 first = True
-                for start, end, *parts in figures(body, *compiled):
+                for start, end, *parts in figures(body):
                     # the whole text goes with its first figure only
                     one = (batch.column(0)[i].as_py(), body[start:end], *parts, body[max(0, start - around) : end + around], body if first else None, sentence_at(body, start, end), start, end)
                     first = False
