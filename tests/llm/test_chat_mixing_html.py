@@ -136,3 +136,9 @@ def test_rows_without_an_id_draw_by_their_texts(spark):
 def test_deep_and_broken_pages():
     for page in ("<div>" * 20_000 + "text", "<b>" * 16_000 + "</i>" * 16_000 + "text", "<div class=sidebar>" * 20_000 + "text", "<i><div>" + "<b>" * 16_000 + "</i>" * 16_000 + "text"):
         assert host_paths.Page(page).text(None) == "text"
+
+
+def test_a_conversation_with_all_signs_for_private_use():
+    text = "".join(map(chr, range(0xE000, 0xF900)))
+    out, spans, rewritten = chat.locate([("user", text), ("assistant", "ok")], chat.instruct)
+    assert rewritten == -1 and [out[a:b] for _, _, a, b in spans] == [text, "ok"]

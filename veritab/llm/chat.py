@@ -16,6 +16,7 @@ Repeated rows are repeated turns. Extra columns are not read. An empty table giv
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable
 
@@ -81,11 +82,15 @@ def common_prefix(a: str, b: str) -> int:
     return lo
 
 
+#: Where the sign that stands for a text is taken from: code points for private use, then any that a conversation doesn't have.
+SENTINELS = (range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE), range(0xA0, 0xD800), range(0x10000, 0xF0000))
+
+
 def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int, int, int]], int]:
     """The rendering, (turn start, turn end, text start, text end) of each turn (-1 where history was rewritten
     under it), and the first turn at which the template rewrote history (-1: none)."""
     used = set().union(*(t for _, t in turns)) if turns else set()
-    sentinel = next(chr(c) for c in range(0xE000, 0xF900) if chr(c) not in used)
+    sentinel = next(chr(c) for c in itertools.chain(*SENTINELS) if chr(c) not in used)
     before, spans, rewritten = template([]), [], -1
     for i, (role, _) in enumerate(turns):
         now = template(turns[: i + 1])
