@@ -85,3 +85,44 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["bank", *args, "--runs", str(tmp_path / "r")]) == 0
     assert cli.main(["replay", "--bank", str(tmp_path / "bank"), "--out", str(tmp_path / "store")]) == 0
     assert bank.stored(spark, str(tmp_path / "store"), "verdicts").where(F.col("qualified")).count() == 1
+
+
+def test_audit_of_records(spark):
+    record = "company_id string, address string, evidence array<struct<url:string,quote:string>>"
+    rows = [("ok", "lena@acme.io", [("u1", "raised two million dollars")]), ("amiss", "lena@acme.io", [("u1", "raised nine million dollars"), ("u1", "raised two million dollars")]), ("unread", "info@acme.io", [("u9", "raised two million dollars")]), ("none", None, [])]
+    df = spark.createDataFrame(rows, record)
+    pages = spark.createDataFrame([("u1", "Acme raised two million dollars")], "url string, text string")
+    checks = spark.createDataFrame([("lena@acme.io", True)], "address string, has_mx boolean")
+    got = {r.company_id: r for r in report.audit_records(df, pages, checks).collect()}
+    assert {k: r.clean for k, r in got.items()} == {"ok": True, "amiss": False, "unread": False, "none": False}
+    assert got["amiss"].issues == ["1 quotes aren't on their page"] and (got["amiss"].n_evidence, got["amiss"].n_found) == (2, 1)
+    assert got["unread"].issues == ["the address is a shared mailbox", "its domain takes no mail", "1 cited pages can't be read"]
+    assert got["none"].issues == ["the address isn't one", "no evidence"]
+    assert tuple(report.audit_totals(report.audit_records(df, pages, checks)).first()) == (4, 1, 4, 2)
+    assert tuple(report.audit_totals(report.audit_records(df.where("false"), pages, checks)).first()) == (0, 0, 0, 0)
+
+
+def test_small_reports(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from veritab.functions.gazetteer import domain_ending
+    from veritab.operators.websites import excerpts
+    from veritab.vocab import GATES
+
+    whole = spark.createDataFrame([([(g, True, "") for g in GATES],), ([(g, True, "") for g in GATES[:4]],)], f"gates {GATE}")
+    assert [list(r.m) for r in whole.select(report.missing_gates(F.col("gates")).alias("m")).collect()] == [[], ["email_verified"]]
+    assert report.whole_verdicts(whole.limit(1)).count() == 1
+    with pytest.raises(PySparkException):
+        report.whole_verdicts(whole).collect()
+    cases = [("found", "x", "y", "z"), ("verified", "deliverable", "acme", "z"), ("verified", "risky", "acme", "z"), ("verified", None, None, "aggregator"), ("verified", "deliverable", "none", "company_owned"), (None, None, None, None)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string, c string, d string")
+    said = [r.x.split(" ")[0] for r in df.select("i", report.verification_strength(*[F.col(c) for c in "abcd"]).alias("x")).orderBy("i").collect()]
+    assert said == ["not", "confirmed", "acme", "a", "an", "not"]
+    texts = spark.createDataFrame([(0, "a Kenyan startup"), (1, "in Munich"), (2, "a London and Paris firm"), (3, "nowhere"), (4, None)], "i int, t string")
+    assert [r.x for r in texts.select("i", domain_ending(F.col("t")).alias("x")).orderBy("i").collect()][:2] == ["co.ke", "de"]
+    assert [r.x for r in texts.where("i > 2").select("i", domain_ending(F.col("t")).alias("x")).orderBy("i").collect()] == [None, None]
+    found = spark.createDataFrame([("a", "Acme", "acme.io", "Acme raised money", [None, "https://techcrunch.com/a"]), ("b", "Beta", "beta.io", "Acme raised money", ["https://techcrunch.com/a"]), ("c", "Acme", "acme.io", "Acme raised", ["https://acme.io/x"]), ("d", "Acme", "acme.io", "Acme raised", ["https://blog.example/x"]), ("e", "Acme", None, None, [])], "company_id string, name string, domain string, snippet string, urls array<string>")
+    assert [(r.company_id, r.authority) for r in excerpts(found).collect()] == [("a", "tier1_press")]
+    runs = spark.createDataFrame([("r1", 1), ("r2", 3), ("r3", 2)], "id string, at int")
+    assert [r.id for r in report.recent_runs(runs, 2).collect()] == ["r2", "r3"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..vocab import (
-    AMBIGUOUS_STATES, CITY_COUNTRY, COUNTRIES, DEMONYM_COUNTRY, LOCATING_CUES, SEAT_CUES, US_AFTER, US_BEFORE, US_CITIES, US_NAMES, US_PRONOUN_AFTER,
+    AMBIGUOUS_STATES, CITY_COUNTRY, COUNTRIES, DEMONYM_COUNTRY, LOCATING_CUES, SEAT_CUES, SECOND_LEVEL_COUNTRY, TLD_COUNTRY, US_AFTER, US_BEFORE, US_CITIES, US_NAMES, US_PRONOUN_AFTER,
     US_PRONOUN_BEFORE, US_SECOND_SIGNS, US_STATES,
 )
 from .companies import once
@@ -151,3 +151,14 @@ def is_locating(quote: Column, note: Column | None = None) -> Column:
     named = once(tokens(quote), lambda ts: F.coalesce(lookup(dict.fromkeys([*US_NAMES, *_COUNTRY_NAMES], "x"), F.array_join(ts, " ")).isNotNull() | F.exists(_hits(ts), lambda h: h["weight"] != 2) | (F.size(_demonyms(ts)) > 0), F.lit(False)))
     inferred = F.lit(False) if note is None else F.coalesce(F.contains(note, F.lit("INFERRED")), F.lit(False))
     return inferred | cue | named
+
+
+def domain_ending(text: Column) -> Column:
+    """The ending under which companies of the country register that a text names, or whose nationality it has; null without one."""
+    endings = {country: tld for tld, country in TLD_COUNTRY.items()} | SECOND_LEVEL_COUNTRY
+
+    def read(ts: Column) -> Column:
+        nation = F.transform(_grams(ts, DEMONYM_COUNTRY), lambda g: F.struct(g["n"].alias("n"), (-g["at"]).alias("at"), lookup(DEMONYM_COUNTRY, g["name"]).alias("country")))
+        return lookup(endings, F.coalesce(_best(_hits(ts)), F.array_max(nation)["country"]))
+
+    return once(tokens(text), read)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.companies import is_generic_name, once
 from ..functions.text import alternation, collapse, host_of, labels_of
 from ..vocab import HOST_PREFIXES, PARKED_TELLS
+from .authority import authority, rank
+from .fuse import mentions
 
 
 def host_matches_name(host: Column, name: Column) -> Column:
@@ -70,3 +72,12 @@ def unread_snippets(snippets: DataFrame, fetched: DataFrame) -> DataFrame:
     """The snippets (url, ...) whose hosts have no fetched page (url)."""
     keyed = snippets.withColumn("_host", host_of(F.col("url")))
     return keyed.join(fetched.select(host_of(F.col("url")).alias("_host")).distinct(), "_host", "left_anti").drop("_host")
+
+
+def excerpts(candidates: DataFrame) -> DataFrame:
+    """company_id, url, text, authority: the search excerpts (company_id, name, domain, snippet, urls) that may serve as sources: from
+    a host of standing that isn't the company's own, and naming the company."""
+    first = F.try_element_at(F.filter("urls", lambda u: F.coalesce(u, F.lit("")) != ""), F.lit(1))
+    rows = candidates.select("company_id", "name", "domain", F.trim("snippet").alias("text"), first.alias("url")).where("url is not null and text <> ''")
+    rows = rows.where(~F.coalesce(host_of(F.col("url")) == F.lower("domain"), F.lit(False))).withColumn("authority", authority(F.col("url"), F.col("domain")))
+    return rows.where((rank(F.col("authority")) >= rank(F.lit("aggregator"))) & mentions(F.col("text"), F.col("name"))).select("company_id", "url", "text", "authority")

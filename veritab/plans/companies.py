@@ -9,7 +9,7 @@ from ..functions.people import company_from_headline, title_score
 from ..operators.extract import amounts, persons, promise
 from ..operators.fuse import best_amount, email
 from ..operators.qualify import Band, confidence, qualify, recheck
-from ..operators.report import failed_only_on, gate_failures, kpis, near_misses
+from ..operators.report import address_outcomes, failed_only_on, gate_failures, kpis, near_misses, ruled_out
 from ..operators.resolve import find, known_keys, merge, unknown
 from ..shared import table
 from ..vocab import FX
@@ -175,7 +175,18 @@ def email_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return email(found, companies, checks).select("company_id", "address", "status")
 
 
-QUERIES = {f.__name__: f for f in (headline_companies, people_in_sentences, candidate_promise, email_ladder, money_parse, money_by_type, money_best_per_company, fx_convert_by_nation, gate_verdicts, gate_failure_histogram, near_miss_reasons, verdict_kpis, confidence_scores, lead_recheck, candidate_merge, known_key_antijoin, find_company_precedence)}
+def address_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return address_outcomes(_profiles(spark, sf_dir))
+
+
+def ruled_out_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why candidates were ruled out by their excerpts: a top-3 report."""
+    said = _wording(table(spark, sf_dir, "customer"), "Kenyan fintech startup raises $2 million", "Firm{n} raised $45 million in a Series B", "the US-based startup Firm{n}, an American software company")
+    rows = said.select(F.col("c_custkey").alias("seq"), F.col("text").alias("snippet"), F.lit(None).cast("string").alias("domain"), F.lit("headline").alias("source_kind"))
+    return ruled_out(promise(rows, BAND.least, BAND.most))
+
+
+QUERIES = {f.__name__: f for f in (address_outcome_counts, ruled_out_reasons, headline_companies, people_in_sentences, candidate_promise, email_ladder, money_parse, money_by_type, money_best_per_company, fx_convert_by_nation, gate_verdicts, gate_failure_histogram, near_miss_reasons, verdict_kpis, confidence_scores, lead_recheck, candidate_merge, known_key_antijoin, find_company_precedence)}
 
 _MONEY = f"""
     v as (select o_orderkey, o_custkey, o_orderkey % 8 as w, cast(round(round(o_totalprice / 100000, 2) + 0.01, 2) as decimal(18,2)) as x, cast(floor(o_totalprice) as decimal(18,2)) as whole from orders),
@@ -206,6 +217,10 @@ _CANDIDATES = """
                  case when c_custkey % 3 = 0 then 'firm' || (c_custkey % 200) || '.com' end as dn, c_mktsegment as snippet, c_custkey % 5 as kind from customer)"""
 
 SQL = {
+    "address_outcome_counts": f"""
+        with {_PROFILES}, states(rank, status) as (values (0, 'invalid'), (1, 'not_found'), (2, 'role_only'), (3, 'found_unverified'), (4, 'source_verified'), (5, 'verified'))
+        select s.rank, s.status, count(p.email_status) as n from states s left join p on p.email_status = s.status group by 1, 2""",
+    "ruled_out_reasons": "select (['its figure is outside the band', 'a company of the United States'])[c_custkey % 3] as reason, count(*) as n from customer where c_custkey % 3 > 0 group by 1",
     "headline_companies": "select c_custkey, case c_custkey % 4 when 1 then 'Firm' || c_custkey || ' Robotics' when 3 then null else 'Firm' || c_custkey end as name from customer",
     "people_in_sentences": "select c_custkey, case c_custkey % 3 when 0 then 'Lena Brandt' else 'Jan Weber' end as name, case c_custkey % 3 when 0 then 'co-founder and CEO' else 'Managing Director' end as title, cast(case c_custkey % 3 when 0 then 7 else 3 end as bigint) as title_score from customer where c_custkey % 3 < 2",
     "candidate_promise": "select c_custkey as seq, cast(case c_custkey % 3 when 0 then 5.0 when 1 then 0.0 else 0.9 end as double) as promise, c_custkey % 3 = 1 as is_hopeless from customer",

@@ -10,7 +10,7 @@ from ..functions.text import sentences as sentences_of
 from ..functions.places import us_level, us_patterns
 from ..operators.extract import description, emails, presence
 from ..operators.ground import find_quotes
-from ..operators.report import audit
+from ..operators.report import audit, audit_evidence
 from ..shared import table
 from ..vocab import CITY_COUNTRY, COUNTRIES, DISPOSABLE_DOMAINS, FREEMAIL_DOMAINS, HARD_US_SIGNALS, ROLE_LOCAL_PARTS, SECOND_LEVEL, TLDS, US_CITIES
 
@@ -55,6 +55,14 @@ def evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(records, table(spark, sf_dir, "documents").select(url(F.col("doc_id")).alias("url"), "text"))
 
 
+def audit_by_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as a record that cites the document of its own id and one that isn't there."""
+    url = lambda c: F.concat(F.lit("doc/"), c)
+    cited = lambda c: F.struct(url(c).alias("url"), F.col("text").alias("quote"))
+    records = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("company_id"), F.array(cited(F.col("item_id")), cited(-F.col("item_id") - 1)).alias("evidence"))
+    return audit_evidence(records, table(spark, sf_dir, "documents").select(url(F.col("doc_id")).alias("url"), "text"))
+
+
 def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     groups = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.countDistinct("source").alias("sources"))
@@ -75,7 +83,7 @@ def label_quality_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("source").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"), F.round(F.avg("quality"), 6).alias("share_good"))
 
 
-QUERIES = {f.__name__: f for f in (emails_in_documents, email_kinds, us_signals_in_documents, us_presence_by_document, quote_grounding, ungrounded_quotes, evidence_audit, duplicate_documents, sentence_stats, best_sentence, label_quality_by_source)}
+QUERIES = {f.__name__: f for f in (emails_in_documents, email_kinds, us_signals_in_documents, us_presence_by_document, quote_grounding, ungrounded_quotes, evidence_audit, audit_by_quote, duplicate_documents, sentence_stats, best_sentence, label_quality_by_source)}
 
 _list = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 _EMAILS = rf"""
@@ -126,6 +134,11 @@ SQL = {
         cited as (select item_id, unnest([item_id, 10 * item_id]) as doc_id from benchmark)
         select item_id as company_id, count(*) as n_evidence, count(mode) as n_found, count(mode) > 0 and count(mode) = count(*) as clean
         from cited left join grounded using (item_id, doc_id) group by 1""",
+    "audit_by_quote": f"""
+        with {_RUNS.replace('{where}', 'where doc_id = item_id')}
+        select b.item_id as company_id, 0 as seq, 'doc/' || b.item_id as url, d.doc_id is not null as reachable, mode is not null as quote_found, mode
+        from benchmark b left join documents d on d.doc_id = b.item_id left join grounded g on g.item_id = b.item_id and g.doc_id = b.item_id
+        union all select item_id, 1, 'doc/' || (-item_id - 1), false, false, null from benchmark""",
     "duplicate_documents": "select min(doc_id) as first_doc, count(*) as copies, count(distinct source) as sources from documents group by text having count(*) > 1",
     "sentence_stats": f"select doc_id, cast(len({_SENTENCES}) as bigint) as n_sentences, coalesce(list_max(list_transform({_SENTENCES}, lambda x: length(x))), 0) as longest from documents",
     "best_sentence": f"select doc_id, substr(list_filter({_SENTENCES}, lambda x: length(x) >= 40)[1], 1, 400) as sentence from documents",

@@ -315,6 +315,10 @@ PARKED_TELLS = listed("this domain is for sale|buy this domain|domain for sale|p
 # How lines begin that describe nothing, and words of lines that describe a company.
 NO_DESCRIPTION = listed("cookie|we use cookies|privacy|terms|copyright|all rights reserved|skip to|menu|sign in|log in|subscribe|newsletter|loading", "|")
 DESCRIBING_WORDS = listed("platform|software|app|solution|product|technology|builds|provides|helps|enables|offers|is a|we are|powers|delivers", "|")
+# Countries whose companies register below a second-level domain.
+SECOND_LEVEL_COUNTRY = pairs("""
+    Kenya=co.ke, South Africa=co.za, Egypt=com.eg, Bangladesh=com.bd, Indonesia=co.id, Malaysia=com.my, Thailand=co.th, Australia=com.au, New Zealand=co.nz,
+    Brazil=com.br, Argentina=com.ar, United Kingdom=co.uk, Turkey=com.tr, Israel=co.il, Saudi Arabia=com.sa""")
 # A state that is also a country, and the signs beside it that mean the state.
 AMBIGUOUS_STATES = ["georgia"]
 US_SECOND_SIGNS = listed("usa atlanta savannah")
