@@ -111,9 +111,15 @@ def _of_figures(sources: DataFrame) -> DataFrame:
     return found.join(keyed.select("key", *_SOURCE), "key").select(*_SOURCE, F.col("start").alias("place"), claim.alias("c"))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as the cluster has cores, where there are fewer: reading claims costs far more than moving texts."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def read_claims(sources: DataFrame, companies: DataFrame) -> DataFrame:
     """The claims of all sources of companies (company_id, name, domain)."""
-    rows = sources.select("company_id", F.col("seq").alias("source_seq"), "url", "authority", "text").join(companies.select("company_id", "name"), "company_id")
+    rows = _spread(sources.select("company_id", F.col("seq").alias("source_seq"), "url", "authority", "text")).join(companies.select("company_id", "name"), "company_id")
     rows = cut(rows, "sources")  # read by each of the three
     every = _of_sentences(rows).unionByName(_of_texts(rows)).unionByName(_of_figures(rows))
     seq = F.col("source_seq") * PLACES + F.col("place")
