@@ -24,8 +24,9 @@ COMMON = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'",
 _NO_SIGN = 0xFFFD
 
 
-def decode(text: Column) -> Column:
-    """Character references as their signs, each read once: decimal and hexadecimal numbers, and names."""
+def decode(text: Column, bare_names: bool = True) -> Column:
+    """Character references as their signs, each read once: decimal and hexadecimal numbers, and names; without bare_names, old
+    names count with their semicolon only."""
     named, numbered = constant_map(NAMED), constant_map(NUMBERED)
 
     def read(after: Column) -> Column:
@@ -34,9 +35,12 @@ def decode(text: Column) -> Column:
         valid = F.when((number <= 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), _NO_SIGN).otherwise(number)
         sign = F.when(number == 160, " ").otherwise(F.coalesce(F.when(number.between(0x80, 0x9F), F.try_element_at(numbered, number.cast("string"))), F.decode(F.unhex(F.lpad(F.hex(valid.cast("long")), 8, "0")), "UTF-32")))
         whole = F.when(ref.startswith("#"), sign).otherwise(F.try_element_at(named, ref))
+        read_whole = F.concat(F.when(ref != "", whole), F.substr(after, F.length(ref) + 2))
+        if not bare_names:
+            return F.coalesce(read_whole, F.concat(F.lit("&"), after))
         bare = F.when(F.coalesce(whole, F.lit("")) == "", F.regexp_extract(after, f"^({'|'.join(BARE)})", 1))
         short = F.concat(F.try_element_at(named, bare), F.substr(after, F.length(bare) + 1))
-        return F.coalesce(F.concat(F.when(ref != "", whole), F.substr(after, F.length(ref) + 2)), F.when(bare != "", short), F.concat(F.lit("&"), after))
+        return F.coalesce(read_whole, F.when(bare != "", short), F.concat(F.lit("&"), after))
 
     pieces = F.split(text, "&")
     rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
@@ -47,14 +51,14 @@ def decode(text: Column) -> Column:
     return F.when(others, F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, read), ""))).otherwise(F.replace(common, F.lit("&amp;"), F.lit("&")))
 
 
-def title_of(html: Column) -> Column:
-    return collapse(decode(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+def title_of(html: Column, bare_names: bool = True) -> Column:
+    return collapse(decode(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), bare_names))
 
 
-def description_of(html: Column) -> Column:
+def description_of(html: Column, bare_names: bool = True) -> Column:
     """The first description among the page's meta tags that has more than 30 characters, or null."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*?(?:name|property)\s*=\s*[\"'](?:description|og:description|twitter:description)[\"'][^>]*?content\s*=\s*[\"']([^\"']*)"), 1)
-    return F.try_element_at(F.filter(F.transform(found, lambda x: collapse(decode(x))), lambda x: F.length(x) > 30), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(found, lambda x: collapse(decode(x, bare_names))), lambda x: F.length(x) > 30), F.lit(1))
 
 
 def mailto_of(html: Column) -> Column:
@@ -63,20 +67,20 @@ def mailto_of(html: Column) -> Column:
     return F.transform(found, lambda a: F.concat(F.lit("Contact: "), a))
 
 
-def text_of(html: Column) -> Column:
+def text_of(html: Column, bare_names: bool = True) -> Column:
     """Description, text with a line for each run between tags, and linked addresses."""
     html = F.coalesce(html, F.lit(""))
     body = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     for tag in [*DROPPED, "title"]:
         body = F.regexp_replace(body, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
-    lines = F.split(decode(F.regexp_replace(body, r"(?s)<[^>]*>", "\n")), "\n")
+    lines = F.split(decode(F.regexp_replace(body, r"(?s)<[^>]*>", "\n"), bare_names), "\n")
     kept = F.filter(F.transform(lines, collapse), lambda x: x != "")
-    return F.array_join(F.concat(F.array_compact(F.array(description_of(html))), kept, mailto_of(html)), "\n")
+    return F.array_join(F.concat(F.array_compact(F.array(description_of(html, bare_names))), kept, mailto_of(html)), "\n")
 
 
-def with_text(pages: DataFrame) -> DataFrame:
+def with_text(pages: DataFrame, bare_names: bool = True) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
-    return pages.withColumns({"title": title_of(html), "text": text_of(html)})
+    return pages.withColumns({"title": title_of(html, bare_names), "text": text_of(html, bare_names)})
 
 
 def absolute(href: Column, base: Column) -> Column:
