@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.money import rounded
 from ..functions.people import company_from_headline, title_score
 from ..operators.extract import amounts, persons, promise
 from ..operators.fuse import best_amount, email
@@ -21,7 +22,7 @@ _CURRENCIES = sorted(FX)
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, o_custkey, text: a sentence an order, in eight wordings by order key."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    v = F.format_string("%.2f", F.round(F.col("o_totalprice") / 100000, 2) + 0.01)
+    v = F.format_string("%.2f", rounded(F.col("o_totalprice") / 100000, 2) + 0.01)
     name = F.concat(F.lit("Customer "), F.lit("Nr-"), "o_custkey")
     say = lambda *parts: F.concat(name, *[F.lit(p) if isinstance(p, str) else p for p in parts])
     wordings = [
@@ -39,7 +40,7 @@ def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = lambda c: F.round(F.col(c).cast("double"), 2).alias(c)
+    d = lambda c: rounded(F.col(c).cast("double"), 2).alias(c)
     return amounts(_sentences(spark, sf_dir), "o_orderkey").select("o_orderkey", "currency", d("amount_original"), d("amount_usd"), "amount_type", "is_cumulative")
 
 
@@ -51,7 +52,7 @@ def money_best_per_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = best_amount(_figures(spark, sf_dir).withColumn("seq", F.col("o_orderkey")), BAND.least, BAND.most, "o_custkey")
     usd = F.col("amount.amount_usd").cast("double")
     near = (F.abs(usd - BAND.least) / BAND.least <= BAND.tolerance) | (F.abs(usd - BAND.most) / BAND.most <= BAND.tolerance)
-    return best.select("o_custkey", F.col("amount.o_orderkey").alias("o_orderkey"), F.round(usd, 2).alias("usd"), usd.between(BAND.least, BAND.most).alias("in_band"), near.alias("near_boundary"))
+    return best.select("o_custkey", F.col("amount.o_orderkey").alias("o_orderkey"), rounded(usd, 2).alias("usd"), usd.between(BAND.least, BAND.most).alias("in_band"), near.alias("near_boundary"))
 
 
 def fx_convert_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
