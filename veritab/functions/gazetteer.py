@@ -49,8 +49,8 @@ def _grams(ts: Column, names: dict[str, str]) -> Column:
     grams = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(sizes, lambda n: i + n <= F.size(ts)), lambda n: gram(i, n))))
     found = F.filter(grams, lambda g: lookup(names, g["name"]).isNotNull())  # few begin with a name's first word
     # of names that begin at one place the longest
-    longest = F.filter(found, lambda g: ~F.exists(found, lambda h: (h["at"] <= g["at"]) & (h["at"] + h["n"] >= g["at"] + g["n"]) & (h["n"] > g["n"])))
-    return F.when(F.size(ts) > 0, longest).otherwise(F.array().cast("array<struct<at:int,n:int,name:string>>"))
+    longest = lambda fs: F.filter(fs, lambda g: ~F.exists(fs, lambda h: (h["at"] <= g["at"]) & (h["at"] + h["n"] >= g["at"] + g["n"]) & (h["n"] > g["n"])))
+    return F.when(F.size(ts) > 0, once(found, longest)).otherwise(F.array().cast("array<struct<at:int,n:int,name:string>>"))
 
 
 def _bare_us(ts: Column) -> Column:

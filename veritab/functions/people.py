@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..vocab import DEMONYM_COUNTRY, DESCRIPTORS, HEADLINE_VERBS, LABEL_WORDS, NAME_STOP_WORDS, ROLE_WORDS
+from .companies import once
 from .text import collapse
 from .tokens import any_of, classes, part, places, tokens
 
@@ -62,12 +63,11 @@ def words_of(name: Column) -> Column:
 def is_no_person(name: Column) -> Column:
     """A job or a form label: any word of a job, or nothing but words of labels."""
     plain = F.filter(F.flatten(F.transform(words_of(name), lambda w: F.split(w, r"[^\p{L}]+"))), lambda w: w != "")
-    return F.exists(plain, lambda w: w.isin(ROLE_WORDS)) | F.forall(plain, lambda w: w.isin(LABEL_WORDS))
+    return once(plain, lambda ws: F.exists(ws, lambda w: w.isin(ROLE_WORDS)) | F.forall(ws, lambda w: w.isin(LABEL_WORDS)))
 
 
 def is_plausible_name(name: Column) -> Column:
-    own = words_of(name)
-    return F.size(own).between(2, 4) & ~F.exists(own, lambda w: w.isin(NAME_STOP_WORDS)) & ~is_no_person(name) & ~F.coalesce(F.try_element_at(own, F.lit(-1)).isin(PARTICLES), F.lit(False))
+    return once(words_of(name), lambda own: F.size(own).between(2, 4) & ~F.exists(own, lambda w: w.isin(NAME_STOP_WORDS)) & ~is_no_person(name) & ~F.coalesce(F.try_element_at(own, F.lit(-1)).isin(PARTICLES), F.lit(False)))
 
 
 def _statement(i: int, words: Column):
@@ -89,13 +89,23 @@ def _statement(i: int, words: Column):
 
 def people(text: Column) -> Column:
     """array<struct<pattern, name, title>> of the persons whose office a text states, by kind of statement and then in order."""
-    body = F.coalesce(text, F.lit(""))
-    for office in [*OFFICES, *IMPRINT_OFFICES]:
-        if " " in office:
-            body = F.regexp_replace(body, rf"(?i)\b{any_of([office])}\b", _one_token(office).title())
-    words = F.when(body.rlike(rf"(?i){any_of([*map(_one_token, OFFICES), *map(_one_token, IMPRINT_OFFICES), 'founded'])}"), tokens(body)).otherwise(F.array().cast("array<string>"))
-    letters = classes(words, _RULES)
-    return _plausible(F.concat(*[F.transform(places(letters, grammar, "CIp" if grammar[0] == _NAME else "a"), _statement(i, words)) for i, (grammar, *_) in enumerate(STATEMENTS)]))
+    none = F.array().cast("array<struct<pattern:int,name:string,title:string>>")
+
+    def stated(words: Column) -> Column:
+        # read by every statement, and at each of its places
+        return once(classes(words, _RULES), lambda letters: _plausible(F.concat(*[F.transform(places(letters, grammar, "CIp" if grammar[0] == _NAME else "a"), _statement(i, words)) for i, (grammar, *_) in enumerate(STATEMENTS)])))
+
+    said = lambda body: F.when(body.rlike(rf"(?i){any_of([*map(_one_token, OFFICES), *map(_one_token, IMPRINT_OFFICES), 'founded'])}"), once(tokens(body), stated)).otherwise(none)
+    return once(_joined(F.coalesce(text, F.lit(""))), said)
+
+
+def _joined(body: Column) -> Column:
+    """A text with each office of several words as one token."""
+    several = [o for o in [*OFFICES, *IMPRINT_OFFICES] if " " in o]
+    joined = body
+    for office in several:
+        joined = F.regexp_replace(joined, rf"(?i)\b{any_of([office])}\b", _one_token(office).title())
+    return F.when(body.rlike(rf"(?i)\b{any_of(several)}\b"), joined).otherwise(body)
 
 
 def _plausible(found: Column) -> Column:

@@ -12,7 +12,7 @@ from ..operators.fuse import best_amount, email
 from ..operators.qualify import Band, confidence, qualify, recheck
 from ..operators.report import address_outcomes, failed_only_on, gate_failures, kpis, near_misses, ruled_out
 from ..operators.resolve import find, known_keys, merge, unknown
-from ..shared import table
+from ..shared import spread, table
 from ..vocab import FX
 
 BAND = Band()
@@ -145,6 +145,7 @@ def find_company_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _wording(rows: DataFrame, *texts) -> DataFrame:
     """c_custkey and text: one of the wordings for each customer, in which {n} is its key."""
     n = F.col("c_custkey")
+    rows = spread(rows.select(n))
     text = F.coalesce(*[F.when(n % len(texts) == i, F.replace(F.lit(t), F.lit("{n}"), n.cast("string"))) for i, t in enumerate(texts)])
     return rows.select("c_custkey", text.alias("text"))
 

@@ -31,6 +31,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as the cluster has cores, where there are fewer: reading texts costs far more than moving them."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
+def growing(df: DataFrame) -> DataFrame:
+    """df as a side of a join of which both sides grow: it is never broadcast. Its size is guessed from compressed files and from
+    columns' types, so that texts made of a few megabytes of keys would pass through the driver."""
+    return df.hint("merge")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again, so that what is read twice is made once and outlives executors."""
     path = new_path(df.sparkSession, name)
