@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import normalise_quote, tokens
+from ..shared import growing
 
 MIN_CHARS, MIN_RUN, MIN_SHARE = 12, 6, 0.65
 #: Letters of an anchor inside a word.
@@ -43,6 +44,7 @@ def _shingles(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
 def _runs(sources: DataFrame, quotes: DataFrame, within: list[str], n: int) -> DataFrame:
     """source_id, quote_id, run of every pair (of equal `within`) that has a common run of n words or more. Both have words t."""
     q = _shingles(quotes, [*within, "quote_id"], n).withColumnRenamed("pos", "q_pos")
+    q = growing(q) if within else q
     met = _shingles(sources, [*within, "source_id"], n).join(q, [*within, "shingle"]).select("source_id", "quote_id", "pos", (F.col("pos") - F.col("q_pos")).alias("diagonal"))
     line = Window.partitionBy("source_id", "quote_id", "diagonal").orderBy("pos")
     islands = met.distinct().withColumn("island", F.col("pos") - F.row_number().over(line))
@@ -77,15 +79,17 @@ def _near(sources: DataFrame, short: DataFrame, within: list[str]) -> DataFrame:
     found = None
     for k in sorted(kinds):
         own = sources.select(*within, "source_id", F.explode(F.array_distinct(F.transform(keys[k], lambda w: F.xxhash64(w)))).alias("key"))
-        met = own.join(anchors.where(F.col("kind") == k), [*within, "key"]).select("source_id", "quote_id")
+        asked = anchors.where(F.col("kind") == k)
+        met = own.join(growing(asked) if within else asked, [*within, "key"]).select("source_id", "quote_id")
         found = met if found is None else found.unionAll(met)
     return sources.select("source_id").join(anchors.select("quote_id"), F.lit(False)) if found is None else found
 
 
-def _written(sources: DataFrame, pairs: DataFrame, quotes: DataFrame) -> DataFrame:
+def _written(sources: DataFrame, pairs: DataFrame, quotes: DataFrame, within: list[str]) -> DataFrame:
     """source_id, quote_id of the pairs whose quote (column q) stands in the text (column s): each text meets lists of quotes."""
-    listed = pairs.join(quotes.select("quote_id", "q"), "quote_id").groupBy("source_id", F.pmod(F.xxhash64("quote_id"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("quote_id", "q")).alias("asked"))
-    met = sources.select("source_id", "s").join(listed, "source_id")
+    asked = growing(quotes.select("quote_id", "q")) if within else quotes.select("quote_id", "q")
+    listed = pairs.join(asked, "quote_id").groupBy("source_id", F.pmod(F.xxhash64("quote_id"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("quote_id", "q")).alias("asked"))
+    met = sources.select("source_id", "s").join(growing(listed) if within else listed, "source_id")
     return met.select("source_id", F.explode(F.filter("asked", lambda x: F.contains(F.col("s"), x["q"]))).alias("x")).select("source_id", "x.quote_id")
 
 
@@ -96,11 +100,12 @@ def find_quotes(sources: DataFrame, quotes: DataFrame, within: list[str] | None
     sized = quotes.select(*within, "quote_id", "quote", _words("quote").alias("t"), normalise_quote(F.col("quote")).alias("q")).where((F.length(F.trim("quote")) >= MIN_CHARS) & (F.col("q") != ""))
     sized = sized.withColumn("words", F.size("t").cast("long"))
     s = sources.select(*within, "source_id", _words("text").alias("t"), normalise_quote(F.col("text")).alias("s"))
-    runs = _runs(s, sized, within, MIN_RUN).join(sized.select("quote_id", "words"), "quote_id")
+    sizes = growing(sized.select("quote_id", "words")) if within else sized.select("quote_id", "words")
+    runs = _runs(s, sized, within, MIN_RUN).join(sizes, "quote_id")
     short = sized.where("words < 8")
     unsure = runs.where("words >= 8 and run < words and run >= words - 2").select("source_id", "quote_id")
-    written = _written(s, _near(s, short, within).unionByName(unsure.select("source_id", "quote_id")), sized).withColumn("written", F.lit(True))
-    met = runs.drop("words").join(written, ["source_id", "quote_id"], "full").join(sized.select("quote_id", "words"), "quote_id")
+    written = _written(s, _near(s, short, within).unionByName(unsure.select("source_id", "quote_id")), sized, within).withColumn("written", F.lit(True))
+    met = runs.drop("words").join(growing(written), ["source_id", "quote_id"], "full").join(sizes, "quote_id")
     exact = F.coalesce("written", F.lit(False)) | F.coalesce(F.col("run") >= F.col("words"), F.lit(False))
     mode = F.when(exact, "exact").when(F.col("run") / F.col("words") >= MIN_SHARE, "approximate")
     run = F.when(exact & (F.col("words") < 8), F.col("words")).otherwise(F.col("run"))
@@ -112,8 +117,8 @@ def ground_claims(claims: DataFrame, sources: DataFrame) -> tuple[DataFrame, Dat
     (company_id, seq, url, text) holds its quote; the cited source first, then the others by seq."""
     own = sources.select("company_id", "seq", F.col("url").alias("source_url"), "text", F.struct("company_id", "seq").alias("source_id"))
     found = find_quotes(own, claims.select("company_id", F.col("claim_id").alias("quote_id"), "quote"), ["company_id"])
-    placed = found.withColumnRenamed("quote_id", "claim_id").join(own.select("source_id", "seq", "source_url"), "source_id").join(claims.select("claim_id", "url"), "claim_id")
+    placed = found.withColumnRenamed("quote_id", "claim_id").join(growing(own.select("source_id", "seq", "source_url")), "source_id").join(growing(claims.select("claim_id", "url")), "claim_id")
     order = F.struct((~F.coalesce(F.col("source_url") == F.col("url"), F.lit(False))).cast("int"), "seq")
     best = placed.groupBy("claim_id").agg(F.min_by(F.struct("mode", F.col("source_url").alias("grounded_in")), order).alias("b"))
-    kept = claims.join(best.select("claim_id", "b.mode", "b.grounded_in"), "claim_id")
-    return kept, claims.join(best, "claim_id", "left_anti")
+    kept = claims.join(growing(best.select("claim_id", "b.mode", "b.grounded_in")), "claim_id")
+    return kept, claims.join(growing(best), "claim_id", "left_anti")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.companies import once
+from ..shared import cut, growing
 from .ground import ground_claims
 
 _SAID = "struct<value:string,quote:string,source:string>"
@@ -84,7 +85,8 @@ def claims_of(answers: DataFrame) -> DataFrame:
 
 def grounded(claims: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept with mode, url, authority, seq; dropped) of claims_of, by sources (company_id, seq, url, text, authority), seq from 0."""
-    cited = claims.join(sources.select("company_id", F.col("seq").cast("int").alias("source"), "url"), ["company_id", "source"], "left")
-    kept, dropped = ground_claims(cited.withColumn("url", F.coalesce("url", F.lit(""))), sources)
+    cited = claims.join(growing(sources.select("company_id", F.col("seq").cast("int").alias("source"), "url")), ["company_id", "source"], "left")
+    cited = cut(cited.withColumn("url", F.coalesce("url", F.lit(""))), "cited")  # answers are read once
+    kept, dropped = ground_claims(cited, sources)
     there = sources.select("company_id", F.col("url").alias("grounded_in"), "authority", "seq")
-    return kept.drop("url").join(there, ["company_id", "grounded_in"]).withColumnRenamed("grounded_in", "url"), dropped
+    return kept.drop("url").join(growing(there), ["company_id", "grounded_in"]).withColumnRenamed("grounded_in", "url"), dropped
