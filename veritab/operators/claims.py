@@ -22,7 +22,7 @@ from ..functions.gazetteer import locations, normalise_country
 from ..functions.people import is_no_person, people, title_score
 from ..functions.places import country_from_domain, us_level, us_signals
 from ..functions.text import alternation, collapse, sentences
-from ..shared import cut
+from ..shared import cut, growing, spread
 from ..vocab import DESCRIBING_WORDS, HARD_US_SIGNALS, NO_DESCRIPTION, PRODUCT_PATHS, QUALIFYING_TYPES, SERVICES_TERMS
 from .authority import rank
 from .extract import amounts, platform_terms, sector
@@ -108,18 +108,12 @@ def _of_figures(sources: DataFrame) -> DataFrame:
     keyed = sources.withColumn("key", F.concat_ws("#", "company_id", "source_seq"))
     found = amounts(keyed, "key", "text")
     claim = _claim("amount", F.col("raw"), F.col("sentence"), usd=F.col("amount_usd"), currency=F.col("currency"), amount_original=F.col("amount_original"), amount_type=F.col("amount_type"), is_cumulative=F.col("is_cumulative"))
-    return found.join(keyed.select("key", *_SOURCE), "key").select(*_SOURCE, F.col("start").alias("place"), claim.alias("c"))
-
-
-def _spread(rows: DataFrame) -> DataFrame:
-    """rows over as many partitions as the cluster has cores, where there are fewer: reading claims costs far more than moving texts."""
-    n = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+    return found.join(growing(keyed.select("key", *_SOURCE)), "key").select(*_SOURCE, F.col("start").alias("place"), claim.alias("c"))
 
 
 def read_claims(sources: DataFrame, companies: DataFrame) -> DataFrame:
     """The claims of all sources of companies (company_id, name, domain)."""
-    rows = _spread(sources.select("company_id", F.col("seq").alias("source_seq"), "url", "authority", "text")).join(companies.select("company_id", "name"), "company_id")
+    rows = spread(sources.select("company_id", F.col("seq").alias("source_seq"), "url", "authority", "text")).join(growing(companies.select("company_id", "name")), "company_id")
     rows = cut(rows, "sources")  # read by each of the three
     every = _of_sentences(rows).unionByName(_of_texts(rows)).unionByName(_of_figures(rows))
     seq = F.col("source_seq") * PLACES + F.col("place")
@@ -142,7 +136,7 @@ CHOSEN = ["amount", "founder", "country", "technology", "sector", "description",
 
 def _judged(claims: DataFrame, companies: DataFrame, band: Band) -> DataFrame:
     """The usable claims with `merit` (the greatest of a field is chosen) and `same` (what makes two claims one statement)."""
-    rows = stated(claims).join(companies.select("company_id", "name"), "company_id")
+    rows = stated(claims).join(growing(companies.select("company_id", "name")), "company_id")
     f, usd = F.col("field"), F.col("usd")
     standing = rank(F.col("authority"))
     own = (F.col("authority") == "company_owned") | mentions(F.col("quote"), F.col("name"))
@@ -167,6 +161,7 @@ def profiles(claims: DataFrame, companies: DataFrame, checks: DataFrame, band: B
     """A profile of each company (company_id, name, domain), as `qualify` takes it, with its facts.
 
     checks: address, has_mx, deliverability, catch_all. An inferred country (the domain's ending) is marked as such."""
+    claims = cut(claims, "read")  # texts are read once: for the facts, and for the addresses
     rows = cut(_judged(claims, companies, band), "claims")
     kept = F.struct("value", "same", "title", "rung", "usd", "currency", "amount_original", "amount_type", "is_cumulative")
     one = rows.groupBy("company_id").agg(
@@ -175,8 +170,8 @@ def profiles(claims: DataFrame, companies: DataFrame, checks: DataFrame, band: B
         F.max((F.col("field") == "page") & F.col("url").rlike(alternation(PRODUCT_PATHS))).alias("product"),
     )
     winners = one.select("company_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{c}.same").alias("same")) for c in CHOSEN])).alias("w")).select("company_id", "w.*").where("same is not null")
-    proof = first_urls(rows.join(winners, ["company_id", "field", "same"]), ["company_id", "field"]).groupBy("company_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "evidence"))).alias("proof"))
-    met = companies.select("company_id", "name", "domain").join(one, "company_id", "left").join(proof, "company_id", "left")
+    proof = first_urls(rows.join(growing(winners), ["company_id", "field", "same"]), ["company_id", "field"]).groupBy("company_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "evidence"))).alias("proof"))
+    met = companies.select("company_id", "name", "domain").join(growing(one), "company_id", "left").join(growing(proof), "company_id", "left")
     ending = country_from_domain(F.col("domain"))
     inferred = F.array(F.struct(F.concat(F.lit("https://"), "domain").alias("url"), F.concat(F.lit("the domain ends as those of "), ending).alias("quote"), F.lit("unknown").alias("authority")))
     of = lambda c: F.coalesce(F.try_element_at("proof", F.lit(c)), F.array().cast("array<struct<url:string,quote:string,authority:string>>"))
@@ -198,4 +193,4 @@ def profiles(claims: DataFrame, companies: DataFrame, checks: DataFrame, band: B
     )
     known = cut(known, "profiles")  # the address is judged by the founder
     addresses = email(claims.where("field = 'email'"), known, checks, has_provider=has_provider).select("company_id", "address", F.col("status").alias("email_status"), F.col("note").alias("email_note"))
-    return known.join(addresses, "company_id")
+    return known.join(growing(addresses), "company_id")
