@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import normalise_quote, tokens
-from ..shared import growing
+from ..shared import cut, growing
 
 MIN_CHARS, MIN_RUN, MIN_SHARE = 12, 6, 0.65
 #: Letters of an anchor inside a word.
@@ -99,7 +99,9 @@ def find_quotes(sources: DataFrame, quotes: DataFrame, within: list[str] | None
     within = within or []
     sized = quotes.select(*within, "quote_id", "quote", _words("quote").alias("t"), normalise_quote(F.col("quote")).alias("q")).where((F.length(F.trim("quote")) >= MIN_CHARS) & (F.col("q") != ""))
     sized = sized.withColumn("words", F.size("t").cast("long"))
-    s = sources.select(*within, "source_id", _words("text").alias("t"), normalise_quote(F.col("text")).alias("s"))
+    s = sources.select(*within, "source_id", normalise_quote(F.col("text")).alias("s"))
+    s = s if within else cut(s, "folded")  # read by the shingles, the anchors and the look-up
+    s = s.withColumn("t", F.filter(F.split("s", " "), lambda w: w != ""))
     sizes = growing(sized.select("quote_id", "words")) if within else sized.select("quote_id", "words")
     runs = _runs(s, sized, within, MIN_RUN).join(sizes, "quote_id")
     short = sized.where("words < 8")
