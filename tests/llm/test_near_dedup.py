@@ -131,3 +131,42 @@ def test_nulls_repeated_rows_and_clashing_columns(spark, rng):
     assert got == [(0, None, None), (0, None, None), (1, 1, 1), (2, 1, 2), (3, 3, 3)]
     kept = order_minhash.keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3]
+
+
+def unlike(rng, n):
+    """Texts of one passage and the same other words in different orders: counts of words never tell them apart. Then ten with three words changed."""
+    passage, own = words(rng, 60), [f"own{i}" for i in range(60)]
+    texts = [passage + " " + " ".join(rng.sample(own, 60)) for _ in range(n)]
+    return list(enumerate(texts + [t.replace("own7 ", "x ").replace("own8 ", "y ").replace("own9 ", "z ") for t in texts[:10]]))
+
+
+def test_unlike_texts_of_one_bucket_do_not_become_rows_of_pairs(spark, rng, monkeypatch):
+    rows, made = unlike(rng, 200), []
+
+    def counted(f):
+        def call(*args):
+            df = f(*args)
+            made.append(df.count())
+            return df
+
+        return call
+
+    for name in ("_possible", "cut"):
+        monkeypatch.setattr(order_minhash, name, counted(getattr(order_minhash, name)))
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(docs(spark, rows)).collect()}
+    assert got == {i: i if i < 200 else i - 200 for i, _ in rows}
+    assert len(made) > 10 and max(made) <= len(rows) * order_minhash.M
+
+
+def test_small_blocks_lose_no_link(spark, rng, monkeypatch):
+    """Links inside blocks and between them; an id of two texts, each of which is linked to another."""
+    rows = unlike(rng, 60)
+    rows += [(100 + i, changed(rng, t, 0.03)) for i, t in rows[20:40]] + [(200, rows[50][1] + " more"), (200, rows[51][1] + " more")]
+    expected = {r.doc_id: r.class_id for r in order_minhash.classes(docs(spark, rows)).collect()}
+    monkeypatch.setattr(order_minhash, "BLOCK", 4)
+    monkeypatch.setattr(order_minhash, "WORDS", 700)
+    monkeypatch.setattr(order_minhash, "STEP", 50)
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(docs(spark, rows)).collect()}
+    assert got == expected
+    assert all(got[60 + i] == i for i in range(10)) and all(got[100 + i] == i for i in range(20, 40))
+    assert got[50] == got[51] == got[200] == 50

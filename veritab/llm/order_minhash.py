@@ -13,10 +13,13 @@ meet through a third. Documents with fewer than l shingles link to their copies
 
 Copies (equal words) collapse first, by sha256, onto their least doc_id. Then the members of each bucket are aligned with
 its leaders, the least document of each class of lengths. What is left are buckets that still hold several classes: their
-members meet in blocks of bounded size, all pairs of different classes within neighbouring lengths are compared by
-counts of words in `CELLS` cells (an edit takes one from a cell and adds one to another, so a larger difference rules a
-link out), and the pairs that remain are aligned, of two classes the likeliest first and then 64 times as many in each round, until the
-classes are one or all their pairs are done. No bucket, pair or class is capped or sampled.
+members meet in blocks of bounded size (members and words), where pairs of different classes within neighbouring lengths are
+compared by counts of words in `CELLS` cells (an edit takes one from a cell and adds one to another, so a larger difference
+rules a link out), each pair at the first key that it shares only. No pair becomes a row: members with a possible partner get
+their texts and meet again, the pairs are aligned inside the block, and a tree of links that joins its classes leaves it.
+Pairs of n unlike documents with one key are n * n / 2 comparisons all the same; rows dealt to blocks are n times the number
+of blocks, which grows with n and from 8 blocks on with its root, unless texts are long (WORDS). No bucket, pair or class is
+capped or sampled.
 
 Nulls: a null text is an empty one; rows with a null doc_id form no links and have a null class. Documents without a
 word are copies of each other. Rows that share a doc_id count as one document with several texts. Repeated rows give
@@ -27,7 +30,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +48,8 @@ K, L, M, SIMILARITY = 5, 3, 32, 0.9
 CELLS = 256
 #: Members of a bucket that meet in one task at once.
 BLOCK = 512
+#: Words of a bucket's members in one block.
+WORDS = 1 << 20
 #: Pairs whose cells are compared at once.
 STEP = 20_000
 _SEEDS = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
@@ -227,7 +234,7 @@ def _sign(docs: DataFrame, k: int, l: int, m: int) -> DataFrame:
 
 
 def _cells(texts: DataFrame) -> DataFrame:
-    """id and cells of each text: how many of its words are in each of CELLS classes of hashes, up to 255."""
+    """id, copy and cells of each text: how many of its words are in each of CELLS classes of hashes, up to 255."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         docs = utf8(batch.column(1))
@@ -235,9 +242,9 @@ def _cells(texts: DataFrame) -> DataFrame:
             c = Chunk(lowered(docs[lo:hi]))
             cell = (word_hashes(c) % U(CELLS)).astype(np.int64)
             counts = np.bincount(c.w_doc * CELLS + cell, minlength=c.n * CELLS).reshape(c.n, CELLS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in np.minimum(counts, 255).astype(np.uint8)], pa.binary())], names=["id", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([x.tobytes() for x in np.minimum(counts, 255).astype(np.uint8)], pa.binary())], names=["id", "copy", "cells"])
 
-    return map_arrow(texts, run, "id long, cells binary")
+    return map_arrow(texts.select("id", "text", "copy"), run, "id long, copy long, cells binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -299,7 +306,7 @@ def classes(docs: DataFrame, *, k: int = K, l: int = L, m: int = M, similarity:
     copies = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys")), "copies")
     named = cut(signed.select("doc_id", "digest").join(copies.select("digest", "copy_of"), "digest").select("doc_id", "copy_of").distinct(), "named")
     no_id = docs.where(F.col("doc_id").isNull()).select(*[F.lit(None).cast("long").alias(c) for c in ("doc_id", "class_id", "copy_of")])
-    every_key = copies.select(F.col("copy_of").alias("id"), "n_words", F.explode("keys").alias("key")).repartition("key")
+    every_key = copies.select(F.col("copy_of").alias("id"), "n_words", F.posexplode("keys").alias("at", "key")).repartition("key")
     shared = every_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     rows = cut(every_key.join(shared, "key").withColumn("size", _length_class("n_words", similarity)), "shared")
 
@@ -317,90 +324,157 @@ def classes(docs: DataFrame, *, k: int = K, l: int = L, m: int = M, similarity:
     labels = _merge(labels, cut(_verify(first, texts, similarity), "found"))
     left = cut(_named(pairs, labels).where("id_class != leader_class").select("id", "leader").join(first, ["id", "leader"], "left_anti"), "left")
     labels = _merge(labels, cut(_verify(left, texts, similarity), "found"))
-    labels = _meet(rows, labels, first.union(left), texts, similarity)
+    labels = _meet(rows, heads, labels, texts, similarity)
     labels = labels.select(F.col("id").alias("copy_of"), "class_id")
     return named.join(labels, "copy_of", "left").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of").union(no_id)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole blocks of (key, group, lo, hi), by which the rows of batches are sorted."""
+    rest = None
+    for b in batches:
+        table = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        # the last block may go on in the next batch
+        last = [table.column(i).to_numpy() for i in range(4)]
+        same = np.logical_and.reduce([x == x[-1] for x in last]) if table.num_rows else np.zeros(0, bool)
+        whole = table.num_rows - int(same[::-1].argmin() if not same.all() else len(same))
+        if whole:
+            yield table.slice(0, whole)
+        rest = table.slice(whole)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _pairs(rows: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows in one block that are of two classes, that cells allow to link and that meet at no earlier key; and how far apart their cells are."""
+    key, size, lo, hi, ids, label, n, block, own, this = (rows.column(i).to_numpy() for i in range(10))
+    cells = np.frombuffer(b"".join(rows.column(10).to_pylist()), np.uint8).reshape(-1, CELLS)
+    shared = rows.column(11).combine_chunks()
+    of, (at, bucket, heads) = np.repeat(np.arange(len(key)), shared.value_lengths().to_numpy()), (x.to_numpy(zero_copy_only=False) for x in shared.flatten().flatten())
+    keys = np.zeros((len(key), int(at.max(initial=0)) + 1), np.int64)
+    head = np.zeros(keys.shape, bool)
+    keys[of, at], head[of, at] = bucket, heads
+    new = np.ones(len(key) + 1, bool)
+    new[1:-1] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    edges = np.flatnonzero(new)
+    end = np.repeat(edges[1:], np.diff(edges))
+    at, step = np.arange(len(key)), 1
+    held: list[np.ndarray] = []
+
+    def flush() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        i, j = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
+        held.clear()
+        for a in range(0, len(i), STEP):
+            x, y = i[a : a + STEP], j[a : a + STEP]
+            d = cells[x].astype(np.int16) - cells[y]
+            more = np.maximum(d, 0).sum(1)
+            apart = np.maximum(more, more - d.sum(1, dtype=np.int64))
+            good = apart <= edits_allowed(np.maximum(n[x], n[y]), similarity)
+            x, y, apart = x[good], y[good], apart[good]
+            same = (keys[x] == keys[y]) & (keys[x] != 0)
+            # aligned before: one is the leader of the other, which is of its class of lengths or the next
+            tried = (same & (head[x] & (own[y] | ~own[x])[:, None] | head[y] & (own[x] | ~own[y])[:, None])).any(1)
+            good = ((same.argmax(1) == this[x]) | ~same.any(1)) & ~tried
+            yield x[good], y[good], apart[good]
+
+    while len(at := at[at + step < end[at]]):
+        j = at + step
+        meet = (label[at] != label[j]) & (own[at] | own[j]) & ((block[at] != block[j]) | (lo[at] == hi[at]))
+        meet &= np.abs(n[at] - n[j]) <= edits_allowed(np.maximum(n[at], n[j]), similarity)
+        held.append(np.stack([at[meet], j[meet]]))
+        if sum(x.shape[1] for x in held) >= STEP:
+            yield from flush()
+        step += 1
+    yield from flush()
+
+
 def _possible(members: DataFrame, similarity: float) -> DataFrame:
-    """(id, leader, apart) of the pairs in one block of (key, size, lo, hi) that are of two classes and that cells allow to link.
-
-    members comes sorted by these; a block never holds more than about two BLOCKs of rows."""
-
-    def of_blocks(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, size, lo, hi, ids, label, n, block, own = (rows.column(i).to_numpy() for i in range(9))
-        cells = np.frombuffer(b"".join(rows.column(9).to_pylist()), np.uint8).reshape(-1, CELLS)
-        new = np.ones(len(key) + 1, bool)
-        new[1:-1] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-        edges = np.flatnonzero(new)
-        end = np.repeat(edges[1:], np.diff(edges))
-        at, step = np.arange(len(key)), 1
-        held: list[np.ndarray] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            i, j = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
-            held.clear()
-            for a in range(0, len(i), STEP):
-                x, y = i[a : a + STEP], j[a : a + STEP]
-                d = cells[x].astype(np.int16) - cells[y]
-                more = np.maximum(d, 0).sum(1)
-                apart = np.maximum(more, more - d.sum(1, dtype=np.int64))
-                good = apart <= edits_allowed(np.maximum(n[x], n[y]), similarity)
-                x, y = ids[x[good]], ids[y[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(apart[good].astype(np.int64))], names=["id", "leader", "apart"])
-
-        while len(at := at[at + step < end[at]]):
-            j = at + step
-            meet = (label[at] != label[j]) & (own[at] | own[j]) & ((block[at] != block[j]) | (lo[at] == hi[at]))
-            meet &= np.abs(n[at] - n[j]) <= edits_allowed(np.maximum(n[at], n[j]), similarity)
-            held.append(np.stack([at[meet], j[meet]]))
-            if sum(x.shape[1] for x in held) >= STEP:
-                yield from flush()
-            step += 1
-        yield from flush()
+    """The members that have a possible partner in their block: at most the rows that came. They come sorted by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in batches:
-            table = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            # the last block may go on in the next batch
-            last = [table.column(i).to_numpy() for i in range(4)]
-            same = np.logical_and.reduce([x == x[-1] for x in last]) if table.num_rows else np.zeros(0, bool)
-            whole = table.num_rows - int(same[::-1].argmin() if not same.all() else len(same))
-            yield from of_blocks(table.slice(0, whole)) if whole else ()
-            rest = table.slice(whole)
-        if rest is not None and rest.num_rows:
-            yield from of_blocks(rest)
+        for rows in _blocks(batches):
+            some = np.zeros(rows.num_rows, bool)
+            for x, y, _ in _pairs(rows, similarity):
+                some[x] = some[y] = True
+            yield from rows.filter(pa.array(some)).combine_chunks().to_batches()
 
     ship(members.sparkSession)
-    return members.mapInArrow(run, "id long, leader long, apart long")
+    return members.mapInArrow(run, members.schema)
+
+
+def _links(members: DataFrame, similarity: float) -> DataFrame:
+    """(id, leader) of links that join the classes of each block, a tree of them: fewer than the rows that came.
 
+    members are those of _possible with their texts, sorted by block. Pairs are aligned where they are found, the likeliest
+    of some STEP first, except pairs of classes that links of this block have joined already."""
+
+    def of_blocks(rows: pa.Table, texts: list[bytes], block: np.ndarray) -> pa.RecordBatch:
+        words, number = [], defaultdict(itertools.count().__next__)
+        for lo, hi in runs([len(t) for t in texts]):
+            c = Chunk(lowered(texts[lo:hi]))
+            w_id = np.fromiter(map(number.__getitem__, c.vocabulary), np.int64, len(c.vocabulary))[c.w_id]
+            words += np.split(w_id, np.cumsum(c.count_words())[:-1])
+        ids, label = rows.column(4).to_numpy(), rows.column(5).to_numpy()
+        node = np.unique(rows_numbered(block - block[0], np.unique(label, return_inverse=True)[1]), return_inverse=True)[1].tolist()
+        up, found = list(range(len(node))), []
+
+        def top(a: int) -> int:
+            while up[a] != a:
+                up[a] = a = up[up[a]]
+            return a
+
+        for x, y, apart in _pairs(rows, similarity):
+            order = np.argsort(apart, kind="stable")
+            for i, j in zip(x[order].tolist(), y[order].tolist()):
+                a, b = top(node[i]), top(node[j])
+                if a != b and similar(words[i], words[j], similarity):
+                    up[a] = b
+                    found.append((i, j))
+        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], names=["id", "leader"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            texts = utf8(rows.column(13).combine_chunks())
+            place = np.stack([rows.column(i).to_numpy() for i in range(4)])
+            first = np.concatenate([[0], np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1, [len(texts)]])
+            block = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            lengths = np.bincount(block, [len(t) + 1 for t in texts])
+            for lo, hi in runs(lengths.tolist()):
+                lo, hi = int(first[lo]), int(first[hi])
+                yield of_blocks(rows.slice(lo, hi - lo), texts[lo:hi], block[lo:hi])
 
-def _meet(rows: DataFrame, labels: DataFrame, tried: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """labels after all pairs of two classes that share a key are compared, but those tried."""
-    groups = rows.join(labels, "id").select("id", "key", "n_words", "class_id", F.explode(F.array("size", F.col("size") + 1)).alias("group"), "size")
+    ship(members.sparkSession)
+    return members.mapInArrow(run, "id long, leader long")
+
+
+def _shared_keys(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """id and its shared keys with the numbers of their hash functions, and whether it leads there; none for an id of several texts."""
+    led = rows.join(heads, ["key", "size"]).select("id", "at", "key", (F.col("id") == F.col("leader")).alias("head"), "n_words").repartition("id")
+    one = led.groupBy("id", "at").agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("head").alias("head"), F.min("n_words").alias("least"), F.max("n_words").alias("most"))
+    keys = F.collect_list(F.struct("at", "key", "head"))
+    single = (F.max("n") == 1) & (F.min("least") == F.max("most"))
+    return one.groupBy("id").agg(F.when(single, keys).otherwise(F.slice(keys, 1, 0)).alias("shared"))
+
+
+def _meet(rows: DataFrame, heads: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """labels after all pairs of two classes that share a key are compared, but those of members and leaders."""
+    groups = rows.join(labels, "id").select("id", "key", "n_words", "class_id", "at", F.explode(F.array("size", F.col("size") + 1)).alias("group"), "size")
     groups = groups.withColumn("own", F.col("group") == F.col("size"))
-    mixed = groups.groupBy("key", "group").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count("*").alias("n"), F.max("own").alias("own")).where("lo < hi and own")
-    mixed = mixed.select("key", "group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = groups.groupBy("key", "group").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count("*").alias("n"), F.sum("n_words").alias("words"), F.max("own").alias("own")).where("lo < hi and own")
+    blocks = F.greatest(F.least(F.col("n") / BLOCK, F.sqrt(8 * F.col("n") / BLOCK)), F.least(F.col("words") / WORDS, F.col("n")))
+    mixed = mixed.select("key", "group", F.ceil(blocks).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = groups.join(mixed, ["key", "group"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "class_id", "n_words", "block", "own")
-    dealt = dealt.join(cut(_cells(texts), "cells"), "id").select("key", "group", "lo", "hi", "id", "class_id", "n_words", "block", "own", "cells")
+    dealt = dealt.select("key", "group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "class_id", "n_words", "block", "own", "at")
+    copies = texts.withColumn("copy", F.xxhash64("text"))  # texts of one id are told apart by it
+    told = _cells(copies).dropDuplicates(["id", "copy"]).join(_shared_keys(rows, heads), "id")
     together = ["key", "group", "lo", "hi"]
+    order = [*together, "id", "class_id", "n_words", "block", "own", "at", "cells", "shared", "copy"]
+    dealt = dealt.join(cut(told, "cells"), "id").select(order)
     near = _possible(dealt.repartition(*together).sortWithinPartitions(*together), similarity)
-    near = near.groupBy("id", "leader").agg(F.min("apart").alias("apart"))
-    both, slots = cut(near.join(tried, ["id", "leader"], "left_anti"), "possible"), 1
-    while True:
-        # of two classes the pair that differs least, in 64 times as many slots each round
-        apart = cut(_named(both.select("id", "leader", "apart"), labels).where("id_class != leader_class"), "of_two")
-        if apart.isEmpty():
-            return labels
-        slot = F.pmod(F.xxhash64("id", "leader"), F.lit(slots))
-        best = apart.groupBy(F.least("id_class", "leader_class").alias("one"), F.greatest("id_class", "leader_class").alias("two"), slot.alias("slot")).agg(F.min(F.struct("apart", "id", "leader")).alias("best"))
-        best = cut(best.select("best.id", "best.leader"), "best")
-        found = cut(_verify(best, texts, similarity), "found")
-        labels = _merge(labels, found)
-        both, slots = apart.join(best, ["id", "leader"], "left_anti").select("id", "leader", "apart"), slots * 64
+    near = near.join(copies.select("id", "copy", "text"), ["id", "copy"]).select(*order, "text")
+    return _merge(labels, cut(_links(near.repartition(*together).sortWithinPartitions(*together), similarity), "found"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
